@@ -150,11 +150,11 @@ def leaves(vectors: DataFrame) -> DataFrame:
 def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
-        ids, x = pdf["id"].to_numpy(), _unit(pdf["v"])
+        ids, x, copies = pdf["id"].to_numpy(), _unit(pdf["v"]), dict(zip(pdf["id"], pdf["copies"]))
         same = pdf["side"].to_numpy() == 0
         a, b = (np.flatnonzero(same), np.flatnonzero(~same)) if (~same).any() else (np.arange(len(ids)),) * 2
         if pdf["i"].iloc[0] != pdf["j"].iloc[0] and len(b) == len(ids):
-            return pd.DataFrame({"id": [], "root": [], "near": []})
+            return pd.DataFrame({"id": [], "root": [], "near": [], "several": []})
         links = x[a] @ x[b].T >= threshold
         near: dict[int, list[int]] = {}
         root = list(range(len(ids)))
@@ -175,7 +175,8 @@ def _compare(threshold: float):
             f, g = find(p), find(q)
             if f != g:
                 root[max(f, g)] = min(f, g)
-        return pd.DataFrame([(int(ids[k]), int(ids[find(k)]), sorted(set(v))) for k, v in near.items()], columns=["id", "root", "near"])
+        rows = [(int(ids[k]), int(ids[find(k)]), v, [o for o in v if copies[o] > 1]) for k, v in ((k, sorted(set(v))) for k, v in near.items())]
+        return pd.DataFrame(rows, columns=["id", "root", "near", "several"])
 
     return run
 
@@ -191,12 +192,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     sizes = found.groupBy(*NODE).agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side")))
-    dealt = found.join(sizes, NODE).select(*NODE, "id", F.inline(pairs)).join(classes.select("id", "v"), "id")
-    near = dealt.groupBy(*NODE, "i", "j").applyInPandas(_compare(threshold), "id long, root long, near array<long>")
+    dealt = found.join(sizes, NODE).select(*NODE, "id", F.inline(pairs)).join(classes.select("id", "v", "copies"), "id")
+    near = dealt.groupBy(*NODE, "i", "j").applyInPandas(_compare(threshold), "id long, root long, near array<long>, several array<long>")
     near = cut(near, "forest-links")
     comp = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")), "forest-components")
-    links = near.select("id", F.explode("near").alias("other")).distinct()
-    counted = links.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("others"))
+    linked = near.groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("linked"))
+    several = near.select("id", F.explode("several").alias("other")).distinct()  # linked classes of more than one row
+    more = several.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum(F.col("copies") - 1).alias("more"))
+    counted = linked.join(more, "id", "left").select("id", (F.col("linked") + F.coalesce("more", F.lit(0))).alias("others"))
     by_class = classes.join(counted, "id", "left").join(comp, "id", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = slim.join(by_class, ["label", "v"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
