@@ -1,4 +1,435 @@
-"""Registered queries and their SQL for DuckDB."""
+"""Registered queries over the driver's tables, and their SQL for DuckDB.
 
-QUERIES: dict = {}
+Every query runs over its whole tables. A query without SQL is compared with brute force in tests.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import text as T
+from .operators import boxes as B
+from .operators import chapters as C
+from .operators import hypertxt as H
+from .operators import metrics as M
+from .operators import ordered as O
+from .operators import tables as TB
+from .sources import readers as R
+from .streaming import flows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# DuckDB forms of the made inputs.
+LINES = "SELECT doc_id, (unnest(generate_series(1, len(string_split(text, chr(10))))) - 1)::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
+LAYOUT = f"""words AS (SELECT doc_id, line_no, (unnest(generate_series(1, len(string_split(line, ' ')))) - 1)::INTEGER AS word_no, unnest(string_split(line, ' ')) AS text FROM ({LINES})),
+placed AS (SELECT *, 10 * coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0 FROM words),
+layout AS (SELECT doc_id, line_no // 50 AS page_no, line_no, word_no, text, x0, x0 + 10 * length(text) AS x1, line_no % 50 * 12 AS top, line_no % 50 * 12 + 10 AS bottom FROM placed WHERE text <> '')"""
+BOXES = "boxes AS (SELECT l_orderkey AS image_id, (l_partkey * 1000 + l_suppkey) * 10 + l_linenumber AS box_id, l_returnflag AS label, l_linestatus AS side, l_extendedprice AS score, (l_partkey % 60)::DOUBLE AS x0, (l_suppkey % 40)::DOUBLE AS y0, l_partkey % 60 + 5 + l_quantity AS x1, (l_suppkey % 40 + 5 + l_partkey % 17)::DOUBLE AS y1 FROM lineitem)"
+OVERLAP = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+IOU = f"round({OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVERLAP}), 6)"
+PIECES = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([。!！？?.])', '\1' || chr(1), 'g'), chr(1) || '([”’）).])', '\1', 'g'), '(\.{6,})([”’）)])', '\1' || chr(1) || '\2', 'g'), chr(1) || '+', chr(1), 'g'), chr(1)), lambda s: s <> '')"
+SOFT_PIECES = rf"flatten(list_transform({PIECES}, lambda s: CASE WHEN length(s) > 510 THEN string_split(regexp_replace(s, '([:：;；])', '\1' || chr(1), 'g'), chr(1)) ELSE [s] END))"
+
+
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return R.order_boxes(R.table(spark, sf, "lineitem"))
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return R.table(spark, sf, "documents")
+
+
+def _headed(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents, every fifth one under a heading made from its number."""
+    lines = O.flattened_lines(_docs(spark, sf))
+    k = F.floor(F.col("line_no") / 5) + 1
+    head = F.when(F.col("line_no") % 15 == 0, F.concat(F.lit("Chapter "), k)).when(F.col("line_no") % 15 == 5, F.concat(k, F.lit(". Part"))).otherwise(F.concat(F.lit("("), k, F.lit(") Item")))
+    return lines.withColumn("text", F.when(F.col("line_no") % 5 == 0, head).otherwise(F.col("line"))).select("doc_id", "line_no", "text")
+
+
+HEADED = f"""headed AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 <> 0 THEN line WHEN line_no % 15 = 0 THEN 'Chapter ' || (line_no // 5 + 1) WHEN line_no % 15 = 5 THEN (line_no // 5 + 1) || '. Part' ELSE '(' || (line_no // 5 + 1) || ') Item' END AS text FROM ({LINES})),
+ruled AS (SELECT *, CASE WHEN length(text) >= 40 THEN NULL WHEN regexp_matches(text, '^Chapter\\s+\\d+') THEN 'chapter' WHEN regexp_matches(text, '^\\d+\\.\\d+\\.\\d+') THEN 'third' WHEN regexp_matches(text, '^\\d+\\.\\d+') THEN 'second' WHEN regexp_matches(text, '^\\d+\\s*[、.]') THEN 'list' WHEN regexp_matches(text, '^[（(]\\d+[）)]') THEN 'paren' WHEN regexp_matches(text, '^\\d+[）)]') THEN 'half_paren' WHEN regexp_matches(text, '^[A-Z]\\s*[、.]') THEN 'letter' WHEN regexp_matches(text, '^[a-z]\\s*[、.)）]') THEN 'small_letter' END AS rule_name FROM headed)""".replace("\\\\", "\\")
+
+
+@query(f"SELECT doc_id, len(p)::BIGINT AS n_sentences, list_max(list_transform(p, lambda s: length(s)))::BIGINT AS longest, coalesce(list_sum(list_transform(p, lambda s: length(s))), 0)::BIGINT AS n_chars FROM (SELECT doc_id, flatten(list_transform({SOFT_PIECES}, lambda s: list_filter(list_transform(generate_series(0, greatest((length(s) + 509) // 510 - 1, 0)), lambda k: substring(s, (k * 510 + 1)::BIGINT, 510)), lambda x: x <> ''))) AS p FROM documents WHERE text IS NOT NULL)")
+def doc_sentences_stats(spark, sf):
+    s = _docs(spark, sf).where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("p"))
+    n = F.transform("p", lambda x: F.length(x))
+    return s.select("doc_id", F.size("p").cast("long").alias("n_sentences"), F.array_max(n).cast("long").alias("longest"), F.aggregate(n, F.lit(0).cast("long"), lambda a, v: a + v).alias("n_chars"))
+
+
+@query()
+def sentence_splits(spark, sf):
+    """Sentences of every document under both profiles."""
+    both = [F.size(T.sentences(F.col("text"), p)).cast("long").alias(f"n_{p}") for p in ("zh", "latin")]
+    return _docs(spark, sf).select("doc_id", *both)
+
+
+@query("SELECT doc_id, len(w)::BIGINT AS n_windows, list_sum(list_transform(w, lambda s: length(s)))::BIGINT AS n_chars FROM (SELECT doc_id, list_transform(generate_series(0, ceil(greatest(length(text) - 512, 0) / 384.0)::BIGINT), lambda k: substring(text, (k * 384 + 1)::BIGINT, 512)) AS w FROM documents WHERE text IS NOT NULL)")
+def sentence_windows(spark, sf):
+    w = _docs(spark, sf).where("text is not null").select("doc_id", T.windows(F.col("text"), 512).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_windows"), F.aggregate("w", F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n FROM (SELECT doc_id, line, min(line_no) AS line_no FROM ({LINES}) GROUP BY doc_id, line) GROUP BY doc_id")
+def dedupe_lines_keep_order(spark, sf):
+    first = O.flattened_lines(_docs(spark, sf)).groupBy("doc_id", "line").agg(F.min("line_no").alias("line_no"))
+    return H.joined(first, ["doc_id"], ["line_no"], "line", "\n").select("doc_id", F.col("line").alias("text"), F.col("n_parts").alias("n"))
+
+
+@query(f"SELECT doc_id, line_no // 4 AS pid, string_agg(line, '' ORDER BY line_no) AS text FROM ({LINES}) GROUP BY 1, 2")
+def paragraph_views(spark, sf):
+    lines = O.flattened_lines(_docs(spark, sf)).select("doc_id", F.col("line_no").alias("idx"), F.floor(F.col("line_no") / 4).cast("int").alias("pid"), F.col("line").alias("text"), F.lit("text").alias("type"))
+    return H.view(lines, "paragraph").select("doc_id", F.col("key").alias("pid"), "text")
+
+
+@query(f"WITH {HEADED} SELECT doc_id, rule_name, count(*) AS n FROM ruled WHERE rule_name IS NOT NULL GROUP BY ALL")
+def chapter_rule_hits(spark, sf):
+    return C.titled(_headed(spark, sf)).where("rule is not null").groupBy("doc_id", "rule_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {HEADED} SELECT doc_id, chapter, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM (SELECT doc_id, text, coalesce(last_value(CASE WHEN rule_name = 'chapter' THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS chapter FROM ruled) GROUP BY ALL")
+def chapter_asof(spark, sf):
+    rows = C.as_of_chapter(C.titled(_headed(spark, sf)), ["doc_id"], "line_no", F.col("rule_name") == "chapter", "chapter")
+    return rows.groupBy("doc_id", "chapter").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query()
+def chapter_counters(spark, sf):
+    titles = C.titled(_headed(spark, sf)).where("rule is not null")
+    level = F.when(F.col("rule_name") == "chapter", 0).when(F.col("rule_name") == "list", 1).when(F.col("rule_name") == "paren", 2)
+    return C.counters(titles.withColumn("level", level), ["doc_id"], "line_no", "level", "num")
+
+
+@query()
+def chapter_tree(spark, sf):
+    return C.tree(C.titled(_headed(spark, sf)), ["doc_id"], "line_no")
+
+
+@query(f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pid, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sid FROM (SELECT doc_id, line_no, length(line) - length(replace(line, '.', '')) + 1 AS n FROM ({LINES}))")
+def element_numbers(spark, sf):
+    lines = O.flattened_lines(_docs(spark, sf)).withColumn("n", F.size(F.split("line", r"\.")))
+    return C.sentence_numbers(lines, ["doc_id"], "line_no", "n").select("doc_id", "line_no", "pid", "sid")
+
+
+@query(f"WITH {LAYOUT}, first AS (SELECT doc_id, page_no, arg_min(text, (line_no, word_no)) AS word FROM layout GROUP BY ALL), c AS (SELECT doc_id, word, count(*) AS n FROM first GROUP BY ALL), t AS (SELECT doc_id, sum(n)::BIGINT AS pages, max(n) AS m FROM c GROUP BY 1) SELECT c.doc_id, min(word) AS word, n, pages FROM c JOIN t ON c.doc_id = t.doc_id AND n = m GROUP BY c.doc_id, n, pages")
+def most_common_header(spark, sf):
+    first = R.word_layout(_docs(spark, sf)).groupBy("doc_id", "page_no").agg(F.min_by("text", F.struct("line_no", "word_no")).alias("word"))
+    return O.most_common(first, ["doc_id"], "word").select("doc_id", "word", "n", F.col("rows").alias("pages"))
+
+
+@query(f"WITH {LAYOUT}, b AS (SELECT *, CASE WHEN top > lag(bottom) OVER (PARTITION BY doc_id, page_no ORDER BY top, word_no) THEN 1 ELSE 0 END AS f FROM layout), g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, page_no ORDER BY top, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM b) SELECT doc_id, page_no, line::BIGINT AS line, min(x0)::BIGINT AS x0, max(x1)::BIGINT AS x1, count(*) AS n FROM g GROUP BY ALL")
+def line_cluster(spark, sf):
+    lined = O.lines_by_gap(R.word_layout(_docs(spark, sf)), ["doc_id", "page_no"])
+    return lined.groupBy("doc_id", "page_no", "line").agg(F.min("x0").cast("long").alias("x0"), F.max("x1").cast("long").alias("x1"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LAYOUT} SELECT doc_id, page_no, line_no, string_agg(text, ' ' ORDER BY x0) AS text FROM layout GROUP BY ALL")
+def line_text(spark, sf):
+    return H.joined(R.word_layout(_docs(spark, sf)), ["doc_id", "page_no", "line_no"], ["x0"], "text", " ").drop("n_parts")
+
+
+@query(f"WITH {LAYOUT} SELECT doc_id, page_no, top // 150 AS band, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM layout GROUP BY ALL")
+def word_to_segment(spark, sf):
+    """Range join of words to the four bands of a page; the first band that holds a word counts."""
+    bands = spark.createDataFrame([(k, 150 * k, 150 * (k + 1)) for k in range(4)], "band int, lo int, hi int")  # four rows
+    words = R.word_layout(_docs(spark, sf))
+    return words.join(F.broadcast(bands), (F.col("top") >= F.col("lo")) & (F.col("top") < F.col("hi"))).groupBy("doc_id", "page_no", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query(f"WITH {BOXES} SELECT a.image_id, a.box_id AS a, b.box_id AS b, {IOU} AS iou FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id WHERE {IOU} >= 0.1")
+def box_iou_pairs(spark, sf):
+    return B.iou_pairs(_boxes(spark, sf), ["image_id"], 0.1)
+
+
+@query(f"WITH {BOXES} SELECT image_id, box_id FROM boxes a WHERE side = 'O' AND EXISTS (SELECT 1 FROM boxes b WHERE b.image_id = a.image_id AND b.side = 'F' AND {OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVERLAP}) > 0.2)")
+def box_semi(spark, sf):
+    b = _boxes(spark, sf)
+    return B.overlapping(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"], 0.2).select("image_id", "box_id")
+
+
+@query(f"WITH {BOXES} SELECT image_id, box_id FROM boxes a WHERE side = 'O' AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.image_id = a.image_id AND b.side = 'F' AND {OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVERLAP}) >= 0.2)")
+def box_anti(spark, sf):
+    b = _boxes(spark, sf)
+    return B.not_overlapping(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"], 0.2).select("image_id", "box_id")
+
+
+@query(f"WITH {BOXES} SELECT image_id, box_id FROM boxes a WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.image_id = a.image_id AND ((b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) OR ((b.x1 - b.x0) * (b.y1 - b.y0) = (a.x1 - a.x0) * (a.y1 - a.y0) AND b.box_id < a.box_id)) AND round({OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) >= 0.6)")
+def contained_boxes(spark, sf):
+    return B.uncontained(_boxes(spark, sf), ["image_id"], 0.6).select("image_id", "box_id")
+
+
+@query(f"WITH {BOXES}, m AS (SELECT a.image_id, a.box_id AS item, b.box_id AS slot, CASE WHEN b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1 THEN 1.0 ELSE {IOU} END AS score FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.side = 'O' AND b.side = 'F') SELECT image_id, item, min(slot) AS slot, score FROM (SELECT *, max(score) OVER (PARTITION BY image_id, item) AS best FROM m WHERE score > 0.1) WHERE score = best GROUP BY ALL")
+def best_slot(spark, sf):
+    b = _boxes(spark, sf)
+    return B.best_match(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"], 0.1, "box_id", "box_id")
+
+
+@query(f"WITH {BOXES} SELECT a.image_id, a.box_id AS item, b.box_id AS container, round({OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS share FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.side = 'O' AND b.side = 'F' AND round({OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) >= 0.5")
+def slot_containers(spark, sf):
+    b = _boxes(spark, sf)
+    return B.slotted(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"], 0.5, "box_id", "box_id")
+
+
+@query(f"WITH {BOXES} SELECT a.image_id, a.box_id AS point_id, b.box_id FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND (a.x0 + a.x1) / 2 >= b.x0 AND (a.x0 + a.x1) / 2 < b.x1 AND (a.y0 + a.y1) / 2 >= b.y0 AND (a.y0 + a.y1) / 2 < b.y1 WHERE a.side = 'O' AND b.side = 'F'")
+def point_in_cell(spark, sf):
+    b = _boxes(spark, sf)
+    points = b.where("side = 'O'").select("image_id", F.col("box_id").alias("point_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return B.points_in_boxes(points, b.where("side = 'F'"), ["image_id"]).select("l.image_id", "point_id", "box_id")
+
+
+@query()
+def nms_greedy(spark, sf):
+    return B.nms(_boxes(spark, sf), ["image_id"], 0.2).select("image_id", "box_id", "score")
+
+
+@query(f"WITH {BOXES}, d AS (SELECT DISTINCT image_id, box_id FROM boxes), e AS (SELECT DISTINCT a.image_id, a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id <> b.box_id WHERE {IOU} >= 0.15), RECURSIVE_ AS (SELECT 1) SELECT image_id, id, min(other) AS component FROM (WITH RECURSIVE r AS (SELECT image_id, box_id AS id, box_id AS other FROM d UNION SELECT r.image_id, r.id, e.b FROM r JOIN e ON r.image_id = e.image_id AND r.other = e.a) SELECT * FROM r) GROUP BY image_id, id".replace(", RECURSIVE_ AS (SELECT 1)", ""))
+def box_components(spark, sf):
+    boxes = _boxes(spark, sf)
+    edges = B.iou_pairs(boxes, ["image_id"], 0.15).select("image_id", "a", "b")
+    return B.components(edges, boxes.select("image_id", F.col("box_id").alias("id")), ["image_id"])
+
+
+@query(f"WITH {BOXES}, b AS (SELECT *, CASE WHEN abs(y0 - lag(y0) OVER w) >= 0.4 * lag(y1 - y0) OVER w THEN 1 ELSE 0 END AS f FROM boxes WINDOW w AS (PARTITION BY image_id ORDER BY y0, x0, box_id)), g AS (SELECT *, sum(f) OVER (PARTITION BY image_id ORDER BY y0, x0, box_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS line_no FROM b) SELECT image_id, box_id, line_no, row_number() OVER (PARTITION BY image_id, line_no ORDER BY x0, box_id) AS place FROM g")
+def reading_order(spark, sf):
+    return B.reading_order(_boxes(spark, sf), ["image_id"]).select("image_id", "box_id", F.col("line_no").cast("long").alias("line_no"), "place")
+
+
+@query(f"WITH {BOXES}, b AS (SELECT *, CASE WHEN x0 > lag(x0) OVER (PARTITION BY image_id ORDER BY x0) + 3 THEN 1 ELSE 0 END AS f FROM boxes), g AS (SELECT *, sum(f) OVER (PARTITION BY image_id ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM b) SELECT image_id, box_id, round(avg(x0) OVER (PARTITION BY image_id, c), 6) AS snapped FROM g")
+def edge_snap(spark, sf):
+    return O.snapped(_boxes(spark, sf), ["image_id"], "x0", 3.0).select("image_id", "box_id", F.round("x0_snapped", 6).alias("snapped"))
+
+
+@query(f"WITH {BOXES}, b AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY image_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 1 ELSE 0 END AS f FROM boxes), g AS (SELECT *, sum(f) OVER (PARTITION BY image_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS run FROM b) SELECT image_id, run, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM g GROUP BY image_id, run")
+def edge_join(spark, sf):
+    return O.merged_intervals(_boxes(spark, sf), ["image_id"], "x0", "x1", 3.0)
+
+
+@query(f"WITH {BOXES} SELECT a.image_id, a.box_id AS a, b.box_id AS b, CASE WHEN a.x1 < b.x0 - 1 THEN 'before' WHEN a.x0 > b.x1 + 1 THEN 'after' WHEN a.x1 <= b.x0 OR a.x0 >= b.x1 THEN 'near' WHEN a.x0 <= b.x0 AND a.x1 >= b.x1 THEN 'contains' WHEN a.x0 >= b.x0 AND a.x1 <= b.x1 THEN 'inside' ELSE 'overlaps' END AS rel, round((least(a.y1, b.y1) - greatest(a.y0, b.y0)) / (greatest(a.y1, b.y1) - least(a.y0, b.y0) + 1e-9), 6) AS y_iou FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id")
+def interval_relations(spark, sf):
+    b, c = G.box("l"), G.box("r")
+    boxes = _boxes(spark, sf)
+    rows = B.pairs(boxes, boxes, ["image_id"], condition=F.col("l.box_id") < F.col("r.box_id"))
+    return rows.select(F.col("l.image_id").alias("image_id"), F.col("l.box_id").alias("a"), F.col("r.box_id").alias("b"), G.relation(b.x0, b.x1, c.x0, c.x1, 1.0).alias("rel"), F.round(G.interval_iou(b.y0, b.y1, c.y0, c.y1), 6).alias("y_iou"))
+
+
+@query(f"WITH {BOXES} SELECT label, round(sum((least(x1, 50) - greatest(x0, 10)) * (least(y1, 40) - greatest(y0, 10))), 2) AS clipped, count(*) AS n, round(avg((x0 + x1) / 2), 6) AS cx FROM boxes WHERE x0 < 50 AND x1 > 10 AND y0 < 40 AND y1 > 10 GROUP BY label")
+def crop_to_box(spark, sf):
+    page = G.Box(F.lit(10.0), F.lit(10.0), F.lit(50.0), F.lit(40.0))
+    b = G.box()
+    inside = _boxes(spark, sf).where((b.x0 < 50) & (b.x1 > 10) & (b.y0 < 40) & (b.y1 > 10))
+    return inside.groupBy("label").agg(F.round(F.sum(G.area(G.clip(b, page))), 2).alias("clipped"), F.count(F.lit(1)).alias("n"), F.round(F.avg(G.to_centre(b)[0]), 6).alias("cx"))
+
+
+def _side(side: str, other: str, out: str) -> str:
+    return f"(SELECT a.label, count(*) AS n_{out}, count(*) FILTER (EXISTS (SELECT 1 FROM boxes b WHERE b.image_id = a.image_id AND b.label = a.label AND b.side = '{other}' AND {IOU} >= 0.3)) AS h_{out} FROM boxes a WHERE a.side = '{side}' GROUP BY a.label)"
+
+
+@query(f"WITH {BOXES}, f AS {_side('O', 'F', 'f')}, t AS {_side('F', 'O', 't')} SELECT label, round(h_f / n_f, 6) AS precision, round(h_t / n_t, 6) AS recall, round(coalesce(2 * (h_f / n_f) * (h_t / n_t) / nullif(h_f / n_f + h_t / n_t, 0), 0), 6) AS hmean FROM f JOIN t USING (label)")
+def det_prf(spark, sf):
+    b = _boxes(spark, sf)
+    return M.detection(b.where("side = 'F'"), b.where("side = 'O'"), ["image_id"], 0.3)
+
+
+@query(f"WITH {BOXES}, r AS (SELECT label, score, box_id, image_id, box_id % 3 <> 0 AS hit FROM boxes), k AS (SELECT *, row_number() OVER w AS k, sum(hit::INT) OVER w AS tp FROM r WINDOW w AS (PARTITION BY label ORDER BY score DESC, box_id, image_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), e AS (SELECT *, max(tp / k) OVER (PARTITION BY label ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM k) SELECT e.label, round(sum(CASE WHEN hit THEN env / n ELSE 0 END), 6) AS ap FROM e JOIN (SELECT label, count(*) AS n FROM r WHERE hit GROUP BY label) USING (label) GROUP BY e.label")
+def ap_per_class(spark, sf):
+    ranked = _boxes(spark, sf).select("label", "score", F.struct("box_id", "image_id").alias("id"), (F.col("box_id") % 3 != 0).alias("hit"))
+    return M.average_precision(ranked, ranked.where("hit").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def confusion_matrix(spark, sf):
+    return M.confusion(R.table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query(f"WITH {BOXES}, h AS (SELECT a.image_id, a.box_id, sum({OVERLAP}) AS held FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.side = 'O' AND b.side = 'F' GROUP BY ALL) SELECT a.image_id, a.box_id, round(least(1, coalesce(held, 0) / ((a.x1 - a.x0) * (a.y1 - a.y0))), 6) AS coverage FROM boxes a LEFT JOIN h ON a.image_id = h.image_id AND a.box_id = h.box_id WHERE a.side = 'O'")
+def coverage_fast(spark, sf):
+    b = _boxes(spark, sf)
+    return M.coverage(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"])
+
+
+@query(f"WITH {BOXES} SELECT a.image_id, round(avg(((a.x0 < b.x0) = (a.y0 < b.y0))::INT), 6) AS agreement FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.box_id < b.box_id GROUP BY ALL")
+def rank_accuracy(spark, sf):
+    return M.order_agreement(_boxes(spark, sf), ["image_id"], "x0", "y0", "box_id")
+
+
+@query(r"SELECT lang, round(avg((replace(regexp_replace(a, '[^ -~]', '', 'g'), ' ', '') = replace(b, ' ', ''))::INT), 6) AS accuracy, round(avg(1 - coalesce(levenshtein(replace(a, ' ', ''), replace(b, ' ', '')) / nullif(greatest(length(replace(a, ' ', '')), length(replace(b, ' ', ''))), 0), 0)), 6) AS similarity, count(*) AS n FROM (SELECT lang, regexp_replace(text[1:80], '[^ -~]', '', 'g') AS a, replace(regexp_replace(text[1:80], '[^ -~]', '', 'g'), 'th', 't') AS b FROM documents) GROUP BY lang")
+def ocr_accuracy(spark, sf):
+    """Edit similarity of the first line's ASCII characters and a garbled form; a fixture of recogniser output."""
+    a = F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "")
+    pairs = _docs(spark, sf).select("lang", a.alias("pred"), F.replace(a, F.lit("th"), F.lit("t")).alias("target"))
+    return M.text_accuracy(pairs, ["lang"])
+
+
+GRID = "SELECT o_orderkey AS t, k, m FROM (SELECT o_orderkey, 1 + o_custkey % 3 AS k, 1 + o_orderkey % 4 AS m FROM orders)"
+
+
+def _grid_edges(spark, sf):
+    o = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("t"), (1 + F.col("o_custkey") % 3).alias("k"), (1 + F.col("o_orderkey") % 4).alias("m"))
+    v = o.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).select("t", (F.col("i") * 10).cast("double").alias("x"), F.lit(0.0).alias("y0"), (F.col("m") * 5).cast("double").alias("y1"), F.col("i").alias("edge"))
+    h = o.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m")))).select("t", (F.col("j") * 5).cast("double").alias("y"), F.lit(0.0).alias("x0"), (F.col("k") * 10).cast("double").alias("x1"), F.col("j").alias("edge"))
+    return v, h
+
+
+@query(f"SELECT t, i * 10.0::DOUBLE AS x0, j * 5.0::DOUBLE AS y0, (i + 1) * 10.0::DOUBLE AS x1, (j + 1) * 5.0::DOUBLE AS y1 FROM (SELECT t, i, unnest(generate_series(0, m - 1)) AS j FROM (SELECT t, m, unnest(generate_series(0, k - 1)) AS i FROM ({GRID})))")
+def lattice_cells(spark, sf):
+    v, h = _grid_edges(spark, sf)
+    return TB.lattice_cells(TB.crossings(v, h, ["t"]), ["t"])
+
+
+def _cells(spark, sf):
+    """A grid for each order: lines in rows of two, the last cell of odd ones spanning two columns."""
+    li = R.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("o"), F.concat(F.lit("p"), F.col("l_partkey")).alias("text"))
+    ranked = O.numbered(li, ["table_id"], ["o", "text"], "n").withColumn("n", F.col("n") - 1)
+    size = li.groupBy("table_id").agg(F.count(F.lit(1)).alias("size"))
+    r, c = F.floor(F.col("n") / 2).cast("int"), (F.col("n") % 2).cast("int")
+    last = (F.col("n") == F.col("size") - 1) & (F.col("size") % 2 == 1)
+    return ranked.join(size, "table_id").select("table_id", r.alias("r0"), c.alias("c0"), (r + 1).alias("r1"), F.when(last, c + 2).otherwise(c + 1).alias("c1"), "text")
+
+
+CELLS = "cells AS (SELECT table_id, (n // 2)::INTEGER AS r0, (n % 2)::INTEGER AS c0, (n // 2 + 1)::INTEGER AS r1, (CASE WHEN n = size - 1 AND size % 2 = 1 THEN n % 2 + 2 ELSE n % 2 + 1 END)::INTEGER AS c1, text FROM (SELECT l_orderkey AS table_id, 'p' || l_partkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem))"
+UNITS = "units AS (SELECT table_id, r, unnest(generate_series(c0, c1 - 1))::INTEGER AS c, text FROM (SELECT *, r0 AS r FROM cells))"
+
+
+@query(f"WITH {CELLS}, {UNITS} SELECT table_id, r, c, text FROM units")
+def grid_expand(spark, sf):
+    return TB.expanded(_cells(spark, sf), ["table_id"]).select("table_id", "r", "c", "text")
+
+
+@query(f"WITH {CELLS} SELECT table_id, text, row_number() OVER (PARTITION BY table_id ORDER BY c0) AS place FROM cells WHERE r0 <= 1 AND r1 > 1")
+def row_lookup(spark, sf):
+    return TB.row_of(_cells(spark, sf), ["table_id"], 1).select("table_id", "text", "place")
+
+
+@query(f"WITH {CELLS}, {UNITS} SELECT table_id, r, string_agg(text, chr(9) ORDER BY c) AS line FROM units GROUP BY ALL")
+def table_to_rows(spark, sf):
+    return TB.text_rows(_cells(spark, sf), ["table_id"])
+
+
+@query(f"WITH {CELLS}, rows_ AS (SELECT table_id, r0, string_agg('<td' || CASE WHEN c1 - c0 > 1 THEN ' colspan=\"' || (c1 - c0) || '\"' ELSE '' END || '>' || text || '</td>', '' ORDER BY c0) AS tr FROM cells GROUP BY ALL) SELECT table_id, '<table>' || string_agg('<tr>' || tr || '</tr>', '' ORDER BY r0) || '</table>' AS html FROM rows_ GROUP BY table_id")
+def table_html(spark, sf):
+    return TB.to_html(_cells(spark, sf), ["table_id"])
+
+
+@query()
+def table_markdown(spark, sf):
+    return TB.to_markdown(_cells(spark, sf), ["table_id"])
+
+
+@query()
+def cross_page_union(spark, sf):
+    """Tables under one another, the lower one with a copy of the upper one's first row."""
+    cells = _cells(spark, sf)
+    return TB.stacked(cells, cells, ["table_id"])
+
+
+@query("SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) <= 5")
+def cosine_topn(spark, sf):
+    """The five nearest vectors of every hundredth one, queries dealt to all blocks of vectors."""
+    e = R.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    blocks = 16
+    rows = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.round(dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v"))), 6)
+    near = rows.join(queries, "block").where("vec_id <> query_id").select("query_id", "block", "vec_id", cosine.alias("cosine"))
+    order = [F.desc("cosine"), "vec_id"]
+    return O.top_n(O.top_n(near, ["query_id", "block"], order, 5), ["query_id"], order, 5).select("query_id", "vec_id", "cosine")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id")
+def turn_concat(spark, sf):
+    c = R.table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("text")).distinct()
+    return H.joined(c, ["conv_id"], ["turn"], "text", "\n").select("conv_id", "text", F.col("n_parts").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '# ' || t ELSE t END, chr(10) || chr(10) ORDER BY turn) AS markdown FROM (SELECT DISTINCT conv_id, turn, role, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM conversations) GROUP BY conv_id")
+def markdown_render(spark, sf):
+    c = R.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").distinct()
+    e = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.when(F.col("role") == "user", "title").otherwise("text").alias("type"), "text", F.lit("1").alias("cid"))
+    return H.to_markdown(e).select(F.col("doc_id").alias("conv_id"), "markdown")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_paragraphs, len(regexp_extract_all(html, '<a '))::BIGINT AS n_links FROM pages")
+def html_blocks(spark, sf):
+    p = R.table(spark, sf, "pages")
+    count = lambda tag: F.regexp_count("html", F.lit(tag)).cast("long")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), count("<p>").alias("n_paragraphs"), count("<a ").alias("n_links"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS chinese, regexp_matches(text, '[\x{0600}-\x{06ff}]') AS arabic, (length(text) - length(replace(replace(replace(text, '(', ''), '（', ''), '《', ''))) - (length(text) - length(replace(replace(replace(text, ')', ''), '）', ''), '》', ''))) AS balance FROM documents")
+def script_predicates(spark, sf):
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", T.has_chinese(t).alias("chinese"), T.has_arabic(t).alias("arabic"), T.open_brackets(t).cast("long").alias("balance"))
+
+
+@query("SELECT doc_id, list_reduce(list_prepend('', list_transform(generate_series(1, length(s)), lambda i: CASE WHEN s[i] = 'e' OR (i > 1 AND s[i] = s[i - 1]) THEN '' ELSE s[i] END)), lambda a, b: a || b) AS label FROM (SELECT doc_id, text[1:64] AS s FROM documents WHERE length(text) > 0)")
+def ctc_collapse(spark, sf):
+    """Label decoding of a symbol sequence with 'e' as the blank, on texts' opening symbols as a fixture."""
+    s = F.filter(F.split(F.substring("text", 1, 64), ""), lambda c: c != "")
+    return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", F.array_join(T.collapsed(s, "e"), "").alias("label"))
+
+
+@query()
+def chinese_numerals(spark, sf):
+    """Written forms of the parts' sizes and the values read back."""
+    digit = F.array(*[F.lit(d) for d in T.CHINESE_DIGITS])
+    n = F.col("p_size")
+    tens = F.when(n >= 20, F.concat(digit[F.floor(n / 10).cast("int")], F.lit("十"))).when(n >= 10, F.lit("十")).otherwise("")
+    written = F.concat(tens, F.when((n % 10 > 0) | (n == 0), digit[n % 10]).otherwise(""))
+    return R.table(spark, sf, "part").select("p_partkey", "p_size", written.alias("written")).withColumn("value", T.chinese_number(F.col("written")))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf):
+    return flows.tumbling(R.table(spark, sf, "events"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def events_sessions(spark, sf):
+    return flows.sessions(R.table(spark, sf, "events"))
+
+
+@query("SELECT n_name, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderpriority)")
+def rollup_orders(spark, sf):
+    o, c, n = (R.table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).rollup("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_lines(spark, sf):
+    return R.table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"))
+
+
+@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT s_suppkey FROM supplier INTERSECT SELECT o_custkey FROM orders)")
+def set_operations(spark, sf):
+    k = lambda t, c: R.table(spark, sf, t).select(F.col(c).alias("k"))
+    orders = k("orders", "o_custkey")
+    return k("customer", "c_custkey").subtract(orders).unionAll(k("supplier", "s_suppkey").intersect(orders))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3")
+def topk_orders(spark, sf):
+    return O.top_n(R.table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events")
+def asof_events(spark, sf):
+    e = R.table(spark, sf, "events")
+    return O.as_of(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", F.col("event_id")), "last_error").select("event_id", "last_error")
