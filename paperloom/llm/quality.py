@@ -133,36 +133,51 @@ def _outside(value: str, quartiles: str, above: bool) -> F.Column:
     return F.coalesce(F.greatest(by / F.greatest(high - low, F.lit(LEAST[value])), F.lit(0.0)), F.lit(0.0))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", short: float = SHORT, most_bytes: float = BYTES) -> DataFrame:
-    """A row for each document: id, the measured columns, base_failed, shortfall, byte_excess, kept."""
+#: Bands are broadcast up to this number of rows; beyond it they are joined by a shuffle.
+MAX_BROADCAST = 20_000
+
+
+def _banded(rows: DataFrame, bands: DataFrame, on: list[str]) -> DataFrame:
+    few = bands.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(bands) if few else bands, on, "left")
+
+
+def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str | None = "lang", short: float = SHORT, most_bytes: float = BYTES) -> DataFrame:
+    """docs' columns in `keep` with the measured ones, base_failed, shortfall, byte_excess and kept.
+
+    Names in `keep` are prefixed by k_, so that they can't clash with measured ones.
+    """
     small_batches(docs.sparkSession)
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    slim = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], lang.alias("lang"), F.col(text_col).alias("text"))
     types = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string"}
-    schema = f"id {dict(docs.dtypes)[id_col]}, lang string, " + ", ".join(f"{n} {types[t]}" for n, t in COLUMNS)
+    schema = ", ".join([f"`{n}` {t}" for n, t in slim.dtypes if n != "text"] + [f"{n} {types[t]}" for n, t in COLUMNS])
     rows = cut(slim.mapInArrow(_measured, schema), "quality-figures")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     fits = ~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS)
     rows = rows.withColumn("own_group", F.coalesce("lang", "script"))
     large = rows.where(fits).groupBy("own_group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_GROUP).select("own_group", F.col("own_group").alias("band"))
-    rows = rows.join(large, "own_group", "left").withColumn("band", F.coalesce("band", F.lit("*")))
+    rows = _banded(rows, cut(large, "quality-groups"), ["own_group"]).withColumn("band", F.coalesce("band", F.lit("*")))
     middle = rows.where(fits).groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, 0.5, 2000).alias(f"{f}_mid") for f in ("chars_per_token", "byte_share")]).where(F.col("n") >= MIN_GROUP).drop("n")
     root = F.sqrt("n_tokens")
-    rows = rows.join(middle, "band", "left").withColumn("z_chars", (F.col("chars_per_token") - F.col("chars_per_token_mid")) * root).withColumn("z_bytes", (F.col("byte_share") - F.col("byte_share_mid")) * root)
-    rows = cut(rows.withColumn("doubling", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")), "quality-standard")
+    rows = _banded(rows, cut(middle, "quality-middles"), ["band"]).withColumn("z_chars", (F.col("chars_per_token") - F.col("chars_per_token_mid")) * root).withColumn("z_bytes", (F.col("byte_share") - F.col("byte_share_mid")) * root)
+    rows = rows.withColumn("doubling", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     quartiles = rows.where(fits).groupBy("band").agg(*[F.percentile_approx(f, [0.25, 0.75], 2000).alias(f"{f}_q") for f in ("z_chars", "z_bytes")])
     by_length = rows.where(fits).groupBy("band", "doubling").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("token_entropy", [0.25, 0.75], 2000).alias("entropy_q")).where(F.col("n") >= MIN_GROUP).drop("n")
-    judged = rows.join(quartiles, "band", "left").join(by_length, ["band", "doubling"], "left")
-    judged = judged.withColumn("shortfall", _outside("z_chars", "z_chars_q", False) + _outside("token_entropy", "entropy_q", False)).withColumn("byte_excess", _outside("z_bytes", "z_bytes_q", True))
+    out = _banded(_banded(rows, cut(quartiles, "quality-quartiles"), ["band"]), cut(by_length, "quality-lengths"), ["band", "doubling"])
+    out = out.withColumn("shortfall", _outside("z_chars", "z_chars_q", False) + _outside("token_entropy", "entropy_q", False)).withColumn("byte_excess", _outside("z_bytes", "z_bytes_q", True))
     rejected = (F.col("n_tokens") >= MIN_TOKENS) & ((F.col("shortfall") > short) | (F.col("byte_excess") > most_bytes))
-    names = [n for n, _ in COLUMNS]
-    return judged.select(F.col("id").alias(id_col), *names, "base_failed", "shortfall", "byte_excess", (~F.col("base_failed") & ~rejected).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+    """A row for each document: id, the measured columns, base_failed, shortfall, byte_excess, kept."""
+    return judged(docs, [id_col], **params).select(F.col(f"k_{id_col}").alias(id_col), *[n for n, _ in COLUMNS], "base_failed", "shortfall", "byte_excess", "kept")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """docs, same columns, without rejected documents; of rows that repeat an id all go if one is rejected."""
-    bad = quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    """docs, same columns, without the rows that the rules reject. Rows travel with their figures, so no join moves texts."""
+    return judged(docs, docs.columns).where("kept").select(*[F.col(f"`k_{c}`").alias(c) for c in docs.columns])
 
 
 def op7_fertility_quality(spark, sf_dir: str) -> DataFrame:
