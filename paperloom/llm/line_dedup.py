@@ -117,7 +117,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = prints.join(first, "fp").where("id <> source or line <> source_line").groupBy("id", "source").agg(F.collect_set(F.struct("line", "source_line")).alias("places"))
     places = cut(places, "lines-places")
     needed = places.select("id").unionByName(places.select(F.col("source").alias("id"))).distinct()
-    lines = own.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_hash_rows, "id long, lines binary")
+    lines = own.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_hash_rows, "id long, lines binary")
     lines = cut(lines, "lines-hashes")
     both = places.join(lines, "id").join(lines.select(F.col("id").alias("source"), F.col("lines").alias("source_lines")), "source")
     runs = both.mapInArrow(_runs, "id long, runs array<struct<a: int, b: int>>")
@@ -144,7 +144,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """docs with later repeated runs of lines deleted from the text, and with _n_lines and _n_removed."""
     runs = repeated_runs(docs, id_col, text_col, min_words, window).select(F.col("id").alias("_run_id"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, docs[id_col] == runs["_run_id"], "left").drop("_run_id").withColumnRenamed(text_col, "_text")
+    joined = docs.join(runs.hint("merge"), docs[id_col] == runs["_run_id"], "left").drop("_run_id").withColumnRenamed(text_col, "_text")
     rest = [c for c in joined.columns if c not in ("_text", "_runs")]
     types = dict(joined.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in rest] + ["_text string, _n_lines long, _n_removed long"])

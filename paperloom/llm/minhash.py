@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     buckets = classes.select("id", F.explode("bands").alias("key"))
     first = buckets.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = cut(buckets.join(first, "key").select("id", "rep", "key"), "minhash-buckets")
-    sets = own.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(_full_sets(k), "id long, s binary").groupBy("id").agg(F.first("s").alias("s"))
+    sets = own.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(_full_sets(k), "id long, s binary").groupBy("id").agg(F.first("s").alias("s"))
     sets = cut(sets, "minhash-sets")
     stars = shared.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(verify(stars, sets, percent), "minhash-links")
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose document stands for its near-duplicate component."""
     kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept_id"], "left_semi")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
