@@ -11,16 +11,21 @@ def stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(folder)
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs times with a zone; a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums by window and type; rows later than `late` are dropped in a stream."""
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    grouped = (events.withWatermark("ts", late) if events.isStreaming else events).groupBy(span.alias("w"), "event_type")
+    grouped = _marked(events, late).groupBy(span.alias("w"), "event_type")
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each user: events no further apart than the gap."""
-    grouped = (events.withWatermark("ts", late) if events.isStreaming else events).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    grouped = _marked(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
