@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentence ends of the two profiles, closing marks that stay with a sentence, softer breaks.
@@ -99,3 +100,71 @@ def tidy_latex(text: Column) -> Column:
 
 def html_escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def contains_math(text: Column) -> Column:
+    """Whether the text begins or ends with a dollar sign."""
+    return text.startswith("$") | text.endswith("$")
+
+
+def is_latex(text: Column) -> Column:
+    """Whether the text has a command or escape, or a pair of dollar signs."""
+    return text.rlike(r"(?s)\\.|\$.*\$")
+
+
+def clean_name(text: Column) -> Column:
+    """Underscores for characters that names shouldn't hold."""
+    # Fixed value: these characters.
+    return F.regexp_replace(text, "[|@#!¡·$€%&()=?¿^*;:,¨´><+]", "_")
+
+
+def softmax(scores: Column) -> Column:
+    """Shares of an array's exponentials, taken from its largest value; empty stays empty."""
+    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
+
+
+def reversed_runs(text: Column) -> Column:
+    """Right-to-left text in reading order: reversed, while runs of Latin letters, digits and marks keep theirs."""
+    # Fixed value: the characters of such runs.
+    run = "a-zA-Z0-9 :*./%+-"
+    return F.array_join(F.reverse(F.regexp_extract_all(text, F.lit(f"(?s)[{run}]+|[^{run}]"), F.lit(0))), "")
+
+
+def _without_tail(text: str, least: int) -> str:
+    """text without the copies of its longest repeated tail; candidates are where its last `least` characters recur."""
+    n = len(text)
+    if n < 2 * least:
+        return text
+    end = text[-least:]
+    at = text.find(end, n - least - max(n // 2 - 1, 0))
+    while 0 <= at <= n - 2 * least:
+        r = n - least - at
+        tail = text[n - r :]
+        if text[n - 2 * r : n - r] == tail:
+            while n >= r and text.endswith(tail, 0, n):
+                n -= r
+            return text[:n]
+        at = text.find(end, at + 1)
+    return text
+
+
+def without_repeated_tail(text: Column, least: int = 15) -> Column:
+    """The text up to its longest tail that stands twice or more at its end, of `least` to half of its code points. Null gives null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _without_tail(t, least))
+
+    return run(text)
+
+
+def known_prefixes(words: DataFrame, known: DataFrame, word: str = "word") -> DataFrame:
+    """(word, matches): prefixes of each distinct word that `known` holds, shorter ones first; one of a single character goes if there are others."""
+    known = known.select(F.col(word).alias("_known")).where("_known <> ''").distinct()
+    longest = known.agg(F.max(F.length("_known"))).first()[0] or 0
+    stems = words.select(word).where(F.length(word) > 0).distinct().select(word, F.explode(F.sequence(F.lit(1), F.least(F.length(word), F.lit(max(longest, 1))))).alias("_n"))
+    found = stems.withColumn("_known", F.substring(word, F.lit(1), F.col("_n"))).join(known, "_known")
+    matches = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_known"))), lambda x: x["_known"])
+    few = F.when((F.size("m") > 1) & (F.length(F.col("m")[0]) == 1), F.slice("m", F.lit(2), F.size("m") - 1)).otherwise(F.col("m"))
+    return found.groupBy(word).agg(matches.alias("m")).select(word, few.alias("matches"))

@@ -114,3 +114,58 @@ def components(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int
         if step.where("was <> label").isEmpty():
             break
     return labels.withColumnRenamed("label", "component")
+
+
+def filtered_nms(boxes: DataFrame, keys: list[str], conf: float = 0.25, least: float = 0.45, classes: list | None = None, agnostic: bool = False, best: int = 30_000, most: int = 300, label: str = "label", id_col: str = "box_id", score: str = "score") -> DataFrame:
+    """Detections above `conf` of some classes, the `best` of an image by score, suppressed within labels (or across them), `most` of an image."""
+    kept = boxes.where(F.col(score) > conf)
+    if classes is not None:
+        kept = kept.where(F.col(label).isin(classes))
+    order = Window.partitionBy(*keys).orderBy(F.desc(score), id_col)
+    kept = kept.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= best).drop("_rank")
+    out = nms(kept, keys, least, most, None if agnostic else label, id_col, score)
+    return out.join(kept.select(*keys, id_col, label), [*keys, id_col]) if agnostic else out
+
+
+def _at(row) -> G.Box:
+    return G.Box(row["x0"], row["y0"], row["x1"], row["y1"])
+
+
+def area_suppressed(boxes: DataFrame, keys: list[str], share: float = 0.5, id_col: str = "box_id") -> DataFrame:
+    """By falling area (ties: smaller id), a box goes if a kept one holds `share` of its area."""
+    row = F.struct((-G.area(G.box())).alias("_order"), *[F.col(c) for c in (id_col, "x0", "y0", "x1", "y1")])
+    items = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("items"))
+    folded = F.aggregate("items", F.slice("items", 1, 0), lambda kept, new: F.when(F.exists(kept, lambda k: F.round(G.share_of(_at(k), _at(new)), 6) >= share), kept).otherwise(F.array_append(kept, new)))
+    return items.select(*keys, F.explode(folded).alias("_k")).select(*keys, *[F.col(f"_k.{c}").alias(c) for c in (id_col, "x0", "y0", "x1", "y1")])
+
+
+def soft_nms(boxes: DataFrame, keys: list[str], sigma: float = 0.5, least_score: float = 0.001, id_col: str = "box_id", score: str = "score") -> DataFrame:
+    """(keys, id, score): the best box is taken again and again, and the scores of the others fall by exp(-IoU^2 / sigma); those at `least_score` or below go."""
+    row = F.struct(F.col(score).cast("double").alias("score"), (-F.col(id_col)).alias("back"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    items = boxes.where(F.col(score) > least_score).groupBy(*keys).agg(F.collect_list(row).alias("items"))
+
+    def step(state, _):
+        top = F.array_max(state["rest"])
+
+        def fallen(x):
+            lower = x["score"] * F.exp(-F.pow(G.iou(_at(x), _at(top)), F.lit(2.0)) / sigma)
+            return F.struct(lower.alias("score"), *[x[c].alias(c) for c in ("back", "x0", "y0", "x1", "y1")])
+
+        rest = F.filter(F.transform(F.filter(state["rest"], lambda x: x["back"] != top["back"]), fallen), lambda x: x["score"] > least_score)
+        return F.when(top.isNull(), state).otherwise(F.struct(rest.alias("rest"), F.array_append(state["kept"], top).alias("kept")))
+
+    start = F.struct(F.col("items").alias("rest"), F.slice("items", 1, 0).alias("kept"))
+    kept = F.aggregate(F.sequence(F.lit(1), F.size("items")), start, step, lambda s: s["kept"])
+    return items.select(*keys, F.explode(kept).alias("_k")).select(*keys, (-F.col("_k.back")).alias(id_col), F.round("_k.score", 6).alias("score"))
+
+
+def greedy_matches(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.5, truth_id: str = "box_id", found_id: str = "box_id") -> DataFrame:
+    """(keys, truth, found): in order of ids, each pair with IoU above `least` whose boxes are both still free. Leave don't-care boxes out beforehand."""
+    a, b = G.box("l"), G.box("r")
+    near = pairs(truth, found, keys, condition=G.touches(a, b) & (F.round(G.iou(a, b), 6) > least)).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.struct(F.col(f"l.{truth_id}").alias("truth"), F.col(f"r.{found_id}").alias("found")).alias("_p"))
+    items = near.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("items"))
+
+    def step(taken, p):
+        return F.when(F.exists(taken, lambda t: (t["truth"] == p["truth"]) | (t["found"] == p["found"])), taken).otherwise(F.array_append(taken, p))
+
+    return items.select(*keys, F.inline(F.aggregate("items", F.slice("items", 1, 0), step)))

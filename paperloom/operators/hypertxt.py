@@ -67,3 +67,27 @@ def markdown_line(kind: Column, text: Column, cid: Column) -> Column:
 def to_markdown(elements: DataFrame) -> DataFrame:
     lines = elements.withColumn("md", markdown_line(F.col("type"), F.col("text"), F.coalesce("cid", F.lit("1"))))
     return joined(lines, ["doc_id"], ["idx"], "md", "\n\n").select("doc_id", F.col("md").alias("markdown"))
+
+
+def merged_scopes(scopes: DataFrame, keys: list[str], view: str = "view", values: str = "values") -> DataFrame:
+    """The sorted distinct values of several scopes for each view."""
+    return scopes.select(*keys, view, F.explode(values).alias("_v")).groupBy(*keys, view).agg(F.array_sort(F.collect_set("_v")).alias(values))
+
+
+def with_title(context: DataFrame, titles: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, idx, sid, pid, type, text) with each title as the text of the first element with sid 0, or as an element before all others where there is none.
+
+    titles: one row (id, title) a document, of documents without elements too.
+    """
+    fields = ["idx", "sid", "pid", "type", "text"]
+    heads = context.groupBy(id_col).agg(F.min(F.when(F.col("sid") == 0, F.col("idx"))).alias("_head"), F.min("idx").alias("_first"))
+    rows = context.join(heads.join(titles, id_col), id_col, "left")
+    text = F.when((F.col("idx") == F.col("_head")) & F.col("title").isNotNull(), F.col("title")).otherwise(F.col("text"))
+    kept = rows.select(id_col, *[text.alias("text") if c == "text" else F.col(c) for c in fields])
+    added = titles.join(heads, id_col, "left").where("_head is null and title is not null").select(id_col, F.coalesce(F.col("_first") - 1, F.lit(0)).cast(dict(context.dtypes)["idx"]).alias("idx"), F.lit(0).alias("sid"), F.lit(0).alias("pid"), F.lit("title").alias("type"), F.col("title").alias("text"))
+    return kept.unionByName(added)
+
+
+def nested_tables(docs: DataFrame, id_col: str = "doc_id", nested: str = "nested_tables") -> DataFrame:
+    """(id, key, table_id, table) of a map whose keys begin with the number of the outer table and a bar."""
+    return docs.select(id_col, F.explode(nested).alias("key", "table")).select(id_col, "key", F.split_part("key", F.lit("|"), F.lit(1)).try_cast("int").alias("table_id"), "table")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,40 @@ def confusion(pairs: DataFrame, truth: str, pred: str) -> DataFrame:
     return pairs.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(label, weight): inverse frequencies that sum to 1. Labels are few, so their total is one window."""
+    inverse = rows.groupBy(label).agg((1 / F.count(F.lit(1))).alias("weight"))
+    return inverse.select(label, (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+
+
+def image_weights(rows: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """Sum of the class weights of each image's boxes."""
+    return rows.join(class_weights(rows, label), label).groupBy(*keys).agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+# Layout label families as (truth labels, predicted labels).
+LABEL_FAMILIES = {
+    "Image": (["Figure"], ["Picture", "Figure"]),
+    "Table": (["Table"], ["Table"]),
+    "Text": (["Text", "List"], ["Text", "Formula", "Footnote", "Caption", "List-item"]),
+    "Title": (["Title"], ["Section-header", "Title"]),
+}
+
+
+def label_family(label: Column, predicted: bool, families: dict[str, tuple[list[str], list[str]]] = LABEL_FAMILIES) -> Column:
+    """Family of a truth or predicted label; null for labels of none."""
+    out = F.lit(None).cast("string")
+    for name, members in families.items():
+        out = F.when(label.isin(members[int(predicted)]), name).otherwise(out)
+    return out
+
+
+def counted_accuracy(pairs: DataFrame, keys: list[str], pred: str = "pred", target: str = "target", eps: float = 1e-5) -> DataFrame:
+    """Exact matches over pairs plus eps."""
+    equal = F.coalesce(F.col(pred) == F.col(target), F.lit(False))
+    return pairs.groupBy(*keys).agg(F.round(F.sum(equal.cast("double")) / (F.count(F.lit(1)) + eps), 6).alias("accuracy"))
+
+
 def coverage(boxes: DataFrame, covers: DataFrame, keys: list[str], id_col: str = "box_id") -> DataFrame:
     """Share of each box that covers hold, overlaps counted twice, 1 at most."""
     joined = boxes.alias("l").join(covers.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [G.touches(G.box("l"), G.box("r"))])

@@ -15,6 +15,7 @@ from .functions import text as T
 from .operators import boxes as B
 from .operators import chapters as C
 from .operators import hypertxt as H
+from .operators import layout as L
 from .operators import metrics as M
 from .operators import ordered as O
 from .operators import tables as TB
@@ -433,3 +434,147 @@ def topk_orders(spark, sf):
 def asof_events(spark, sf):
     e = R.table(spark, sf, "events")
     return O.as_of(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", F.col("event_id")), "last_error").select("event_id", "last_error")
+
+
+@query(f"WITH {BOXES} SELECT label, round(w / sum(w) OVER (), 6) AS weight FROM (SELECT label, 1.0::DOUBLE / count(*) AS w FROM boxes GROUP BY 1)")
+def class_weights(spark, sf):
+    return M.class_weights(_boxes(spark, sf)).select("label", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {BOXES}, w AS (SELECT label, w / sum(w) OVER () AS weight FROM (SELECT label, 1.0::DOUBLE / count(*) AS w FROM boxes GROUP BY 1)) SELECT image_id, round(sum(weight), 6) AS weight FROM boxes JOIN w USING (label) GROUP BY 1")
+def image_weights(spark, sf):
+    return M.image_weights(_boxes(spark, sf), ["image_id"])
+
+
+@query(f"WITH {BOXES} SELECT CASE WHEN label = 'A' THEN 'Table' ELSE 'Text' END AS truth, CASE WHEN label IN ('A', 'N') THEN 'Table' ELSE 'Text' END AS pred, count(*) AS n FROM boxes GROUP BY ALL")
+def label_families(spark, sf):
+    families = {"Table": (["A"], ["A", "N"]), "Text": (["N", "R"], ["R"])}
+    return _boxes(spark, sf).select(M.label_family(F.col("label"), False, families).alias("truth"), M.label_family(F.col("label"), True, families).alias("pred")).groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, round(sum(CASE WHEN lower(text) = text THEN 1 ELSE 0 END) / (count(*) + 0.00001), 6) AS accuracy FROM documents GROUP BY 1")
+def counted_accuracy(spark, sf):
+    return M.counted_accuracy(_docs(spark, sf).withColumn("target", F.lower("text")), ["lang"], "text")
+
+
+@query(f"WITH {LAYOUT}, c AS (SELECT doc_id, page_no, (x0 // 5)::INTEGER AS bin, count(*) AS n FROM layout WHERE x0 // 5 < 160 GROUP BY ALL), s AS (SELECT doc_id, page_no, sum(CASE WHEN bin < 80 THEN n ELSE 0 END) AS l, sum(CASE WHEN bin >= 80 THEN n ELSE 0 END) AS r FROM c GROUP BY ALL), g AS (SELECT doc_id, page_no, bin, bin - coalesce(lag(bin) OVER (PARTITION BY doc_id, page_no ORDER BY bin), 47) - 1 AS run FROM c WHERE bin BETWEEN 48 AND 111), f AS (SELECT doc_id, page_no, arg_min(run, bin) AS run FROM g WHERE run >= 3 GROUP BY ALL) SELECT doc_id, page_no, (CASE WHEN l > 10 AND r > 10 THEN coalesce(run, 0) * 5 ELSE 0 END)::INTEGER AS gap_width FROM s LEFT JOIN f USING (doc_id, page_no)")
+def column_gaps(spark, sf):
+    return L.column_gaps(R.word_layout(_docs(spark, sf)), ["doc_id", "page_no"], 800)
+
+
+@query(f"WITH {LAYOUT} SELECT doc_id, page_no, CASE WHEN x0 < 400 THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM layout GROUP BY ALL")
+def column_sides(spark, sf):
+    return L.column_side(R.word_layout(_docs(spark, sf)), 800).groupBy("doc_id", "page_no", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH m AS (SELECT l_orderkey, round(abs(l_quantity - avg(l_quantity) OVER w), 6) <= round(stddev_pop(l_quantity) OVER w * 1.3, 6) AS inside FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT l_orderkey, count(*) AS n, round(avg(inside::INTEGER), 6) AS share, round(avg(inside::INTEGER), 6) >= 0.8 AS consistent FROM m GROUP BY 1")
+def inlier_share(spark, sf):
+    return L.inliers(R.table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", 1.3)
+
+
+@query(f"WITH {BOXES}, b AS (SELECT image_id, floor(abs(y1 - y0) * 7 / 50) AS k, count(*) AS n, avg((y1 - y0) * 7) AS m FROM boxes GROUP BY ALL) SELECT image_id, round(least(arg_max(m, (n, -k)) / 3, 20), 6) AS threshold FROM b GROUP BY 1")
+def distance_thresholds(spark, sf):
+    return L.distance_threshold(_boxes(spark, sf).withColumn("y0", F.col("y0") * 7).withColumn("y1", F.col("y1") * 7), ["image_id"])
+
+
+@query(f"WITH {BOXES} SELECT image_id, coalesce(median(CASE WHEN x1 - x0 > 2 * (y1 - y0) THEN floor(y1 - y0) END), 10) AS line_height FROM boxes GROUP BY 1")
+def line_heights(spark, sf):
+    return L.line_height(_boxes(spark, sf), ["image_id"])
+
+
+@query(f"WITH {BOXES}, t AS (SELECT image_id, box_id, x0, x0 + (x1 - x0) / 6 AS x1, y0 AS top, y1 AS bottom FROM boxes), s AS (SELECT * FROM t WHERE x1 - x0 < 4 OR bottom - top < 4) SELECT image_id, box_id, 'top' AS side, 'h' AS orientation, x0, x1, top, top AS bottom FROM s UNION ALL SELECT image_id, box_id, 'bottom', 'h', x0, x1, bottom, bottom FROM s UNION ALL SELECT image_id, box_id, 'left', 'v', x0, x0, top, bottom FROM s UNION ALL SELECT image_id, box_id, 'right', 'v', x1, x1, top, bottom FROM s")
+def rect_edges(spark, sf):
+    b = _boxes(spark, sf).select("image_id", "box_id", "x0", (F.col("x0") + (F.col("x1") - F.col("x0")) / 6).alias("x1"), F.col("y0").alias("top"), F.col("y1").alias("bottom"))
+    return L.rect_edges(b)
+
+
+@query(f"WITH {BOXES} SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY round_even(y0 / 1.25, 0) * 1.25, x0, box_id)::INTEGER AS place FROM boxes")
+def bucketed_order(spark, sf):
+    return L.bucketed_order(_boxes(spark, sf), ["image_id"]).select("image_id", "box_id", "place")
+
+
+@query(f"WITH RECURSIVE {LAYOUT}, p AS (SELECT DISTINCT doc_id, page_no FROM layout), c AS (SELECT doc_id, page_no, CASE WHEN page_no % 6 = 0 THEN 'p.' || page_no END AS known, 'p.' || (page_no + CASE WHEN (page_no + doc_id) % 5 = 4 THEN 1 ELSE 0 END) AS candidate FROM p), r AS (SELECT doc_id, page_no, known AS page_number FROM c WHERE known IS NOT NULL UNION SELECT c.doc_id, c.page_no, candidate FROM r JOIN c ON c.doc_id = r.doc_id AND c.page_no = r.page_no + 1 AND known IS NULL AND regexp_replace(candidate, '[^0-9]', '', 'g')::BIGINT = regexp_replace(page_number, '[^0-9]', '', 'g')::BIGINT + 1) SELECT doc_id, page_no, page_number FROM c LEFT JOIN r USING (doc_id, page_no)")
+def continued_page_numbers(spark, sf):
+    pages = R.word_layout(_docs(spark, sf)).select("doc_id", "page_no").distinct()
+    off = F.when((F.col("page_no") + F.col("doc_id")) % 5 == 4, 1).otherwise(0)
+    made = pages.withColumn("known", F.when(F.col("page_no") % 6 == 0, F.concat(F.lit("p."), F.col("page_no")))).withColumn("candidate", F.concat(F.lit("p."), F.col("page_no") + off))
+    return L.continued_page_numbers(made).select("doc_id", "page_no", "page_number")
+
+
+@query(f"WITH e AS (SELECT doc_id, line_no // 5 AS page_no, arg_min(length(line) % 3 = 0, line_no) AS f, arg_max(length(line) % 3 = 0, line_no) AS l FROM ({LINES}) GROUP BY ALL) SELECT a.doc_id, a.page_no FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.page_no = a.page_no + 1 WHERE a.l AND b.f")
+def tables_across_pages(spark, sf):
+    e = O.flattened_lines(_docs(spark, sf)).select("doc_id", F.floor(F.col("line_no") / 5).cast("int").alias("page_no"), F.col("line_no").alias("idx"), F.when(F.length("line") % 3 == 0, "table").otherwise("text").alias("type"))
+    return L.tables_across_pages(e)
+
+
+@query(f"WITH {BOXES}, h AS (SELECT *, y1 * 2 - y0 AS e FROM boxes) SELECT image_id, box_id, (CASE WHEN e - y0 > 35 THEN y0 + 8 ELSE floor((y0 + e) / 2) - k END)::BIGINT AS top, (CASE WHEN e - y0 > 35 THEN e - 8 ELSE floor((y0 + e) / 2) + k END)::BIGINT AS bottom FROM (SELECT *, CASE WHEN e - y0 > 30 THEN 7 WHEN e - y0 > 25 THEN 6 WHEN e - y0 > 20 THEN 5 WHEN e - y0 > 15 THEN 4 WHEN e - y0 > 10 THEN 3 ELSE 2 END AS k FROM h)")
+def shrunk_boxes(spark, sf):
+    b = _boxes(spark, sf).withColumn("y1", F.col("y1") * 2 - F.col("y0"))
+    top, bottom = L.shrunk(G.box())
+    return b.select("image_id", "box_id", top.alias("top"), bottom.alias("bottom"))
+
+
+@query(f"SELECT doc_id, count(*) AS n, sum((length(line) <= 3)::INTEGER)::BIGINT AS n_short FROM ({LINES}) WHERE length(trim(line)) >= 4 OR length(line) <= 3 GROUP BY 1")
+def line_hygiene(spark, sf):
+    lines = O.flattened_lines(_docs(spark, sf)).withColumnRenamed("line", "text")
+    both = L.with_text(lines, 4).unionByName(L.readable_chars(lines))
+    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.length("text") <= 3).cast("long")).alias("n_short"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?s)\\.|\$.*\$') AS latex, text LIKE '$%' OR text LIKE '%$' AS math, regexp_replace(text, '[|@#!¡·$€%&()=?¿^*;:,¨´><+]', '_', 'g') AS name FROM documents")
+def text_predicates(spark, sf):
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", T.is_latex(t).alias("latex"), T.contains_math(t).alias("math"), T.clean_name(t).alias("name"))
+
+
+@query("WITH s AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM s) SELECT vec_id, i::INTEGER AS i, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e")
+def softmax_scores(spark, sf):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return R.table(spark, sf, "embeddings").select("vec_id", F.posexplode(T.softmax(v)).alias("i", "p")).select("vec_id", "i", F.round("p", 6).alias("p"))
+
+
+@query()
+def tail_repetitions(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.without_repeated_tail(F.col("text")).alias("text"))
+
+
+@query("WITH d AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), q AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents), p AS (SELECT word, unnest(generate_series(1, least(length(word), 100))) AS n FROM q), m AS (SELECT word, n, w FROM p JOIN d ON w = substring(word, 1, n)), k AS (SELECT word, count(*) AS c FROM m GROUP BY 1) SELECT word, string_agg(w, ' ' ORDER BY n) AS matches FROM m JOIN k USING (word) WHERE n > 1 OR c = 1 GROUP BY 1")
+def known_prefixes(spark, sf):
+    words = lambda t: R.table(spark, sf, t).select(F.explode(F.split("text", " ")).alias("word"))
+    return T.known_prefixes(words("documents"), words("benchmark")).select("word", F.array_join("matches", " ").alias("matches"))
+
+
+@query()
+def soft_nms_scores(spark, sf):
+    return B.soft_nms(_boxes(spark, sf).withColumn("score", F.col("score") / 100000), ["image_id"])
+
+
+@query()
+def area_suppressed(spark, sf):
+    return B.area_suppressed(_boxes(spark, sf), ["image_id"])
+
+
+@query()
+def filtered_nms(spark, sf):
+    return B.filtered_nms(_boxes(spark, sf), ["image_id"], 20000, 0.2, ["A", "N"])
+
+
+@query()
+def greedy_matches(spark, sf):
+    """Boxes of one line status against those of the other."""
+    b = _boxes(spark, sf)
+    return B.greedy_matches(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"], 0.05)
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct([doc_id % 7, doc_id % 5, doc_id % 3])), ' ') AS values FROM documents")
+def merged_scopes(spark, sf):
+    d = _docs(spark, sf)
+    parts = [d.select("doc_id", F.lit("pid").alias("view"), F.array(*[F.col("doc_id") % k for k in ks]).alias("values")) for ks in ((7, 5), (3, 5))]
+    return H.merged_scopes(parts[0].unionByName(parts[1]), ["doc_id"]).select("doc_id", F.array_join("values", " ").alias("values"))
+
+
+@query(f"WITH l AS (SELECT doc_id, line_no AS idx, line_no + (doc_id % 2)::INTEGER AS sid, line AS text FROM ({LINES})) SELECT doc_id, idx, sid, CASE WHEN sid = 0 THEN 'T' || doc_id ELSE text END AS text FROM l UNION ALL SELECT doc_id, -1, 0, 'T' || doc_id FROM l WHERE doc_id % 2 = 1 AND idx = 0")
+def titled_documents(spark, sf):
+    lines = O.flattened_lines(_docs(spark, sf)).select("doc_id", F.col("line_no").alias("idx"), (F.col("line_no") + (F.col("doc_id") % 2).cast("int")).alias("sid"), F.col("line_no").alias("pid"), F.lit("text").alias("type"), F.col("line").alias("text"))
+    titles = _docs(spark, sf).where("text is not null").select("doc_id", F.concat(F.lit("T"), F.col("doc_id")).alias("title"))
+    return H.with_title(lines, titles).select("doc_id", "idx", "sid", "text")
