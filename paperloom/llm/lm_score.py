@@ -39,7 +39,8 @@ SAMPLE = 4000
 SAMPLE_DOCS = 8
 MAX_FREQUENT = 200_000
 CHUNK = 4_000_000
-BUCKET_BYTES = 32_000_000
+#: Text bytes whose n-grams a bucket holds; one task holds a bucket of them in memory.
+BUCKET_BYTES = 12_000_000
 _LOW = U64((1 << 48) - 1)
 
 
