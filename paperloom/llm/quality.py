@@ -3,7 +3,7 @@
 A public vocabulary (byte-level fall-back pieces included) measures each text:
 chars_per_token, byte_share (fall-back byte pieces among all tokens) and token_entropy (bits per
 token, over log2 of the number of tokens). Documents are grouped by language or, where that is
-null, by the script of most letters. A figure of a short text varies more, so chars_per_token and
+null, by the script of most letters of the whole text. A figure of a short text varies more, so chars_per_token and
 byte_share are taken as their distance from the group's median times the square root of the number
 of tokens, and token_entropy within the doubling of tokens that a text falls into. The quartiles of
 these over all documents of a group give its bands; what lies outside is counted in quartile
@@ -57,13 +57,19 @@ def _pieces():
     return _model
 
 
+_script_of: dict[int, str | None] = {}
+
+
 def script(text: str) -> str:
-    """Script of most letters among the first match of each of 64 stretches; 'none' without letters."""
+    """Script of most letters of the whole text, ties to the later name; 'none' without letters."""
     counts: dict[str, int] = {}
-    step = max(1, len(text) // 64)
-    for i in range(0, len(text), step):
-        if m := _SCRIPT.search(text, i, min(len(text), i + step)):
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
+    points, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    for point, times in zip(points.tolist(), n.tolist()):
+        if point not in _script_of:
+            m = _SCRIPT.match(chr(point))
+            _script_of[point] = m.lastgroup if m else None
+        if name := _script_of[point]:
+            counts[name] = counts.get(name, 0) + times
     return max(counts, key=lambda k: (counts[k], k)) if counts else "none"
 
 

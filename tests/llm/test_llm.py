@@ -182,6 +182,12 @@ def test_quality_base_columns(spark, corpus):
         assert r.base_failed == (len(w) < 50 or 100 * len(marked) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_script_reads_the_whole_text():
+    assert quality.script("") == "none" and quality.script("12 !\udce9") == "none"
+    assert quality.script("ab " + "中文字" * 3) == "Han" and quality.script("Привет " * 9 + "word " * 3) == "Cyrillic"
+    assert quality.script("abc " * 5000 + "мир" * 6000) == "Cyrillic"
+
+
 def test_quality_bands_reject_symbols_and_keep_clean(spark):
     rng = random.Random(5)
     rows = [(i, text(rng, rng.randint(80, 300)), "en") for i in range(300)]
