@@ -14,7 +14,8 @@ piece scores along a path would be a unigram model's criterion, not that of this
 vocabulary; with the 0/infinity weights there is exactly one path of finite weight, and it is the
 segmentation that the merges give. No piece has a meta symbol after another character, or letters beside
 other characters (checked when compiling), so every path passes the states at such borders, and the
-shortest path of a text is the concatenation of those of its words, kept in a bounded table.
+shortest path of a text is the concatenation of those of its words. Two bounded tables keep the paths
+of words and of stretches between spaces.
 
 Decoding maps pieces to their characters, joins byte pieces, and undoes the normaliser. decode(encode(t))
 is t for every text without the meta symbol itself, which decodes to a space. Null texts count as
@@ -23,6 +24,8 @@ empty: no ids. Rows that repeat an id each get a row; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +39,34 @@ from .common import column, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 META = "▁"
-#: Words remembered by a process; longer words are composed anew each time.
-TABLE = 300_000
+#: Words and stretches remembered by a process; longer ones are composed anew each time.
+TABLE = 200_000
 TABLE_CHARS = 40
+#: Stretches of a text with a space put in front, without their first space.
+_STRETCHES = re.compile(" ( *[^ ]*)")
 #: Runs of letters, of other characters, each with the meta symbols before it.
 _WORDS = regex.compile(rf"{META}*+(?:[\p{{L}}\p{{M}}]++|[^\p{{L}}\p{{M}}{META}]++)|{META}++")
 _BORDER = regex.compile(rf"[\p{{L}}\p{{M}}][^\p{{L}}\p{{M}}]|[^\p{{L}}\p{{M}}{META}][\p{{L}}\p{{M}}{META}]")
 
 
+class Memo(dict):
+    """Results by key, made when missing; two generations of TABLE keys, so that frequent keys stay. Longer keys are made anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        if len(key) <= TABLE_CHARS:
+            if len(self) >= TABLE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 class Transducer:
     """The compiled composition of normaliser, pieces and byte fall-back."""
 
@@ -65,6 +88,7 @@ class Transducer:
         self.bytes_ = [b"" if i in self.byte_of else self.text[i].encode() for i in range(n)]
         for i, value in self.byte_of.items():
             self.bytes_[i] = bytes([value])
+        self.plain = [b.replace(META.encode(), b" ") for b in self.bytes_]
         if crossing := [self.text[i] for i in usable if _BORDER.search(self.text[i])]:
             raise ValueError(f"pieces span borders between words: {crossing[:5]}")
         self.id = {self.text[i]: i for i in usable}
@@ -80,7 +104,8 @@ class Transducer:
                 del self.rank[piece]
         self.begins = {x[:k] for x in self.rank for k in range(1, len(x) + 1)}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.words = Memo(self._word)
+        self.stretches = Memo(self._stretch)
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose merge completes the piece, or None if merges never arrive at it."""
@@ -118,72 +143,72 @@ class Transducer:
         return ok
 
     def _shortest(self, chars: str) -> list[str]:
-        """The pieces on the one finite path; last holds the piece that this path has before each state."""
+        """The pieces on the one finite path; last holds the piece that this path has before each state.
+
+        Each state is reached by one finite path at most, so arcs may be followed in any order: long ones first.
+        """
         n = len(chars)
         last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        rank, begins, fits = self.rank, self.begins, self.fits
-        for start in range(n):
-            before = last[start]
-            if before is None:
-                continue
-            free = before not in rank
-            end = start + 1
+        rank, begins, fits, weight = self.rank, self.begins, self.fits, self.weight
+        before, end = "", 0
+        arcs: list[tuple[str, str, int]] = []
+        while end < n:
+            start, end = end, end + 1
             piece = chars[start:end]
             if piece not in rank:
-                last[end] = piece
-                continue
-            while piece in begins:
-                if last[end] is None and piece in rank:
-                    if free:
-                        last[end] = piece
-                    else:
-                        ok = fits.get((before, piece))
-                        if self.weight(before, piece) if ok is None else ok:
-                            last[end] = piece
-                end += 1
-                if end > n:
-                    break
-                piece = chars[start:end]
+                arcs.append(("", piece, end))
+            else:
+                left = before if before in rank else ""
+                while piece in begins:
+                    if piece in rank:
+                        arcs.append((left, piece, end))
+                    end += 1
+                    if end > n:
+                        break
+                    piece = chars[start:end]
+            while True:
+                left, before, end = arcs.pop()
+                if last[end] is None:
+                    if not left:
+                        break
+                    if (ok := fits.get((left, before))) is None:
+                        ok = weight(left, before)
+                    if ok:
+                        break
+            last[end] = before
         path, end = [], n
         while end:
             path.append(last[end])
             end -= len(last[end])
         return path[::-1]
 
-    def word(self, chars: str) -> tuple[int, ...]:
-        """Ids on the shortest path over one word."""
-        if (known := self.table.get(chars)) is not None:
-            return known
-        if chars in self.parts:
-            path, n = [chars], len(chars)
-        else:
-            path, n = self._shortest(chars), len(chars)
+    def _word(self, chars: str) -> bytes:
+        """Packed ids on the shortest path over one word."""
         ids: list[int] = []
-        for piece in path:
+        for piece in [chars] if chars in self.parts else self._shortest(chars):
             if (i := self.id.get(piece)) is not None:
                 ids.append(i)
             else:
                 ids.extend(int(self.byte[b]) for b in piece.encode("utf-8", "surrogatepass"))
-        out = tuple(ids)
-        if n <= TABLE_CHARS:
-            if len(self.table) >= TABLE:
-                self.table.clear()
-            self.table[chars] = out
-        return out
+        return array("i", ids).tobytes()
 
-    def encode(self, text: str | None) -> list[int]:
+    def _stretch(self, stretch: str) -> bytes:
+        """Packed ids of a stretch; its first space is left out of the argument."""
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(META + stretch.replace(" ", META))))
+
+    def packed(self, text: str | None) -> np.ndarray:
+        """The text's ids as an array."""
         if not text:
-            return []
-        ids: list[int] = []
-        table, word = self.table, self.word
-        for chars in _WORDS.findall(META + text.replace(" ", META)):
-            ids.extend(table.get(chars) or word(chars))
-        return ids
+            return np.zeros(0, np.int32)
+        text = text.replace(META, " ")
+        parts = _STRETCHES.findall(" " + text) if "  " in text or text[0] == " " else text.split(" ")
+        return np.frombuffer(b"".join(map(self.stretches.__getitem__, parts)), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.packed(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        pieces = self.bytes_
-        text = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").replace(META, " ")
+        text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace").replace(META, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -204,9 +229,9 @@ def _encoded(name: str):
             texts = column(batch, "text")
             sizes, flat, same = [0], [], []
             for text in texts:
-                ids = t.encode(text)
-                same.append(t.decode(ids) == (text or "").replace(META, " "))
-                flat.append(np.array(ids, np.int32))
+                ids = t.packed(text)
+                same.append(t.decode(ids.tolist()) == (text or "").replace(META, " "))
+                flat.append(ids)
                 sizes.append(sizes[-1] + len(ids))
             values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
