@@ -124,6 +124,19 @@ def softmax(scores: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
 
 
+def language_codes(langs: Column, codes: dict[str, str], strict: bool = False) -> Column:
+    """An array of languages with names (keys of `codes`, in title case) replaced by codes; what is neither stays, or fails if strict."""
+    table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    known = F.array(*[F.lit(c) for c in sorted(set(codes.values()))])
+    fail = F.raise_error(F.lit("a language is neither a known name nor a code"))
+
+    def code(x: Column) -> Column:
+        found = F.coalesce(F.try_element_at(table, F.initcap(x)), x)
+        return F.when(F.array_contains(known, found), found).otherwise(fail.cast("string")) if strict else found
+
+    return F.transform(langs, code)
+
+
 def reversed_runs(text: Column) -> Column:
     """Right-to-left text in reading order: reversed, while runs of Latin letters, digits and marks keep theirs."""
     # Fixed value: the characters of such runs.

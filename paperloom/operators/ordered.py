@@ -39,6 +39,20 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, toler
     return grouped.groupBy(*keys, "run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
 
 
+def consecutive_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, first, last, n): runs of whole numbers without a gap; repeated and null values count once and not at all."""
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    run = F.col(value) - F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    return distinct.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def without_twins(chars: DataFrame, keys: list[str], tolerance: float = 1.0, same: tuple = ("fontname", "size", "upright", "text"), y: str = "doctop", x: str = "x0", order: str = "char_no") -> DataFrame:
+    """Characters without those printed twice: of equal ones in a chain of near y and then near x, the first by `order` stays. Null counts as equal to null."""
+    alike = [*keys, *same]
+    near = tolerance_clusters(tolerance_clusters(chars, alike, y, tolerance, "_y"), [*alike, "_y"], x, tolerance, "_x")
+    return first_by(near, [*alike, "_y", "_x"], [order]).drop("_y", "_x")
+
+
 def lines_by_gap(df: DataFrame, keys: list[str], top: str = "top", bottom: str = "bottom", tie: str = "word_no") -> DataFrame:
     """Line numbers: a new line where the top lies below the bottom of the item before."""
     order = [top, tie]

@@ -46,6 +46,27 @@ def row_of(cells: DataFrame, keys: list[str], row: int) -> DataFrame:
     return cells.where((F.col("r0") <= row) & (F.col("r1") > row)).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("c0")))
 
 
+def full_width(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells that reach from the first to the last column of their table."""
+    w = Window.partitionBy(*keys)
+    ends = cells.withColumn("_c0", F.min("c0").over(w)).withColumn("_c1", F.max("c1").over(w))
+    return ends.where("c0 = _c0 AND c1 = _c1").drop("_c0", "_c1")
+
+
+def followers(cells: DataFrame, keys: list[str], cell: str, down: bool = False) -> DataFrame:
+    """(keys, cell, next, place): cells right of (or below) each cell with its very row (column) span, up to the first gap between them.
+
+    The first one may lie apart from the cell. Chains without gaps are numbered, so only pairs of the result are made.
+    """
+    span, low, high = (("c0", "c1"), "r0", "r1") if down else (("r0", "r1"), "c0", "c1")
+    row = Window.partitionBy(*keys, *span).orderBy(low)
+    chain = F.sum("_gap").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    linked = cells.withColumn("_gap", (F.col(low) != F.coalesce(F.lag(high).over(row), F.col(low))).cast("int")).withColumn("_chain", chain).withColumn("_at", F.row_number().over(row))
+    own = linked.select(*keys, *span, cell, (F.col("_at") + 1).alias("_from"), F.lead("_chain").over(row).alias("_chain"))
+    later = linked.select(*keys, *span, F.col(cell).alias("next"), "_at", "_chain")
+    return own.join(later, [*keys, *span, "_chain"]).where("_at >= _from").select(*keys, cell, "next", (F.col("_at") - F.col("_from")).alias("place"))
+
+
 def text_rows(cells: DataFrame, keys: list[str], separator: str = "\t") -> DataFrame:
     """Rows of text with the text of merged cells repeated."""
     unit = expanded(cells, keys)

@@ -63,3 +63,11 @@ def infer(df: DataFrame, model: str, schema: str) -> DataFrame:
             yield apply(frame)
 
     return df.mapInPandas(run, schema)
+
+
+def merged_settings(base: dict, over: dict) -> dict:
+    """base with the values of over; where both hold mappings these are merged in turn. Neither argument changes."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = merged_settings(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out

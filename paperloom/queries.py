@@ -578,3 +578,36 @@ def titled_documents(spark, sf):
     lines = O.flattened_lines(_docs(spark, sf)).select("doc_id", F.col("line_no").alias("idx"), (F.col("line_no") + (F.col("doc_id") % 2).cast("int")).alias("sid"), F.col("line_no").alias("pid"), F.lit("text").alias("type"), F.col("line").alias("text"))
     titles = _docs(spark, sf).where("text is not null").select("doc_id", F.concat(F.lit("T"), F.col("doc_id")).alias("title"))
     return H.with_title(lines, titles).select("doc_id", "idx", "sid", "text")
+
+
+@query("WITH d AS (SELECT DISTINCT l_suppkey, l_partkey AS v FROM lineitem), r AS (SELECT *, v - row_number() OVER (PARTITION BY l_suppkey ORDER BY v) AS run FROM d) SELECT l_suppkey, min(v) AS first, max(v) AS last, count(*) AS n FROM r GROUP BY l_suppkey, run")
+def consecutive_parts(spark, sf):
+    return O.consecutive_runs(R.table(spark, sf, "lineitem"), ["l_suppkey"], "l_partkey")
+
+
+@query(f"WITH {BOXES}, y AS (SELECT *, y0 > lag(y0) OVER (PARTITION BY image_id, label ORDER BY y0) + 5 AS cut FROM boxes), yc AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY image_id, label ORDER BY y0), 0) AS yc FROM y), x AS (SELECT *, x0 > lag(x0) OVER (PARTITION BY image_id, label, yc ORDER BY x0) + 5 AS cut_x FROM yc), xc AS (SELECT *, coalesce(sum(cut_x::INT) OVER (PARTITION BY image_id, label, yc ORDER BY x0), 0) AS xc FROM x) SELECT image_id, label, min(box_id) AS box_id FROM xc GROUP BY image_id, label, yc, xc")
+def boxes_without_twins(spark, sf):
+    return O.without_twins(_boxes(spark, sf), ["image_id"], 5, ("label",), "y0", "x0", "box_id").select("image_id", "label", "box_id")
+
+
+@query(f"WITH {CELLS}, e AS (SELECT *, min(c0) OVER (PARTITION BY table_id) AS lo, max(c1) OVER (PARTITION BY table_id) AS hi FROM cells) SELECT table_id, r0, text FROM e WHERE c0 = lo AND c1 = hi")
+def full_width_cells(spark, sf):
+    return TB.full_width(_cells(spark, sf), ["table_id"]).select("table_id", "r0", "text")
+
+
+FOLLOWERS = f"""WITH {CELLS}, numbered AS (SELECT *, r0 * 10 + c0 AS cell FROM cells),
+pairs AS (SELECT a.table_id, a.cell, b.cell AS next, b.r0 - min(b.r0) OVER w AS away, coalesce(sum(b.r1 - b.r0) OVER (w ORDER BY b.r0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, row_number() OVER (w ORDER BY b.r0) - 1 AS place
+FROM numbered a JOIN numbered b ON a.table_id = b.table_id AND a.c0 = b.c0 AND a.c1 = b.c1 AND b.r0 >= a.r1 WINDOW w AS (PARTITION BY a.table_id, a.cell))
+SELECT table_id, cell, next, place FROM pairs WHERE away = filled"""
+
+
+@query(FOLLOWERS)
+def cells_below(spark, sf):
+    cells = _cells(spark, sf).withColumn("cell", F.col("r0") * 10 + F.col("c0"))
+    return TB.followers(cells, ["table_id"], "cell", down=True)
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' ELSE lang END AS code FROM documents")
+def language_codes(spark, sf):
+    codes = T.language_codes(F.array("lang"), {"En": "eng", "De": "deu", "Fr": "fra"})
+    return _docs(spark, sf).select("doc_id", codes[0].alias("code"))
