@@ -1,12 +1,14 @@
 """Repeated passages of lines, found by winnowing and deleted after their first occurrence.
 
 A line is a \\n-separated piece of a text, compared by its words joined by one space. The passage
-at a line is the shortest run of lines from there with at least min_words words. Its hash is a
-fingerprint candidate; of every `window` consecutive candidates of a document the smallest hash
-(the last of equal ones) is selected. A run that two places share and that holds window passages
-therefore shares a selected fingerprint. Every fingerprint's first place, by (id, line), is its
-source; each other place is matched to the source, the match is extended line by line to both
-sides, and its lines are deleted from the later place. Lines are deleted only where an equal line
+from a line is the shortest run of lines from there with at least min_words words, the passage up to
+a line the shortest such run that ends there. Its hash is a fingerprint candidate; of every `window`
+consecutive candidates of a kind in a document the smallest hash (the last of equal ones) is
+selected, with a window of 1 all. Each line of a run of min_words words or more lies in a passage
+within that run (from its line, up to its line, or from the run's first line), so with a window of 1
+every line of a repeated run is deleted, whatever stands around it. Every fingerprint's first place,
+by (id, line), is its source; each other place is matched to the source, the match is extended line
+by line to both sides, and its lines are deleted from the later place. Lines are deleted only where an equal line
 stands earlier, so one copy of everything remains. Repeats within one document count too.
 
 Null and empty texts have no passages and come back unchanged. Null ids are never changed and are
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import column, cut, small_batches
 
 MIN_WORDS = 40
-WINDOW = 2
+WINDOW = 1
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
@@ -42,27 +44,47 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return hashes, counts
 
 
-def fingerprints(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Selected (fingerprint, line) pairs in order of lines."""
-    grams = []
+def passages(counts: list[int], min_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The runs [first, last) of lines that are passages from their first line, and those up to their last line that aren't among them."""
+    from_, up_to = [], []
     end = words = 0
-    for start in range(len(hashes)):
-        while end < len(hashes) and words < min_words:
+    for start in range(len(counts)):
+        while end < len(counts) and words < min_words:
             words += counts[end]
             end += 1
         if words < min_words:
             break
-        digest = xxhash.xxh64(counts[start].to_bytes(8, "little"))
-        for h in hashes[start:end]:
-            digest.update(h.to_bytes(8, "little"))
-        grams.append(digest.intdigest() - (1 << 63))
+        from_.append((start, end))
         words -= counts[start]
-    picked = []
-    for a in range(max(1, len(grams) - window + 1) if grams else 0):
-        least = min(range(a, min(a + window, len(grams))), key=lambda i: (grams[i], -i))
-        if not picked or picked[-1][1] != least:
-            picked.append((grams[least], least))
-    return picked
+    start = words = 0
+    for end in range(1, len(counts) + 1):
+        words += counts[end - 1]
+        while words - counts[start] >= min_words and start < end - 1:
+            words -= counts[start]
+            start += 1
+        if words >= min_words:
+            up_to.append((start, end))
+    known = set(from_)
+    return from_, [x for x in up_to if x not in known]
+
+
+def fingerprints(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Selected (fingerprint, line) pairs, in order of lines for each kind of passage."""
+    out = []
+    for runs in passages(counts, min_words):
+        grams = []
+        for start, end in runs:
+            digest = xxhash.xxh64(counts[start].to_bytes(8, "little"))
+            for h in hashes[start:end]:
+                digest.update(h.to_bytes(8, "little"))
+            grams.append(digest.intdigest() - (1 << 63))
+        picked = []
+        for a in range(max(1, len(grams) - window + 1) if grams else 0):
+            least = min(range(a, min(a + window, len(grams))), key=lambda i: (grams[i], -i))
+            if not picked or picked[-1] != least:
+                picked.append(least)
+        out += [(grams[i], runs[i][0]) for i in picked]
+    return out
 
 
 def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tuple[int, int]:

@@ -257,6 +257,43 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def repeated_lines(rows, least):
+    """Lines of later places in all maximal equal runs of more than `least` words, by comparing every pair of lines."""
+    docs = [(i, [x.split() for x in t.split("\n")]) for i, t in sorted(rows)]
+    gone = {i: set() for i, _ in docs}
+    for k, (i, a) in enumerate(docs):
+        for j, b in docs[: k + 1]:
+            for at in range(len(a)):
+                for from_ in range(len(b) if i != j else at):
+                    if a[at] != b[from_] or (at and from_ and a[at - 1] == b[from_ - 1]):
+                        continue
+                    n = 0
+                    while at + n < len(a) and from_ + n < len(b) and a[at + n] == b[from_ + n]:
+                        n += 1
+                    if sum(map(len, a[at : at + n])) > least:
+                        gone[i].update(range(at, at + n))
+    return gone
+
+
+def test_line_dedup_deletes_every_repeated_run(spark):
+    rng = random.Random(18)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
+    shared = [[fresh(51)], [fresh(13) for _ in range(4)], [fresh(39), fresh(900), fresh(1)], [fresh(3), fresh(39), fresh(39)], [fresh(5) for _ in range(11)]]
+    texts = []
+    for run in shared * 12:
+        texts.append("\n".join([fresh(rng.randint(1, 60)) for _ in range(rng.randint(0, 3))] + run + [fresh(rng.randint(1, 60)) for _ in range(rng.randint(0, 3))]))
+    texts += ["\n".join([fresh(2), shared[2][1], fresh(9)]), "\n".join([fresh(2), shared[3][1], fresh(9)])]  # a line of a run with other neighbours, first of all places
+    rows = list(enumerate(reversed(texts)))
+    want = repeated_lines(rows, 50)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    for i, t in rows:
+        left = set(got[i].text.split("\n"))
+        assert not [x for k, x in enumerate(t.split("\n")) if k in want[i] and x in left]
+        assert got[i]._n_removed == len(want[i])
+    assert sum(map(len, want.values())) > 150
+    assert {x for _, t in rows for x in t.split("\n")} == {x for r in got.values() for x in r.text.split("\n")} - {""}
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 30, 200])), rng.choice(["b", "a", "c", None, "d"])) for i in range(400)] + [(9999, None, "a"), (9998, "w " * 5000, "a")]
