@@ -80,11 +80,48 @@ def collapsed(symbols: Column, blank) -> Column:
     return F.filter(F.filter(symbols, lambda c, i: (i == 0) | (c != symbols[F.greatest(i - 1, F.lit(0))])), lambda c: c != blank)
 
 
+def collapsed_text(text: Column, blank: str) -> Column:
+    """collapsed() of a text's characters, in one pass; the array's form takes the square of a text's length."""
+    return F.replace(F.regexp_replace(text, r"(?s)(.)\1+", "$1"), F.lit(blank), F.lit(""))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     return F.lit(1.0) - F.coalesce(F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b))), F.lit(0.0))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance of whole texts: told by length where one text is the other with characters left out, else a column of the table at once, as bits of one number."""
+    if len(a) > len(b):
+        a, b = b, a
+    rest = iter(b)
+    if all(c in rest for c in a):
+        return len(b) - len(a)
+    m, at = len(a), {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | (1 << i)
+    full, top, distance = (1 << m) - 1, 1 << (m - 1), m
+    more, less = full, 0  # rows where the column's values grow or shrink by one
+    for c in b:
+        eq = at.get(c, 0)
+        x = (((eq & more) + more) ^ more) | eq
+        up, down = less | (full & ~(x | more)), more & x
+        distance += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        more, less = down | (full & ~(eq | less | up)), up & (eq | less)
+    return distance
+
+
+def whole_similarity(a: Column, b: Column) -> Column:
+    """similarity() of long texts, whose whole table of distances would take too long."""
+
+    @F.pandas_udf("long")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else edit_distance(s, t) for s, t in zip(x, y)], dtype="Int64")
+
+    return F.lit(1.0) - F.coalesce(F.try_divide(distance(a, b).cast("double"), F.greatest(F.length(a), F.length(b))), F.lit(0.0))
+
+
 def heading_depth(cid: Column) -> Column:
     return F.size(F.split(cid, r"\."))
 

@@ -12,10 +12,10 @@ from ..functions import geometry as G
 from ..functions.text import similarity
 
 
-def text_accuracy(pairs: DataFrame, keys: list[str], pred: str = "pred", target: str = "target") -> DataFrame:
-    """Share of exact matches and mean 1 - normalised edit distance, spaces left out."""
+def text_accuracy(pairs: DataFrame, keys: list[str], pred: str = "pred", target: str = "target", alike=similarity) -> DataFrame:
+    """Share of exact matches and mean 1 - normalised edit distance, spaces left out. Long texts need whole_similarity."""
     p, t = F.replace(F.coalesce(pred, F.lit("")), F.lit(" "), F.lit("")), F.replace(F.coalesce(target, F.lit("")), F.lit(" "), F.lit(""))
-    return pairs.groupBy(*keys).agg(F.round(F.avg((p == t).cast("double")), 6).alias("accuracy"), F.round(F.avg(similarity(p, t)), 6).alias("similarity"), F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(*keys).agg(F.round(F.avg((p == t).cast("double")), 6).alias("accuracy"), F.round(F.avg(alike(p, t)), 6).alias("similarity"), F.count(F.lit(1)).alias("n"))
 
 
 def detection(truth: DataFrame, found: DataFrame, keys: list[str], least: float) -> DataFrame:

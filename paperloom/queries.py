@@ -272,10 +272,19 @@ def rank_accuracy(spark, sf):
 
 @query(r"SELECT lang, round(avg((replace(regexp_replace(a, '[^ -~]', '', 'g'), ' ', '') = replace(b, ' ', ''))::INT), 6) AS accuracy, round(avg(1 - coalesce(levenshtein(replace(a, ' ', ''), replace(b, ' ', '')) / nullif(greatest(length(replace(a, ' ', '')), length(replace(b, ' ', ''))), 0), 0)), 6) AS similarity, count(*) AS n FROM (SELECT lang, regexp_replace(text[1:80], '[^ -~]', '', 'g') AS a, replace(regexp_replace(text[1:80], '[^ -~]', '', 'g'), 'th', 't') AS b FROM documents) GROUP BY lang")
 def ocr_accuracy(spark, sf):
-    """Edit similarity of the first line's ASCII characters and a garbled form; a fixture of recogniser output."""
-    a = F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "")
-    pairs = _docs(spark, sf).select("lang", a.alias("pred"), F.replace(a, F.lit("th"), F.lit("t")).alias("target"))
-    return M.text_accuracy(pairs, ["lang"])
+    """As ocr_accuracy_whole, of the first 80 characters only, as its SQL has it."""
+    return M.text_accuracy(_garbled(spark, sf, F.substring("text", 1, 80)), ["lang"])
+
+
+def _garbled(spark, sf, text):
+    a = F.regexp_replace(text, "[^ -~]", "")
+    return _docs(spark, sf).select("lang", a.alias("pred"), F.replace(a, F.lit("th"), F.lit("t")).alias("target"))
+
+
+@query()
+def ocr_accuracy_whole(spark, sf):
+    """Edit similarity of each whole text's ASCII characters and a garbled form; a fixture of recogniser output."""
+    return M.text_accuracy(_garbled(spark, sf, F.col("text")), ["lang"], alike=T.whole_similarity)
 
 
 GRID = "SELECT o_orderkey AS t, k, m FROM (SELECT o_orderkey, 1 + o_custkey % 3 AS k, 1 + o_orderkey % 4 AS m FROM orders)"
@@ -382,11 +391,17 @@ def script_predicates(spark, sf):
 
 @query("SELECT doc_id, list_reduce(list_prepend('', list_transform(generate_series(1, length(s)), lambda i: CASE WHEN s[i] = 'e' OR (i > 1 AND s[i] = s[i - 1]) THEN '' ELSE s[i] END)), lambda a, b: a || b) AS label FROM (SELECT doc_id, text[1:64] AS s FROM documents WHERE length(text) > 0)")
 def ctc_collapse(spark, sf):
-    """Label decoding of a symbol sequence with 'e' as the blank, on texts' opening symbols as a fixture."""
+    """As ctc_collapse_whole, of the first 64 symbols only, as its SQL has it."""
     s = F.filter(F.split(F.substring("text", 1, 64), ""), lambda c: c != "")
     return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", F.array_join(T.collapsed(s, "e"), "").alias("label"))
 
 
+@query()
+def ctc_collapse_whole(spark, sf):
+    """Label decoding of a symbol sequence with 'e' as the blank, on whole texts as a fixture."""
+    return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", T.collapsed_text(F.col("text"), "e").alias("label"))
+
+
 @query()
 def chinese_numerals(spark, sf):
     """Written forms of the parts' sizes and the values read back."""

@@ -190,3 +190,45 @@ def test_entry_works_without_the_training_data_modules(spark):
 
     code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n in ('paperloom.llm', 'corpus_pipeline') else f(n, *a)\nimport __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op')]; assert 'paperloom.llm' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_matches_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["", "é", "th" * 50] + ["".join(rng.choice("abt\U0001f600") for _ in range(rng.choice([1, 5, 70, 130]))) for _ in range(30)]
+    for a in texts:
+        for b in texts:
+            assert T.edit_distance(a, b) == brute_distance(a, b)
+    pairs = spark.createDataFrame([(a, b) for a in texts[:8] for b in texts[:8]] + [(None, "a"), ("a", None)], "a string, b string")
+    both = pairs.select(T.similarity(F.col("a"), F.col("b")).alias("x"), T.whole_similarity(F.col("a"), F.col("b")).alias("y")).collect()
+    assert [r.x for r in both] == [r.y for r in both]
+
+
+def test_whole_queries_read_texts_to_their_end(spark, tmp_path):
+    rng = random.Random(13)
+    texts = [None, "", "e" * 70, "ab " * 30 + "the thin, then é\U0001f600\U0001f600\n\n", "e" * 900 + "b"] + ["".join(rng.choice("abeth \n") for _ in range(rng.choice([10, 90, 400]))) for _ in range(20)]
+    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        if t:
+            kept = "".join(c for k, c in enumerate(t) if k == 0 or c != t[k - 1])
+            want[i] = kept.replace("e", "")
+    assert {r.doc_id: r.label for r in Q.ctc_collapse_whole(spark, str(tmp_path)).collect()} == want
+    sums = {}
+    for _, t, lang in rows:
+        a = "".join(c for c in t or "" if " " <= c <= "~")
+        p, g = a.replace(" ", ""), a.replace("th", "t").replace(" ", "")
+        n, same, like = sums.get(lang, (0, 0, 0.0))
+        sums[lang] = n + 1, same + (p == g), like + 1 - brute_distance(p, g) / max(1, len(p), len(g))
+    got = {r.lang: r for r in Q.ocr_accuracy_whole(spark, str(tmp_path)).collect()}
+    assert {k: r.n for k, r in got.items()} == {k: n for k, (n, _, _) in sums.items()}
+    assert all(abs(got[k].accuracy - same / n) < 2e-6 and abs(got[k].similarity - like / n) < 2e-6 for k, (n, same, like) in sums.items())
