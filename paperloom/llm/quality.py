@@ -5,7 +5,10 @@ chars_per_token, byte_share (fall-back byte pieces among all tokens) and token_e
 token, over log2 of the number of tokens). Documents are grouped by language or, where that is
 null, by the script of most letters of the whole text. A figure of a short text varies more, so chars_per_token and
 byte_share are taken as their distance from the group's median times the square root of the number
-of tokens, and token_entropy within the doubling of tokens that a text falls into. The quartiles of
+of tokens, and token_entropy within the doubling of tokens that a text falls into. Where that has
+fewer than MIN_GROUP documents, the group's next doublings to both sides are taken in until there are
+POOL documents or all of the group, and token_entropy is taken less a line over log2 of the number of tokens that is fitted to
+the medians of these doublings, as it falls with a text's length. The quartiles of
 these over all documents of a group give its bands; what lies outside is counted in quartile
 ranges. A text is rejected if chars_per_token and token_entropy together fall short by more than
 SHORT ranges below the lower quartiles, or if byte_share lies more than BYTES ranges above its upper
@@ -30,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import CHUNK_BYTES, chunks, column, cut, encoded, shingle_hashes, small_batches, word_hashes
 
@@ -37,6 +41,8 @@ VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 50
 MIN_TOKENS = 100
 MIN_GROUP = 100
+#: Documents that tell the entropy of a doubling with fewer than MIN_GROUP.
+POOL = 500
 SHORT = 3.75
 BYTES = 4.0
 #: Narrowest quartile ranges, so that a uniform group rejects nothing by chance.
@@ -148,6 +154,35 @@ def _banded(rows: DataFrame, bands: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(bands) if few else bands, on, "left")
 
 
+def _entropy_bands(rows: DataFrame, fits: F.Column) -> DataFrame:
+    """(band, doubling, entropy_q, entropy_slope, entropy_at): quartiles of token_entropy at log2 of n_tokens = entropy_at, and what they change by from there.
+
+    A doubling of MIN_GROUP fitting documents has its own quartiles and slope 0; another has those of
+    the doublings around it that hold POOL, along a line through their medians.
+    """
+    log = F.log2("n_tokens")
+    cells = rows.where(fits).groupBy("band", "doubling").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("token_entropy", 0.5, 2000).alias("y"), F.avg(log).alias("x"))
+    cells = cut(cells, "quality-cells")
+    wanted = cut(rows.where(F.col("n_tokens") >= MIN_TOKENS).select("band", F.col("doubling").alias("at")).distinct(), "quality-doublings")
+    far = F.abs(F.col("at") - F.col("doubling"))
+    near = wanted.join(cells, "band").withColumn("far", far)
+    # Documents of the doublings nearer than this one; those as near on the other side come along.
+    w = Window.partitionBy("band", "at").orderBy("far")
+    near = near.withColumn("nearer", F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = Window.partitionBy("band", "at")
+    near = near.withColumn("all", F.sum("n").over(whole)).withColumn("own", F.coalesce(F.max(F.when(F.col("far") == 0, F.col("n"))).over(whole), F.lit(0)))
+    near = near.where((F.col("all") >= MIN_GROUP) & F.when(F.col("own") >= MIN_GROUP, F.col("far") == 0).otherwise(F.col("nearer") < POOL))
+    # Weighted least squares over the doublings' medians, so that odd documents don't tilt the line.
+    sums = near.groupBy("band", "at").agg(F.count(F.lit(1)).alias("cells"), *[F.sum(F.col("n") * v).alias(k) for k, v in (("s", F.lit(1.0)), ("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")))])
+    slope = F.when(F.col("cells") > 1, (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"))).otherwise(0.0)
+    lines = sums.select("band", "at", slope.alias("entropy_slope"), (F.col("sx") / F.col("s")).alias("entropy_at"))
+    plan = cut(near.select("band", "at", "doubling").join(lines, ["band", "at"]), "quality-near")
+    few = plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    pooled = rows.where(fits).select("band", "doubling", "n_tokens", "token_entropy").join(F.broadcast(plan) if few else plan, ["band", "doubling"])
+    level = F.col("token_entropy") - F.col("entropy_slope") * (log - F.col("entropy_at"))
+    return pooled.groupBy("band", F.col("at").alias("doubling"), "entropy_slope", "entropy_at").agg(F.percentile_approx(level, [0.25, 0.75], 2000).alias("entropy_q"))
+
+
 def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str | None = "lang", short: float = SHORT, most_bytes: float = BYTES) -> DataFrame:
     """docs' columns in `keep` with the measured ones, base_failed, shortfall, byte_excess and kept.
 
@@ -169,8 +204,9 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     rows = _banded(rows, cut(middle, "quality-middles"), ["band"]).withColumn("z_chars", (F.col("chars_per_token") - F.col("chars_per_token_mid")) * root).withColumn("z_bytes", (F.col("byte_share") - F.col("byte_share_mid")) * root)
     rows = rows.withColumn("doubling", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     quartiles = rows.where(fits).groupBy("band").agg(*[F.percentile_approx(f, [0.25, 0.75], 2000).alias(f"{f}_q") for f in ("z_chars", "z_bytes")])
-    by_length = rows.where(fits).groupBy("band", "doubling").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("token_entropy", [0.25, 0.75], 2000).alias("entropy_q")).where(F.col("n") >= MIN_GROUP).drop("n")
-    out = _banded(_banded(rows, cut(quartiles, "quality-quartiles"), ["band"]), cut(by_length, "quality-lengths"), ["band", "doubling"])
+    out = _banded(_banded(rows, cut(quartiles, "quality-quartiles"), ["band"]), cut(_entropy_bands(rows, fits), "quality-lengths"), ["band", "doubling"])
+    slope = F.col("entropy_slope") * (F.log2(F.greatest("n_tokens", F.lit(1))) - F.col("entropy_at"))
+    out = out.withColumn("entropy_q", F.transform("entropy_q", lambda q: q + slope))
     out = out.withColumn("shortfall", _outside("z_chars", "z_chars_q", False) + _outside("token_entropy", "entropy_q", False)).withColumn("byte_excess", _outside("z_bytes", "z_bytes_q", True))
     rejected = (F.col("n_tokens") >= MIN_TOKENS) & ((F.col("shortfall") > short) | (F.col("byte_excess") > most_bytes))
     return out.withColumn("kept", ~F.col("base_failed") & ~rejected)

@@ -196,6 +196,20 @@ def test_quality_bands_reject_symbols_and_keep_clean(spark):
     assert len(kept & {i for i, *_ in rows}) >= 298 and not kept & {i for i, *_ in junk}
 
 
+def test_quality_judges_entropy_in_sparse_doublings(spark):
+    rng = random.Random(25)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    made = lambda n, of: " ".join(of[int(len(of) * rng.random() ** 2)] for _ in range(n))
+    rows = [(i, made(rng.randint(70, 350), words), "en") for i in range(600)]
+    long_ = [(1000 + i, made(rng.randint(2000, 3500), words), "en") for i in range(120)]
+    junk = (2000, made(3000, words[:70]), "en")
+    for more in (long_[:12], [], long_):  # few and no documents around the judged one, and its own band
+        got = {r.doc_id: r for r in quality.quality(frame(spark, rows + more + [junk], "doc_id long, text string, lang string")).collect()}
+        assert not got[2000].base_failed and not got[2000].kept and got[2000].shortfall > 4
+        assert sum(got[i].kept for i, *_ in rows + more) >= len(rows + more) - 3
+    assert not [r for r in quality.quality(frame(spark, rows[:50] + [junk], "doc_id long, text string, lang string")).collect() if r.shortfall]
+
+
 def test_transducer_equals_library_and_round_trips(spark, corpus):
     import public_tokenizers
     import sentencepiece
