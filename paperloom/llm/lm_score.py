@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, chunks, column, encoded, mix, small_batches, unit_hash, word_hashes
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 UNSEEN = 0.5
 SAMPLE = 4000

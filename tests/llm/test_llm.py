@@ -135,6 +135,14 @@ def test_lm_scores_match_brute_force(spark, corpus, order):
     assert got[0].score is None
 
 
+def test_lm_query_uses_trigrams(spark, corpus, tmp_path):
+    frame(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda df: {r.doc_id: r.score and round(r.score, 9) for r in df.collect()}
+    got = scores(lm_score.op4_lm_scoring(spark, str(tmp_path)))
+    assert got == scores(lm_score.lm_scores(docs, order=3)) != scores(lm_score.lm_scores(docs, order=2))
+
+
 def test_token_counts_and_cache(spark, corpus):
     import public_tokenizers
     import sentencepiece
