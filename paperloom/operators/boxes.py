@@ -97,6 +97,8 @@ def reading_order(boxes: DataFrame, keys: list[str], ratio: float = 0.4, id_col:
 def components(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 50) -> DataFrame:
     """Smallest id reachable within an image, for small page-local graphs: edges (keys, a, b), nodes (keys, id).
 
+    Labels that still change after `rounds` rounds are an error.
+
     Labels move along edges and then jump to their own label's label; every round is written to the
     session's checkpoint folder, so that lineage stays short.
     """
@@ -113,6 +115,8 @@ def components(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int
         labels = step.select(*keys, "id", "label")
         if step.where("was <> label").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return labels.withColumnRenamed("label", "component")
 
 

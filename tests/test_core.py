@@ -232,3 +232,11 @@ def test_whole_queries_read_texts_to_their_end(spark, tmp_path):
     got = {r.lang: r for r in Q.ocr_accuracy_whole(spark, str(tmp_path)).collect()}
     assert {k: r.n for k, r in got.items()} == {k: n for k, (n, _, _) in sums.items()}
     assert all(abs(got[k].accuracy - same / n) < 2e-6 and abs(got[k].similarity - like / n) < 2e-6 for k, (n, same, like) in sums.items())
+
+
+def test_components_fail_rather_than_stop_early(spark):
+    nodes = spark.createDataFrame([(0, i) for i in range(40)], "image_id int, id int")
+    edges = spark.createDataFrame([(0, i, i + 1) for i in range(39)], "image_id int, a int, b int")
+    with pytest.raises(RuntimeError):
+        boxes.components(edges, nodes, ["image_id"], rounds=2).collect()
+    assert {r.component for r in boxes.components(edges, nodes, ["image_id"]).collect()} == {0}
