@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import U64, chunks, column, cut, encoded, mix, shingle_hashes, small_batches, word_hashes
 from .components import components
@@ -225,9 +226,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document stands for its near-duplicate component."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows of docs whose document stands for its near-duplicate component, one for each id and text.
+
+    Of rows that repeat an id and text the first by the other columns stays. Rows of null id come through unchanged.
+    """
+    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept_id"], "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    one = Window.partitionBy("doc_id", "text").orderBy(*others or [F.lit(0)])
+    rows = rows.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy")
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -76,6 +76,13 @@ def test_minhash_repeated_rows_and_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_deduplicated_keeps_one_row_of_an_id_and_text_and_null_ids(spark):
+    t, u = "one two three four five six seven eight", "nine ten red blue green white black grey"
+    rows = [(1, t, "b"), (1, t, "a"), (2, t, "a"), (3, u, "c"), (3, u, "c"), (None, t, "d"), (None, u, "e")]
+    got = minhash.deduplicated(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, t, "a"), (3, u, "c"), (None, t, "d"), (None, u, "e")], key=str)
+
+
 def test_sketch_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
