@@ -1,25 +1,33 @@
 """Encoding and decoding with a SentencePiece BPE vocabulary as a weighted finite-state transducer.
 
-Three transducers are compiled from the vocabulary file and composed with each text:
-
-* the normaliser maps a space to the meta symbol and puts one in front of the text (the file's
-  normaliser is the identity otherwise);
-* the piece transducer has a state for each piece and one arc from state s over piece t, with weight
-  0 if the vocabulary's merges leave the two pieces s and t side by side when they meet, and infinite
-  weight otherwise; characters outside the vocabulary are arcs of their own that fit everywhere;
-* the byte transducer maps such a character to its UTF-8 byte pieces.
-
-The tropical shortest path from the start to the end of the composition is the encoding. Summing
-piece scores along a path would be a unigram model's criterion, not that of this merge (BPE)
-vocabulary; with the 0/infinity weights there is exactly one path of finite weight, and it is the
-segmentation that the merges give. No piece has a meta symbol after another character, or letters beside
-other characters (checked when compiling), so every path passes the states at such borders, and the
-shortest path of a text is the concatenation of those of its words. Two bounded tables keep the paths
-of words and of stretches between spaces.
+Three transducers are compiled from the vocabulary file:
+
+* the normaliser has a start state, whose arc puts the meta symbol in front, and a state whose arcs
+  map a space to the meta symbol and any other character to itself (the file's normaliser is the
+  identity otherwise);
+* the piece transducer reads a piece along the arcs of a trie and then takes the arc to the state of
+  that piece, writing its id. The arc from the state of piece s to that of piece t weighs 0 if the
+  vocabulary's merges leave s and t side by side when they meet, and 1 if a merge across their border
+  would have come first, so a path's weight is the number of borders that the merges contradict;
+* the byte transducer reads a character outside the vocabulary and writes its UTF-8 byte pieces; its
+  arcs weigh 0.
+
+The composition with an input has the states (position, last piece). Its shortest path in the
+tropical semiring is the encoding: weights are added along a path and the least sum wins. Summing piece
+scores instead would be a unigram model's criterion, not that of this merge (BPE) vocabulary, whose
+segmentation is the one path of weight 0. The search settles states in the order of their distance,
+and among equal ones those of longer pieces first, with two queues, as all weights are 0 or 1; arcs of
+the composition and their weights are made when the search meets them.
+
+No piece has a meta symbol after another character, or letters beside other characters (checked when
+compiling), so every path passes the states at such borders, and the shortest path of a text is the
+concatenation of those of its words. Two bounded tables keep the paths of words and of stretches
+between spaces.
 
 Decoding maps pieces to their characters, joins byte pieces, and undoes the normaliser. decode(encode(t))
-is t for every text without the meta symbol itself, which decodes to a space. Null texts count as
-empty: no ids. Rows that repeat an id each get a row; other columns are ignored.
+is t for every text without the meta symbol itself, which decodes to a space. Null and empty texts
+have no ids. Rows that repeat an id each get a row; other columns are ignored, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +47,9 @@ from .common import column, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 META = "▁"
+#: Beside the pieces' ids: the state after a character outside the vocabulary, and of the start.
+OTHER = (1 << 20) - 1
+STATES = 1 << 20
 #: Words and stretches remembered by a process; longer ones are composed anew each time.
 TABLE = 200_000
 TABLE_CHARS = 40
@@ -102,8 +113,15 @@ class Transducer:
                 self.parts[piece] = halves
             else:
                 del self.rank[piece]
-        self.begins = {x[:k] for x in self.rank for k in range(1, len(x) + 1)}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.trie: dict = {}
+        for piece in self.rank:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = self.id[piece]
+        #: The normaliser's arcs: what its start state writes, and what its other state writes for a character.
+        self.front, self.normaliser = META, {ord(" "): META}
+        self.weights: dict[int, int] = {}
         self.words = Memo(self._word)
         self.stretches = Memo(self._stretch)
 
@@ -117,84 +135,92 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return (parts[0], parts[1])
 
-    def weight(self, left: str, right: str) -> bool:
-        """Whether the arc between two pieces has weight 0: no merge across their border comes before those inside them."""
-        key = (left, right)
-        if (known := self.fits.get(key)) is not None:
-            return known
+    def _contradicted(self, left: str, right: str) -> bool:
+        """Whether a merge across the border of two pieces comes before those that make the pieces."""
         rank, parts = self.rank, self.parts
         before = 1 << 30  # merges from this rank on happen after the border was passed
-        ok = None
-        while ok is None:
+        while True:
             cross = rank.get(left + right)
             if cross is not None and cross < before:
-                ok = False
-                break
-            a, b = rank.get(left, 0), rank.get(right, 0)
+                return True
+            a, b = rank[left], rank[right]
             if a == 0 and b == 0:
-                ok = True
-            elif a > b:
+                return False
+            if a > b:
                 before, left = a, parts[left][1]
             else:
                 before, right = b + 1, parts[right][0]
-        if len(self.fits) > 2_000_000:
-            self.fits.clear()
-        self.fits[key] = ok
-        return ok
 
-    def _shortest(self, chars: str) -> list[str]:
-        """The pieces on the one finite path; last holds the piece that this path has before each state.
+    def weight(self, arc: int) -> int:
+        """Weight of the arc between the states of two pieces, given as left id * OTHER + right id."""
+        left, right = divmod(arc, OTHER)
+        out = int(self._contradicted(self.text[left], self.text[right]))
+        if len(self.weights) > 2_000_000:
+            self.weights.clear()
+        self.weights[arc] = out
+        return out
+
+    def _shortest(self, chars: str) -> tuple[int, list[tuple[int, int]]]:
+        """The least weight of a path over the normalised characters, and its (end, piece) states.
 
-        Each state is reached by one finite path at most, so arcs may be followed in any order: long ones first.
+        OTHER stands for a character that the byte transducer reads, and for the start.
         """
-        n = len(chars)
-        last: list[str | None] = [None] * (n + 1)
-        rank, begins, fits, weight = self.rank, self.begins, self.fits, self.weight
-        before, end = "", 0
-        arcs: list[tuple[str, str, int]] = []
-        while end < n:
-            start, end = end, end + 1
-            piece = chars[start:end]
-            if piece not in rank:
-                arcs.append(("", piece, end))
+        n, weights, trie = len(chars), self.weights, self.trie
+        came: dict[int, int] = {}  # settled states, end * STATES + piece, with the state before each
+        state, distance = OTHER, 0
+        near: list[tuple[int, int]] = []  # arcs (from, to) that may lie on a path of this distance
+        far: list[tuple[int, int]] = []  # arcs (-1 - from, to) whose weight of 1 is added already
+        while state < n * STATES:
+            at, left = divmod(state, STATES)
+            node, k = trie.get(chars[at]), at + 1
+            if node is None:
+                near.append((state, k * STATES + OTHER))
             else:
-                left = before if before in rank else ""
-                while piece in begins:
-                    if piece in rank:
-                        arcs.append((left, piece, end))
-                    end += 1
-                    if end > n:
+                while node is not None:
+                    if (t := node.get("")) is not None:
+                        near.append((state, k * STATES + t))
+                    if k == n:
                         break
-                    piece = chars[start:end]
+                    node, k = node.get(chars[k]), k + 1
             while True:
-                left, before, end = arcs.pop()
-                if last[end] is None:
-                    if not left:
-                        break
-                    if (ok := fits.get((left, before))) is None:
-                        ok = weight(left, before)
-                    if ok:
-                        break
-            last[end] = before
-        path, end = [], n
-        while end:
-            path.append(last[end])
-            end -= len(last[end])
-        return path[::-1]
+                if not near:
+                    near, far, distance = far, [], distance + 1
+                a, b = near.pop()
+                if b in came:
+                    continue
+                if a < 0:  # its weight is added already
+                    a = -1 - a
+                    break
+                left, right = a % STATES, b % STATES
+                if left != OTHER and right != OTHER:
+                    arc = left * OTHER + right
+                    if (w := weights.get(arc)) is None:
+                        w = self.weight(arc)
+                    if w:
+                        far.append((-1 - a, b))
+                        continue
+                break
+            came[b] = a
+            state = b
+        path = []
+        while state != OTHER:
+            path.append(divmod(state, STATES))
+            state = came[state]
+        return distance, path[::-1]
 
     def _word(self, chars: str) -> bytes:
         """Packed ids on the shortest path over one word."""
         ids: list[int] = []
-        for piece in [chars] if chars in self.parts else self._shortest(chars):
-            if (i := self.id.get(piece)) is not None:
-                ids.append(i)
+        for end, piece in self._shortest(chars)[1]:
+            if piece != OTHER:
+                ids.append(piece)
             else:
-                ids.extend(int(self.byte[b]) for b in piece.encode("utf-8", "surrogatepass"))
+                ids.extend(int(self.byte[b]) for b in chars[end - 1].encode("utf-8", "surrogatepass"))
         return array("i", ids).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
         """Packed ids of a stretch; its first space is left out of the argument."""
-        return b"".join(map(self.words.__getitem__, _WORDS.findall(META + stretch.replace(" ", META))))
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(self.front + stretch.translate(self.normaliser))))
 
     def packed(self, text: str | None) -> np.ndarray:
         """The text's ids as an array."""
