@@ -11,9 +11,12 @@ by (id, line), is its source; each other place is matched to the source, the mat
 by line to both sides, and its lines are deleted from the later place. Lines are deleted only where an equal line
 stands earlier, so one copy of everything remains. Repeats within one document count too.
 
-Null and empty texts have no passages and come back unchanged. Null ids are never changed and are
-no source. Rows that repeat an id have the same lines deleted, as told by one of them that is
-chosen by its text. Other columns pass through.
+A row is told by its id and its text: rows that repeat an id with another text are documents of their
+own, in the order of a hash of their texts; rows that repeat an id and text count as one and have the
+same lines deleted. Null and empty texts have no passages and come back unchanged. Rows of null ids
+are never changed and are no source. Repeats of fewer than min_words words stay (short lines that
+recur, such as headings or separators, are no passages). Other columns pass through, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, small_batches
+from .common import column, cut, released, small_batches
 
 MIN_WORDS = 40
 WINDOW = 1
@@ -97,13 +100,18 @@ def extend(own: np.ndarray, source: np.ndarray, at: int, source_at: int) -> tupl
     return first, at + (int(differ[0]) if len(differ) else on)
 
 
+def _key(batch: pa.RecordBatch) -> list[pa.Array]:
+    return [batch.column(batch.schema.get_field_index(c)) for c in ("id", "same")]
+
+
 def _scan(min_words: int, window: int):
-    schema = pa.schema([("id", pa.int64()), ("fps", pa.list_(pa.struct([("fp", pa.int64()), ("line", pa.int32())])))])
+    schema = pa.schema([("id", pa.int64()), ("same", pa.int64()), ("fps", pa.list_(pa.struct([("fp", pa.int64()), ("line", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[{"fp": f, "line": i} for f, i in fingerprints(*line_hashes(t), min_words, window)] for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(rows, schema.field(1).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*_key(batch), pa.array(rows, schema.field(2).type)], schema=schema)
+        released()
 
     return run
 
@@ -111,7 +119,7 @@ def _scan(min_words: int, window: int):
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [np.array(line_hashes(t)[0], np.uint64).tobytes() for t in column(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(packed, pa.binary())], names=["id", "lines"])
+        yield pa.RecordBatch.from_arrays([*_key(batch), pa.array(packed, pa.binary())], names=["id", "same", "lines"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,31 +134,34 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not same:
                     found.append((*extend(own, source, p["line"], p["source_line"]), p["line"] - p["source_line"]))
             out.append([{"a": a, "b": b} for a, b, _ in found])
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(out, run_type)], names=["id", "runs"])
+        yield pa.RecordBatch.from_arrays([*_key(batch), pa.array(out, run_type)], names=["id", "same", "runs"])
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """(id, runs): for each document with repeats, the runs [a, b) of its lines to delete."""
+    """(id, same, runs): for each document with repeats, told by id and a hash of its text, the runs [a, b) of its lines to delete."""
     small_batches(docs.sparkSession)
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = own.mapInArrow(_scan(min_words, window), "id long, fps array<struct<fp: long, line: int>>").select("id", F.inline("fps"))
+    key = ["id", "same"]
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    prints = own.mapInArrow(_scan(min_words, window), "id long, same long, fps array<struct<fp: long, line: int>>").select(*key, F.inline("fps"))
     prints = cut(prints, "lines-fingerprints")
-    first = prints.groupBy("fp").agg(F.min(F.struct("id", "line")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", F.col("s.id").alias("source"), F.col("s.line").alias("source_line"))
-    places = prints.join(first, "fp").where("id <> source or line <> source_line").groupBy("id", "source").agg(F.collect_set(F.struct("line", "source_line")).alias("places"))
+    # A fingerprint whose first and last place are one has no other, even if rows repeat an id and text.
+    first = prints.groupBy("fp").agg(F.min(F.struct(*key, "line")).alias("s"), F.max(F.struct(*key, "line")).alias("e")).where("s <> e").select("fp", "s")
+    first = cut(first, "lines-sources").select("fp", F.col("s.id").alias("source"), F.col("s.same").alias("source_same"), F.col("s.line").alias("source_line"))
+    places = prints.join(first, "fp").where("id <> source or same <> source_same or line <> source_line").groupBy(*key, "source", "source_same").agg(F.collect_set(F.struct("line", "source_line")).alias("places"))
     places = cut(places, "lines-places")
-    needed = places.select("id").unionByName(places.select(F.col("source").alias("id"))).distinct()
-    lines = own.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_hash_rows, "id long, lines binary")
+    needed = places.select(*key).unionByName(places.select(F.col("source").alias("id"), F.col("source_same").alias("same"))).distinct()
+    lines = own.join(needed.hint("merge"), key, "left_semi").mapInArrow(_hash_rows, "id long, same long, lines binary").dropDuplicates(key)
     lines = cut(lines, "lines-hashes")
-    both = places.join(lines, "id").join(lines.select(F.col("id").alias("source"), F.col("lines").alias("source_lines")), "source")
-    runs = both.mapInArrow(_runs, "id long, runs array<struct<a: int, b: int>>")
-    return cut(runs.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs")), "lines-runs")
+    both = places.join(lines, key).join(lines.select(F.col("id").alias("source"), F.col("same").alias("source_same"), F.col("lines").alias("source_lines")), ["source", "source_same"])
+    runs = both.mapInArrow(_runs, "id long, same long, runs array<struct<a: int, b: int>>")
+    return cut(runs.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs")), "lines-runs")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batch with its text cut, and the numbers of all and of deleted lines."""
+    """The rows with their text cut, and the numbers of all and of deleted lines."""
     for batch in batches:
         texts, n_lines, n_removed = [], [], []
-        for text, runs in zip(column(batch, "_text"), column(batch, "_runs")):
+        for text, runs in zip(column(batch, "text"), column(batch, "runs")):
             lines = text.split("\n") if text else []
             gone = set()
             for r in runs or []:
@@ -158,25 +169,36 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
             n_lines.append(len(lines))
             n_removed.append(len(gone))
-        made = {"_text": pa.array(texts, pa.string()), "_n_lines": pa.array(n_lines, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64())}
-        keep = [n for n in batch.schema.names if n not in ("_text", "_runs")]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + list(made.values()), names=keep + list(made))
+        rest = batch.column(batch.schema.get_field_index("rest"))
+        yield pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=["rest", "text", "n_lines", "n_removed"])
+    released()
+
+
+def _cut_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int, window: int) -> DataFrame:
+    """(rest, text, n_lines, n_removed) of each row; rest holds the other columns."""
+    runs = repeated_runs(docs, id_col, text_col, min_words, window).select(F.col("id").alias("run_id"), F.col("same").alias("run_same"), "runs")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    slim = docs.select(F.col(id_col).alias("id"), F.struct(*others).alias("rest"), F.col(text_col).alias("text"))
+    joined = slim.where("id is not null").withColumn("same", F.xxhash64("text")).join(runs.hint("merge"), (F.col("id") == F.col("run_id")) & (F.col("same") == F.col("run_same")), "left").select("rest", "text", "runs")
+    joined = joined.unionByName(slim.where("id is null").select("rest", "text", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs")))
+    return joined.mapInArrow(_cleaned, f"rest {dict(slim.dtypes)['rest']}, text string, n_lines long, n_removed long")
+
+
+def _unpacked(docs: DataFrame, text_col: str) -> list[F.Column]:
+    return [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """docs with later repeated runs of lines deleted from the text, and with _n_lines and _n_removed."""
-    runs = repeated_runs(docs, id_col, text_col, min_words, window).select(F.col("id").alias("_run_id"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs.hint("merge"), docs[id_col] == runs["_run_id"], "left").drop("_run_id").withColumnRenamed(text_col, "_text")
-    rest = [c for c in joined.columns if c not in ("_text", "_runs")]
-    types = dict(joined.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in rest] + ["_text string, _n_lines long, _n_removed long"])
-    return joined.mapInArrow(_cleaned, schema).withColumnRenamed("_text", text_col)
+    """docs with later repeated runs of lines deleted from the text, and with _n_lines and _n_removed in place of columns so named."""
+    own = docs.drop("_n_lines", "_n_removed")
+    done = _cut_rows(own, id_col, text_col, min_words, window)
+    return done.select(*_unpacked(own, text_col), F.col("n_lines").alias("_n_lines"), F.col("n_removed").alias("_n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, same columns, with repeated runs deleted; documents whose whole text goes are left out."""
-    done = dedup_lines(docs)
-    return done.where("not (_n_removed > 0 and trim(text) = '')").select(*docs.columns)
+    done = _cut_rows(docs, "doc_id", "text", MIN_WORDS, WINDOW)
+    return done.where("not (n_removed > 0 and trim(text) = '')").select(*_unpacked(docs, "text"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
