@@ -1,6 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a shuffle join; no neighbourhood, component or edge list reaches one task or the driver.
+Every step is a shuffle join. A vertex's edges are dealt out by (vertex, salt), its smallest
+neighbour is found for each salt first and then over its salts, so that a hub's edges fall into as
+many groups as there are salts, and their number follows the number of edges. No neighbourhood,
+component or edge list reaches one task or the driver.
 """
 
 from __future__ import annotations
@@ -10,17 +13,27 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges of one vertex that one task should hold at most, and the least number of salts.
+EDGES = 50_000
+SALTS = 16
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def _with_least(e: DataFrame, salts: int) -> DataFrame:
+    """e with m, the smallest b of each a."""
+    salted = e.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("part"))
+    least = part.groupBy("a").agg(F.min("part").alias("m"))
+    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
+def _large_star(e: DataFrame, salts: int) -> DataFrame:
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+def _small_star(e: DataFrame, salts: int) -> DataFrame:
+    moved = _with_least(e, salts)
+    return moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -37,6 +50,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == mark or now[0] == 0:
             break
         mark = now
-        e = cut(_small_star(_large_star(e)), name)
+        salts = max(SALTS, 2 * now[0] // EDGES)
+        e = cut(_small_star(_large_star(e, salts), salts), name)
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())

@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Vectors are compared by cosine in double precision, and only with vectors of the same label; a null
-label or a vector that is null, empty, zero or holds null or non-finite components links with
-nothing (vectors of another length neither). Vectors with equal components and label are one class
-with one place in the trees.
+Vectors are compared by cosine in double precision, and only with vectors of the same label; labels
+may be of any type that casts to a string. A null label or a vector that is null, empty, zero or holds
+null or non-finite components links with nothing (vectors of another length neither), nor does a row
+of null id, whose component is null and which is kept. Vectors with equal components and label are
+one class with one place in the trees; classes are numbered, so rows that repeat an id with other
+vectors each link by their own.
 
 A tree splits the unit vectors of a label recursively: a random direction, the median of the
 projections as threshold, and all vectors within SPILL of it on both sides, until about LEAF vectors
@@ -13,7 +15,10 @@ own. Vectors are compared within the leaves of TREES trees, leaves in blocks of
 no task holds an unbounded leaf; every pair is verified. A pair at the threshold is separated by a
 tree with a probability of a few per cent for each level, by all trees hardly ever.
 
-Links are joined to components. Rows that repeat an id each get a row. Other columns are ignored.
+A pair may meet in several leaves. It is counted in the one of least number that both vectors lie in,
+as each vector carries the numbers of its leaves, so blocks put out counts and roots of components
+instead of pairs. Links are joined to components. Rows that repeat an id each get a row. Other columns
+are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,13 +45,13 @@ SEED = 5
 BLOCK = 50_000
 
 
-def direction(label: int, tree: int, path: str, attempt: int, size: int) -> np.ndarray:
-    seed = [SEED, label & 0xFFFFFFFF, tree, attempt, *path.encode()]
-    v = np.random.default_rng(seed).standard_normal(size)
-    return v / np.linalg.norm(v)
+def direction(label: str, tree: int, path: str, attempt: int, size: int) -> np.ndarray:
+    seed = [SEED, tree, attempt, *path.encode(), 256, *label.encode("utf-8", "surrogatepass")]
+    x = np.random.default_rng(seed).standard_normal(size)
+    return x / np.linalg.norm(x)
 
 
-def fit(x: np.ndarray, label: int, tree: int, root: str, leaf: int) -> dict[str, tuple[int, float]]:
+def fit(x: np.ndarray, label: str, tree: int, root: str, leaf: int) -> dict[str, tuple[int, float]]:
     """Splits (attempt, threshold) by path, from unit vectors x at the node root."""
     splits: dict[str, tuple[int, float]] = {}
     open_ = [(root, x)]
@@ -65,7 +70,7 @@ def fit(x: np.ndarray, label: int, tree: int, root: str, leaf: int) -> dict[str,
     return splits
 
 
-def place(x: np.ndarray, label: int, tree: int, root: str, splits: dict[str, tuple[int, float]]) -> Iterator[tuple[str, np.ndarray]]:
+def place(x: np.ndarray, label: str, tree: int, root: str, splits: dict[str, tuple[int, float]]) -> Iterator[tuple[str, np.ndarray]]:
     """Leaves below root and the rows of x that fall into each."""
     open_ = [(root, np.arange(len(x)))]
     while open_:
@@ -100,7 +105,7 @@ NODE = ["label", "size", "tree", "path"]
 
 def _fit_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
     label, size, tree, path = (pdf[c].iloc[0] for c in NODE)
-    splits = fit(_unit(pdf["v"]), int(label), int(tree), path, max(16, int(LEAF * pdf["share"].iloc[0])))
+    splits = fit(_unit(pdf["v"]), label, int(tree), path, max(16, int(LEAF * pdf["share"].iloc[0])))
     rows = [(label, size, tree, path, p, a, t) for p, (a, t) in splits.items()]
     return pd.DataFrame(rows, columns=[*NODE, "at", "attempt", "threshold"])
 
@@ -111,7 +116,7 @@ def _place_nodes(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.Data
         return pd.DataFrame({"id": [], "path": []})
     splits = {r.at: (r.attempt, r.threshold) for r in model.itertuples(index=False)}
     ids = rows["id"].to_numpy()
-    found = [pd.DataFrame({"id": ids[own], "path": leaf}) for leaf, own in place(_unit(rows["v"]), int(label), int(tree), path, splits)]
+    found = [pd.DataFrame({"id": ids[own], "path": leaf}) for leaf, own in place(_unit(rows["v"]), label, int(tree), path, splits)]
     out = pd.concat(found)
     out["label"], out["size"], out["tree"] = label, key[1], tree
     return out
@@ -131,7 +136,7 @@ def leaves(vectors: DataFrame) -> DataFrame:
         rows = placed.join(large, NODE).join(vectors.select("id", "v"), "id")
         share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
         sampled = rows.withColumn("share", share).where(unit_hash("id", "tree") < F.col("share")).select(*NODE, "share", "v")
-        models = cut(sampled.groupBy(*NODE).applyInPandas(_fit_nodes, "label int, size int, tree int, path string, at string, attempt int, threshold double"), "forest-models")
+        models = cut(sampled.groupBy(*NODE).applyInPandas(_fit_nodes, "label string, size int, tree int, path string, at string, attempt int, threshold double"), "forest-models")
         split = models.select(*NODE).distinct()
         stuck = placed.join(large.select(*NODE), NODE, "left_semi").join(split, NODE, "left_anti")
         ready = small.unionByName(stuck)
@@ -139,7 +144,7 @@ def leaves(vectors: DataFrame) -> DataFrame:
         to_place = rows.join(split, NODE, "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select(*NODE, "block", "id", "v")
         copies = models.join(large, NODE).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*NODE, "block", "at", "attempt", "threshold")
         key = [*NODE, "block"]
-        moved = to_place.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(_place_nodes, "id long, path string, label int, size int, tree int")
+        moved = to_place.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(_place_nodes, "id long, path string, label string, size int, tree int")
         ready = cut(ready.select("label", "size", "tree", "path", "id"), "forest-leaves")
         done = ready if done is None else done.unionByName(ready)
         placed = cut(moved.select("id", "label", "size", "tree", "path"), "forest-placed")
@@ -147,36 +152,38 @@ def leaves(vectors: DataFrame) -> DataFrame:
     return rest if done is None else done.unionByName(rest)
 
 
+EMPTY = {"id": [], "root": [], "near": []}
+
+
 def _compare(threshold: float):
+    """Per linked vector of a block: a linked vector or itself as root, and the rows of linked vectors whose pair counts here."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        ids, x, copies = pdf["id"].to_numpy(), _unit(pdf["v"]), dict(zip(pdf["id"], pdf["copies"]))
-        same = pdf["side"].to_numpy() == 0
-        a, b = (np.flatnonzero(same), np.flatnonzero(~same)) if (~same).any() else (np.arange(len(ids)),) * 2
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0] and len(b) == len(ids):
-            return pd.DataFrame({"id": [], "root": [], "near": [], "several": []})
-        links = x[a] @ x[b].T >= threshold
-        near: dict[int, list[int]] = {}
-        root = list(range(len(ids)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for p, q in zip(*np.nonzero(links)):
-            p, q = int(a[p]), int(b[q])
-            if p == q:
-                continue
-            near.setdefault(p, []).append(int(ids[q]))
-            if a is not b:
-                near.setdefault(q, []).append(int(ids[p]))
-            f, g = find(p), find(q)
-            if f != g:
-                root[max(f, g)] = min(f, g)
-        rows = [(int(ids[k]), int(ids[find(k)]), v, [o for o in v if copies[o] > 1]) for k, v in ((k, sorted(set(v))) for k, v in near.items())]
-        return pd.DataFrame(rows, columns=["id", "root", "near", "several"])
+        ids, x, copies = pdf["id"].to_numpy(), _unit(pdf["v"]), pdf["copies"].to_numpy()
+        links = x @ x.T >= threshold
+        np.fill_diagonal(links, False)
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            side = pdf["side"].to_numpy()
+            links &= side[:, None] != side[None, :]
+        own = np.flatnonzero(links.any(axis=1))
+        if not len(own):
+            return pd.DataFrame(EMPTY)
+        links = links[np.ix_(own, own)]
+        root = np.arange(len(own))
+        while True:
+            least = np.minimum(root, np.where(links, root[None, :], len(own)).min(axis=1))
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        before = [[n for n in pdf["leaves"].iloc[k] if n < pdf["leaf"].iloc[0]] for k in own]
+        numbers, n = np.unique(np.concatenate([np.array(b, np.int64) for b in before]), return_counts=True)
+        numbers = numbers[n > 1]
+        inside = np.zeros((len(own), len(numbers)), np.float32)
+        for k, b in enumerate(before):
+            inside[k] = np.isin(numbers, b)
+        counted = links & (inside @ inside.T == 0)
+        return pd.DataFrame({"id": ids[own], "root": ids[own][root], "near": counted @ copies[own]})
 
     return run
 
@@ -184,25 +191,26 @@ def _compare(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of each row; see the module's notes."""
     small_batches(vectors.sparkSession)
-    slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    slim = cut(slim.mapInArrow(_packed, "id long, label int, v binary"), "forest-vectors")
-    usable = slim.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull())
-    classes = cut(usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.octet_length("v").cast("int").alias("size")), "forest-classes")
-    found = leaves(classes.select("id", "label", "size", "v"))
-    sizes = found.groupBy(*NODE).agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side")))
-    dealt = found.join(sizes, NODE).select(*NODE, "id", F.inline(pairs)).join(classes.select("id", "v", "copies"), "id")
-    near = dealt.groupBy(*NODE, "i", "j").applyInPandas(_compare(threshold), "id long, root long, near array<long>, several array<long>")
-    near = cut(near, "forest-links")
+    slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    slim = cut(slim.mapInArrow(_packed, "id long, label string, v binary"), "forest-vectors")
+    fits = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
+    classes = slim.where(fits).groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "label", "v", "least", "copies", F.octet_length("v").cast("int").alias("size")), "forest-classes")
+    found = cut(leaves(classes.select("id", "label", "size", "v")).withColumn("leaf", F.xxhash64(*NODE)), "forest-found")
+    sizes = found.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    of_vector = found.groupBy("id").agg(F.collect_list("leaf").alias("leaves"))  # as many as the trees and their spill make
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(block, k).alias("i"), F.greatest(block, k).alias("j"), (block > k).cast("int").alias("side")))
+    dealt = found.join(sizes, "leaf").select("leaf", "id", F.inline(pairs)).join(classes.select("id", "v", "copies").join(of_vector, "id"), "id")
+    near = cut(dealt.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "id long, root long, near long"), "forest-links")
     comp = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")), "forest-components")
-    linked = near.groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("linked"))
-    several = near.select("id", F.explode("several").alias("other")).distinct()  # linked classes of more than one row
-    more = several.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum(F.col("copies") - 1).alias("more"))
-    counted = linked.join(more, "id", "left").select("id", (F.col("linked") + F.coalesce("more", F.lit(0))).alias("others"))
-    by_class = classes.join(counted, "id", "left").join(comp, "id", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = slim.join(by_class, ["label", "v"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    least = classes.select("id", "least").join(comp, "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    counted = near.groupBy("id").agg(F.sum("near").alias("others"))
+    linked = comp.join(least, "component").select("id", "component_id").join(counted, "id", "left")
+    by_class = classes.join(linked, "id", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    out = slim.where(fits).join(by_class, ["label", "v"], "left").select("id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.unionByName(slim.where(~fits).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op3_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
