@@ -6,16 +6,18 @@ ALPHA for each order skipped; a single word gives c(word) / (words in other docu
 that no other document has counts as UNSEEN of a word. All counts are of the whole corpus less the
 document's own occurrences. A document's score is the mean natural logarithm over its words.
 
-The relation n-gram -> count is hash-partitioned into buckets; documents' n-grams are exploded into
-them, joined to their counts and sent back, where each document's terms are summed. To keep rows few,
-an exploded row holds the distinct n-grams that a chunk of documents has in a bucket, as packed
-hashes with counts, which is also the aggregation before the shuffle. N-grams that a bounded sample of
-documents (SAMPLE) shows to be frequent are counted exactly over the corpus too, but as sums within
-tasks, and broadcast: at most MAX_FREQUENT numbers. So no bucket gathers a frequent n-gram's rows.
-The sample only decides the route; it changes no result.
+The table n-gram -> count is partitioned by hash into buckets; documents' n-grams are exploded into
+them, joined to their counts and sent back, where each document's terms are summed. `ngram_counts`
+gives that table as rows. For scoring its rows and the exploded ones travel packed: one holds the
+distinct n-grams that a chunk of documents has in a bucket, in ascending order of hash, as differences
+with counts, in byte planes; that is the aggregation before the shuffle as well. N-grams that a bounded
+sample of documents (SAMPLE) shows to be frequent are counted exactly over the corpus too, but as sums
+within tasks, and broadcast: at most MAX_FREQUENT numbers. So no bucket gathers a frequent n-gram's rows.
+The sample only decides the route; it changes no result. Within a bucket n-grams are told apart by 48
+bits beside the bucket's own: two of 3 million share them with a probability of 0.02 in all.
 
 Null and empty texts have no words and a null score. Rows that repeat an id are documents of their
-own. Other columns are ignored. docs must give the same rows in the same partitions when it is read
+own. Other columns are ignored, whatever their names; an empty table gives an empty result. docs must give the same rows in the same partitions when it is read
 twice, as a table does; the operator fails rather than mix up chunks otherwise.
 """
 
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, column, encoded, mix, small_batches, unit_hash, word_hashes
+from .common import U64, chunks, column, encoded, mix, released, small_batches, unit_hash, word_hashes
 
 ORDER = 3
 ALPHA = 0.4
@@ -40,7 +42,7 @@ SAMPLE_DOCS = 8
 MAX_FREQUENT = 200_000
 CHUNK = 4_000_000
 #: Text bytes whose n-grams a bucket holds; one task holds a bucket of them in memory.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 6_000_000
 _LOW = U64((1 << 48) - 1)
 
 
@@ -64,6 +66,22 @@ def _split(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as zstd-compressed byte planes, their number first."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    body = planes[: 8 - int((planes[::-1].any(axis=1)).argmax())] if planes.any() else planes[:1]
+    return len(values).to_bytes(8, "little") + len(body).to_bytes(1, "little") + pa.Codec("zstd", 1).compress(body.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, planes = int.from_bytes(data[:8], "little"), data[8]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        body = pa.Codec("zstd").decompress(data[9:], decompressed_size=n * planes, asbytes=True)
+        out[:, :planes] = np.frombuffer(body, np.uint8).reshape(planes, n).T
+    return out.view("<u8").ravel()
+
+
 class _Chunk:
     """Distinct n-grams of a chunk of texts, in ascending order, and where its words use them."""
 
@@ -99,6 +117,7 @@ def _sampled(order: int):
                 h = np.concatenate([np.unique((doc.astype(U64) << U64(52)) | (g >> U64(12)))[:] for g in grams(words, doc, order)] or [np.zeros(0, U64)])
                 keys, n = np.unique(h & U64((1 << 52) - 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+        released()
 
     return run
 
@@ -135,23 +154,32 @@ def _exploded(order: int, n_buckets: int, shared):
             keys, counts = chunk.keys[chunk.rare], chunk.counts[chunk.rare].astype(np.uint32)
             ends = np.searchsorted(_split(keys, n_buckets), np.arange(n_buckets + 1))
             rows = [k for k in range(n_buckets) if ends[k + 1] > ends[k]]
-            six = (keys & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.int32()), pa.array([six[ends[k] : ends[k + 1]].tobytes() for k in rows], pa.binary()), pa.array([counts[ends[k] : ends[k + 1]].tobytes() for k in rows], pa.binary())], names=["chunk", "bucket", "keys", "counts"])
+            low = keys & _LOW
+            steps = np.diff(low, prepend=U64(0))
+            steps[ends[rows]] = low[ends[rows]]  # each row starts anew
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.int32()), pa.array([packed(steps[ends[k] : ends[k + 1]]) for k in rows], pa.binary()), pa.array([packed(counts[ends[k] : ends[k + 1]]) for k in rows], pa.binary())], names=["chunk", "bucket", "keys", "counts"])
+        released()
 
     return run
 
 
 def _joined(table: pa.Table) -> pa.Table:
     """One bucket: the counts of its n-grams over all chunks, and each chunk's n-grams joined to them."""
-    packed = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
-    wide = np.zeros((sum(map(len, packed)), 8), np.uint8)
-    wide[:, :6] = np.concatenate(packed)
-    keys, inverse = np.unique(wide.view(U64).ravel(), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys))[inverse].astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in packed])])
-    answers = [total[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.nulls(len(packed), pa.list_(pa.int64())), "payload": pa.array(answers, pa.binary())})
+    steps = [unpacked(x) for x in table.column("keys").to_pylist()]
+    sizes = np.array([len(x) for x in steps])
+    keys = np.concatenate([np.cumsum(x, dtype=U64) for x in steps])
+    del steps
+    order = np.argsort(keys, kind="stable")
+    new = np.diff(keys[order], prepend=keys[order[:1]] + U64(1)) != 0
+    del keys
+    counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
+    sums = np.add.reduceat(counts[order], np.flatnonzero(new))
+    total = np.empty(len(order), U64)
+    total[order] = np.repeat(sums, np.diff(np.append(np.flatnonzero(new), len(order))))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    answers = [packed(total[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    released()
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.nulls(len(answers), pa.list_(pa.int64())), "payload": pa.array(answers, pa.binary())})
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +227,39 @@ def _scored(order: int, shared):
         body = codec.decompress(payload[16 + 8 * n :], decompressed_size=size, asbytes=True) if size else b""
         ends = np.concatenate([[0], np.cumsum(np.frombuffer(payload[16 : 16 + 8 * n], np.int64))])
         chunk = _Chunk([body[a:b] for a, b in zip(ends[:-1], ends[1:])], order, frequent)
-        told = np.concatenate([np.frombuffer(p, np.int64) for _, _, p in answers]) if answers else np.zeros(0, np.int64)
+        told = np.concatenate([unpacked(p) for _, _, p in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
         if bucket != -1 or len(told) != len(chunk.rare):
             raise RuntimeError("the documents were dealt out differently when they were read again")
         total = np.where(chunk.frequent_at >= 0, counts[chunk.frequent_at] if len(counts) else 0, 0)
         total[chunk.rare] = told
         n_words, sums = _terms(chunk, total, n_all, n, order)
+        del chunk, total, told, body
+        released()
         return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "log_sum": pa.array(np.where(n_words > 0, sums, 0.0)), "score": pa.array([s / w if w else None for s, w in zip(sums, n_words)], pa.float64())})
 
     return run
 
 
+def _chunk_counts(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = encoded(column(batch, "text"))
+            for a, b in chunks([len(t) for t in texts], CHUNK):
+                for k, g in enumerate(grams(*word_hashes(texts[a:b], lower=True), order)):
+                    h, n = np.unique(g[g != 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k + 1), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["k", "h", "n"])
+        released()
+
+    return run
+
+
+def ngram_counts(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
+    """(k, h, n): occurrences of each k-gram, told by its hash, partitioned by hash."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_chunk_counts(order), "k int, h long, n long")
+    return rows.groupBy("k", "h").agg(F.sum("n").alias("n"))
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_sum, score) of each document; see the module's notes."""
     spark = docs.sparkSession
