@@ -10,13 +10,15 @@ until the rest is used up; the document at the border gives its leading words on
 
 Null and empty texts have size 0, take nothing and never influence others. Documents without a
 source belong to the null source, which sorts last. Rows that repeat an id are documents of their
-own with the same place in the hash order, ordered by size. An empty table gives an empty result.
+own with the same place in the hash order, ordered by size. Other columns are ignored, whatever their
+names. An empty table gives an empty result. More than MAX_PATTERNS membership patterns are an error.
 Reruns give the same rows: the order comes from hashes of id and seed.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_REPEATS = 2
 SEED = 17
-#: More patterns than this are an error: they would not fit a driver's flow network.
-MAX_PATTERNS = 20_000
-#: Hash ranges whose sums are added up before the exact order within a range.
-RANGES = 1024
+#: More patterns than this are an error: they would not fit the driver.
+MAX_PATTERNS = 100_000
+#: Rows that a hash range of a pattern should hold at most; the sums of ranges are added up before the exact order within one.
+RANGE_ROWS = 50_000
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -59,19 +61,18 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
     return out
 
 
-def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], max_repeats: int) -> list[dict[int, int]]:
-    """Words that each pattern (its sources, its size) sends to each source.
-
-    Successive cheapest augmenting paths with potentials; a maximum flow of minimum cost.
+def _flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], max_repeats: int) -> list[dict[int, int]]:
+    """min_cost_flow of one connected network, by the primal-dual method: for each distance from
+    start to end, of which convex costs make few, a maximum flow over the arcs of reduced cost 0.
     """
     n, m = len(patterns), len(quotas)
     end = n + m + 1
-    graph: list[list[list[int]]] = [[] for _ in range(end + 1)]  # arcs: to, room, cost, index of the reverse arc
+    to, room, cost, out = [], [], [], [[] for _ in range(end + 1)]
 
-    def arc(a: int, b: int, room: int, cost: int) -> list[int]:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-        return graph[a][-1]
+    def arc(a: int, b: int, most: int, price: int) -> int:
+        out[a].append(len(to)), out[b].append(len(to) + 1)  # an arc and its reverse differ in the last bit
+        to.extend((b, a)), room.extend((most, 0)), cost.extend((price, -price))
+        return len(to) - 2
 
     routes = []
     for p, (members, size) in enumerate(patterns):
@@ -82,31 +83,91 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
         arc(1 + n + s, end, quota, 0)
     potential = [0] * (end + 1)
     while True:
-        far, via = {0: 0}, {}
-        heap, done = [(0, 0)], set()
+        far, heap, done = {0: 0}, [(0, 0)], set()
         while heap:
             d, a = heapq.heappop(heap)
             if a in done:
                 continue
             done.add(a)
-            for i, (b, room, cost, _) in enumerate(graph[a]):
-                if room > 0 and (at := d + cost + potential[a] - potential[b]) < far.get(b, 1 << 62):
-                    far[b], via[b] = at, (a, i)
-                    heapq.heappush(heap, (at, b))
+            for i in out[a]:
+                if room[i] > 0 and (at := d + cost[i] + potential[a] - potential[to[i]]) < far.get(to[i], 1 << 62):
+                    far[to[i]] = at
+                    heapq.heappush(heap, (at, to[i]))
         if end not in far:
             break
         for a in range(end + 1):
-            potential[a] += far.get(a, far[end])
-        path, b = [], end
-        while b:
-            a, i = via[b]
-            path.append(graph[a][i])
-            b = a
-        amount = min(x[1] for x in path)
-        for x in path:
-            x[1] -= amount
-            graph[x[0]][x[3]][1] += amount
-    return [{s: size * max_repeats - x[1] for s, x in routes[p].items()} for p, (_, size) in enumerate(patterns)]
+            potential[a] += min(far.get(a, far[end]), far[end])
+        free = lambda a, i: room[i] > 0 and cost[i] + potential[a] == potential[to[i]]
+        while True:
+            level, queue = {0: 0}, [0]
+            for a in queue:
+                for i in out[a]:
+                    if to[i] not in level and free(a, i):
+                        level[to[i]] = level[a] + 1
+                        queue.append(to[i])
+            if end not in level:
+                break
+            next_ = [0] * (end + 1)
+            path: list[int] = []
+            a = 0
+            while True:
+                if a == end:
+                    amount = min(room[i] for i in path)
+                    for i in path:
+                        room[i] -= amount
+                        room[i ^ 1] += amount
+                    cut_at = next(k for k, i in enumerate(path) if room[i] == 0)
+                    a = to[path[cut_at] ^ 1]
+                    del path[cut_at:]
+                    continue
+                while next_[a] < len(out[a]):
+                    i = out[a][next_[a]]
+                    if level.get(to[i]) == level[a] + 1 and free(a, i):
+                        break
+                    next_[a] += 1
+                if next_[a] < len(out[a]):
+                    path.append(out[a][next_[a]])
+                    a = to[path[-1]]
+                elif a == 0:
+                    break
+                else:
+                    a = to[path.pop() ^ 1]
+                    next_[a] += 1
+    return [{s: room[i ^ 1] for s, i in r.items()} for r in routes]
+
+
+def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], max_repeats: int) -> list[dict[int, int]]:
+    """Words that each pattern (its sources, its size) sends to each source: a maximum flow of minimum cost.
+
+    Patterns that share no sources, directly or by others, are networks of their own; one pattern
+    with one source, as disjoint sources give, needs no search.
+    """
+    root = list(range(len(quotas)))
+
+    def find(s: int) -> int:
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            root[find(s)] = find(members[0])
+    of: dict[int, list[int]] = {}
+    for p, (members, _) in enumerate(patterns):
+        of.setdefault(find(members[0]) if members else -1, []).append(p)
+    out: list[dict[int, int]] = [{} for _ in patterns]
+    for network in of.values():
+        members, size = patterns[network[0]]
+        if len(network) == 1 and len(members) <= 1:
+            out[network[0]] = {s: min(quotas[s], size * max_repeats) for s in members}
+            continue
+        names = sorted({s for p in network for s in patterns[p][0]})
+        place = {s: i for i, s in enumerate(names)}
+        flows = _flow([(tuple(place[s] for s in patterns[p][0]), patterns[p][1]) for p in network], [quotas[s] for s in names], max_repeats)
+        for p, flow in zip(network, flows):
+            out[p] = {names[i]: x for i, x in flow.items()}
+    return out
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, members: F.Column | None = None, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -116,8 +177,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None =
     members = F.array(F.col("source")) if members is None else members
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1)
     slim = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), order.alias("rank"))
-    slim = cut(slim.withColumn("slot", F.shiftright("rank", 53).cast("int")), "mix-sizes")
-    sums = checked_rows(slim.groupBy("members").agg(F.sum("size").alias("size")), MAX_PATTERNS, "membership patterns")
+    slim = cut(slim, "mix-sizes")
+    sums = checked_rows(slim.groupBy("members").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), MAX_PATTERNS, "membership patterns")
+    bits = max([10, *(math.ceil(math.log2(r["n"] / RANGE_ROWS)) for r in sums)])
+    slim = slim.withColumn("slot", F.shiftright("rank", 63 - bits).cast("long"))
     names = sorted({s for r in sums for s in r["members"]}, key=lambda s: (s is None, s or ""))
     place = {s: i for i, s in enumerate(names)}
     of_source = [0] * len(names)
