@@ -2,16 +2,20 @@
 
 Every page is read into blocks: runs of text between block tags, each with the path of its
 container. A path is made of the enclosing tags with their classes, digits left out, down to the
-nearest container (article, main, section, div, td, body), or to the article around it. Blocks in menus, headers, footers, asides,
+nearest container (article, main, section, div, td, body), or to the article around it; it is written as
+its last step and a hash of all steps. Blocks in menus, headers, footers, asides,
 forms, notices, adverts, scripts, styles and reader comments are dropped. A page gives each of its
-paths its share of the page's text outside links, and a part of that to enclosing containers; a host's votes are added in Spark, and the path
+paths its share of the page's text outside links (of all text if all is links), and a part of that to
+enclosing containers while it is LEAST_VOTE or more; a host's votes are added in Spark, and the path
 with most of them wins (ties: the first path by code point). Pages are then read again: their text is
 that of all blocks under the host's path; a page without such text uses its own best path.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined
 by one space in page order. Null and empty pages give the empty text. The host is that of the url
-without a port, lower-cased; pages without one form one host. Rows that repeat an id each get a row;
-other columns are ignored. Broken mark-up never fails: unclosed tags end with their parents.
+without a port, lower-cased; pages without one form one host. Rows that repeat an id each get a row,
+and each one votes; other columns are ignored, whatever their names; an empty table gives an empty
+result. Broken mark-up never fails: unclosed tags end with their parents, and time and memory are in
+proportion to the page, however deep its tags are nested.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, cut, small_batches
+from .common import column, cut, released, small_batches
 
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "blockquote"}
 DROPPED = {"head", "title", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "iframe", "svg", "button", "select", "textarea", "object", "canvas", "menu", "dialog"}
@@ -42,6 +47,15 @@ ARTICLE_MARKS = {"comment", "comments", "reply", "related", "recommended", "spon
 #: First words of class names that tell about the layout only.
 LAYOUT = {"no", "has", "with", "without"}
 FADE = 0.6
+#: Votes are counted in millionths; smaller shares are none.
+LEAST_VOTE = 1e-6
+#: Characters of a path's last step that are written before its hash.
+STEP_CHARS = 80
+LISTS = {"ul", "ol", "dl", "table"}
+
+#: Hosts whose paths are broadcast (of some 100 bytes each), and parts of a host's pages beyond that.
+MAX_BROADCAST = 200_000
+PARTS = 64
 
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", regex.S)
 _LABEL = regex.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
@@ -76,43 +90,54 @@ def _step(tag: str, attrs: str) -> str:
     return tag + names
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, int]]:
-    """(container path, text, characters within links) of each wanted block, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path to it, unwanted, in an article
+class Container:
+    """A place for text: its path, the container around it, and whether it lies in the container looked for."""
+
+    __slots__ = ("path", "around", "wanted")
+
+    def __init__(self, path: str, around: Container | None, target: str | None):
+        self.path, self.around = path, around
+        self.wanted = path == target or around is not None and around.wanted
+
+
+class _Open:
+    """An open tag: hash of its path, container of its text, whether its text is dropped, whether in an article; the places of the nearest container and of the nearest one that ends list items."""
+
+    __slots__ = ("tag", "hash", "home", "dropped", "inside", "bound", "item_bound")
+
+
+def blocks(page: str, target: str | None = None) -> Iterator[tuple[Container, str, int]]:
+    """(container, text, characters within links) of each wanted block, in page order."""
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of the open tags of a name
     parts: list[str] = []
     linked = links = 0
-
-    def path() -> str:
-        for tag, at, _, _ in stack:
-            if tag == "article":
-                return at
-        for tag, at, _, _ in reversed(stack):
-            if tag in CONTAINERS:
-                return at
-        return ""
+    root = Container("", None, target)
 
     def flush():
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
-        done = (path(), text, linked) if text and not (stack and stack[-1][2]) else None
+        done = (stack[-1].home if stack else root, text, linked) if text else None
         parts, linked = [], 0
         return done
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and not (stack and stack[-1][2]):
+        if text and not (stack and stack[-1].dropped):
             text = entities.unescape(text)
             parts.append(text)
             if links:
                 linked += len(text.strip())
 
     def shut(tag: str) -> None:
+        """End the nearest open tag of the name, with all within it."""
         nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                links -= sum(x[0] == "a" for x in stack[i:])
-                del stack[i:]
-                return
+        if places.get(tag):
+            first = places[tag][-1]
+            while len(stack) > first:
+                gone = stack.pop()
+                places[gone.tag].pop()
+                links -= gone.tag == "a"
 
     at, low = 0, None
     for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -129,23 +154,26 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
             continue
         if tag in VOID:
             continue
-        if block and tag not in ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    shut("p")
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ENDS.get(tag, ()):
-                shut(stack[i][0])
-                break
-            if stack[i][0] in CONTAINERS | {"ul", "ol", "dl", "table"} and stack[i][0] != "td":
-                break
-        above = stack[-1] if stack else ("", "", False, False)
-        inside = above[3] or tag in ("article", "main")
-        unwanted = above[2] or _unwanted(tag, attrs) or (tag == "header" and not above[3])
-        stack.append((tag, f"{above[1]}>{_step(tag, attrs)}" if above[1] else _step(tag, attrs), unwanted, inside))
+        if block and tag not in ENDS and places.get("p") and places["p"][-1] > stack[-1].bound:
+            shut("p")
+        near = max((places[t][-1] for t in ENDS.get(tag, ()) if places.get(t)), default=-1)
+        if near >= 0 and near >= stack[-1].item_bound:
+            shut(stack[near].tag)
+        above = stack[-1] if stack else None
+        new = _Open()
+        new.tag, step = tag, _step(tag, attrs)
+        new.hash = xxhash.xxh64_intdigest(f"{above.hash if above else ''}>{step}".encode("utf-8", "surrogatepass"))
+        in_article = bool(places.get("article"))
+        new.home = above.home if above else root
+        if tag in CONTAINERS and not in_article:
+            new.home = Container(f"{step[:STEP_CHARS]}#{new.hash:016x}", new.home, target)
+        new.inside = above is not None and above.inside or tag in ("article", "main")
+        new.dropped = above is not None and above.dropped or _unwanted(tag, attrs) or (tag == "header" and not (above and above.inside))
+        here = len(stack)
+        new.bound = here if tag in CONTAINERS else above.bound if above else -1
+        new.item_bound = here if tag != "td" and (tag in CONTAINERS or tag in LISTS) else above.item_bound if above else -1
+        stack.append(new)
+        places.setdefault(tag, []).append(here)
         links += tag == "a"
         if tag in RAW:
             low = low if low is not None else page.lower()
@@ -158,18 +186,20 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
 
 def scores(page: str) -> dict[str, float]:
     """Share of the page's text outside links by container path; FADE of it counts for the next enclosing container."""
-    own: dict[str, int] = {}
-    for path, text, linked in blocks(page):
-        own[path] = own.get(path, 0) + max(0, len(text) - linked)
-    total = sum(own.values())
+    own: dict[str, list] = {}
+    for home, text, linked in blocks(page):
+        sums = own.setdefault(home.path, [home, 0, 0])
+        sums[1] += max(0, len(text) - linked)
+        sums[2] += len(text)
+    plain = sum(x[1] for x in own.values())
+    total = plain or sum(x[2] for x in own.values())
     out: dict[str, float] = {}
-    for path, n in own.items():
-        steps, share = path.split(">"), n / total if total else 0.0
-        for k in range(len(steps), 0, -1):
-            if k == len(steps) or steps[k - 1].split(".")[0] in CONTAINERS:
-                at = ">".join(steps[:k])
-                out[at] = out.get(at, 0.0) + share
-                share *= FADE
+    for home, n, n_all in own.values():
+        share = (n if plain else n_all) / total if total else 0.0
+        while home is not None and share >= LEAST_VOTE:
+            out[home.path] = out.get(home.path, 0.0) + share
+            share *= FADE
+            home = home.around if home.around is not None and home.around.path else None
     return {p: v for p, v in out.items() if v > 0}
 
 
@@ -181,7 +211,7 @@ def text_under(page: str, path: str | None) -> str:
     """Text of the blocks whose container is at the path or inside it."""
     if path is None:
         return ""
-    return " ".join(t for p, t, _ in blocks(page) if p == path or p.startswith(path + ">"))
+    return " ".join(t for home, t, _ in blocks(page, path) if (home.wanted if path else not home.path))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +221,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, share in scores(page or "").items():
                 sums[host, path] = sums.get((host, path), 0.0) + share
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array([round(v * 1_000_000) for v in sums.values()], pa.int64())], names=["host", "path", "vote"])
+    released()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +249,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     small_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     paths = cut(host_paths(slim), "html-paths")
-    joined = slim.join(paths, "host", "left").select("id", "url", "html", "path")
+    # A row for each host: beyond the bound texts are dealt out by host, a large one in several parts.
+    if paths.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        joined = slim.join(F.broadcast(paths), "host", "left")
+    else:
+        part = F.pmod(F.xxhash64("id", "url"), F.lit(PARTS)).cast("int")
+        copies = paths.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = slim.withColumn("part", part).join(copies, ["host", "part"], "left")
+    joined = joined.select("id", "url", "html", "path")
     types = dict(pages.dtypes)
     found = joined.mapInArrow(_texts, f"id {types[id_col]}, url string, text string")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
