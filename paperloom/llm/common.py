@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents per Arrow batch; texts may be long, so batches hold few rows.
-ARROW_ROWS = 1000
+#: Rows per Arrow batch; texts and sets may be long, so batches hold few rows.
+ARROW_ROWS = 256
 #: Text bytes that numpy code handles at once.
 CHUNK_BYTES = 2_000_000
 #: Folder for lineage cuts where the session names none (tests, single machines).
@@ -46,6 +47,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def released() -> None:
+    """Give a finished task's memory back: workers live on and would keep it beside the next stages."""
+    for k in range(2):
+        _powers[k] = _powers[k][:65_536].copy()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
