@@ -1,9 +1,11 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a shuffle join. A vertex's edges are dealt out by (vertex, salt), its smallest
-neighbour is found for each salt first and then over its salts, so that a hub's edges fall into as
-many groups as there are salts, and their number follows the number of edges. No neighbourhood,
-component or edge list reaches one task or the driver.
+Edges are kept as (a, b) with a > b. A step looks up the smallest neighbour of one end of each edge:
+the table of smallest neighbours is an aggregate (partial within tasks first), is written, and is
+joined by a broadcast if it has at most BROADCAST rows, otherwise by a shuffle join of two tables,
+whose skewed parts adaptive execution splits. An edge whose lower end has no smaller neighbour stays as it
+is, so hubs that are the least of their component move nothing. No neighbourhood, component or edge
+list reaches one task or the driver.
 """
 
 from __future__ import annotations
@@ -13,27 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Edges of one vertex that one task should hold at most, and the least number of salts.
-EDGES = 50_000
-SALTS = 16
+#: Rows of 16 bytes that a broadcast may hold.
+BROADCAST = 200_000
 
 
-def _with_least(e: DataFrame, salts: int) -> DataFrame:
-    """e with m, the smallest b of each a."""
-    salted = e.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    part = salted.groupBy("a", "salt").agg(F.min("b").alias("part"))
-    least = part.groupBy("a").agg(F.min("part").alias("m"))
-    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
-
-
-def _large_star(e: DataFrame, salts: int) -> DataFrame:
-    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-
-
-def _small_star(e: DataFrame, salts: int) -> DataFrame:
-    moved = _with_least(e, salts)
-    return moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+def _least(e: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(v, m): the smallest lower neighbour of each upper end, to be joined, and the number of rows."""
+    table = cut(e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")), name)
+    n = table.count()
+    return (F.broadcast(table) if n <= BROADCAST else table.hint("merge")), n
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -42,15 +32,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges has long columns a and b in either order; repeated edges and loops are allowed, nulls
     are ignored. Ids without an edge are not returned. An empty table gives an empty table.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e, name)
-    mark = None
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-        salts = max(SALTS, 2 * now[0] // EDGES)
-        e = cut(_small_star(_large_star(e, salts), salts), name)
+        least, n = _least(e, f"{name}-least")
+        if e.count() == n and e.join(least, F.col("b") == F.col("v"), "left_semi").isEmpty():
+            break  # each upper end has one edge, to an end that has none: all stars
+        moved = e.join(least, F.col("b") == F.col("v"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        e = cut(moved.distinct(), name)
+        least, _ = _least(e, f"{name}-least")
+        moved = e.join(least, F.col("a") == F.col("v")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        e = cut(moved.distinct(), name)
     stars = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
