@@ -2,6 +2,7 @@
 
 import collections
 import html
+import html.parser
 import math
 import random
 import re
@@ -72,10 +73,54 @@ def test_minhash_matches_brute_force(spark, corpus, k):
 def test_minhash_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f", 5), (1, "a b c d e f", 6), (2, "A b c d e f", 7), (None, "x", 8)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n_shingles int")).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1)]
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == [(1, 1, True), (2, 1, False), (None, None, True)]
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_minhash_rows_of_one_id_link_by_their_own_texts(spark):
+    a, b, c = ("one two three four five six seven", "nine ten red blue green white black", "river stone light house tree road winter")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b), (4, c), (5, c)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True), (5, 4, False)])
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicated(frame(spark, rows)).collect()]
+    assert sorted(kept) == sorted([(1, a), (1, b), (4, c)])
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_prefixes_of_similar_sets_meet(percent):
+    rng = np.random.default_rng(percent)
+    every = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
+    frequent, counts = every[::7], rng.integers(16, 99, len(every[::7]))
+    similar = 0
+    for _ in range(400):
+        x = np.sort(rng.choice(every, rng.integers(1, 40), replace=False))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.choice(every, rng.integers(0, 3))]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            similar += 1
+            first = [minhash.prefix(s, percent / 100, frequent, counts) for s in (x, y)]
+            assert len(np.intersect1d(*first))
+    assert similar > 30
+
+
+def test_minhash_residual_join_finds_links_that_stars_miss(spark):
+    """Members of one bucket that link with each other, but not with the bucket's first."""
+    rng = random.Random(12)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(200)]
+    rows, i = [(0, " ".join(base))], 1
+    for g in range(12):
+        own = list(base)
+        own[8 * g : 8 * g + 40] = [f"g{g}x{k}" for k in range(len(own[8 * g : 8 * g + 40]))]
+        for k in range(4):
+            rows.append((i, " ".join(own + [f"t{g}y{k}"])))
+            i += 1
+    sets = {j: shingles(t, 2) for j, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = groups(links, sets)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=2).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_deduplicated_keeps_one_row_of_an_id_and_text_and_null_ids(spark):
     t, u = "one two three four five six seven eight", "nine ten red blue green white black grey"
     rows = [(1, t, "b"), (1, t, "a"), (2, t, "a"), (3, u, "c"), (3, u, "c"), (None, t, "d"), (None, u, "e")]
@@ -121,6 +166,22 @@ def test_embeddings_match_brute_force(spark):
     assert np.mean([got[j].component_id == want[j] for j in want]) > 0.98 and len(got) == len(rows)
 
 
+def test_embeddings_of_repeated_and_null_ids_long_labels_and_a_dense_cluster(spark):
+    rng = np.random.default_rng(2)
+    u, w = rng.standard_normal(8), rng.standard_normal(8)
+    rows = [(1, u, 2**40), (1, w, 2**40), (2, u, 2**40), (3, 2 * w, 2**40), (None, u, 2**40), (4, u, 2**40 + 2**32), (5, u, None)]
+    dense = rng.standard_normal(8)
+    rows += [(100 + k, dense + 0.03 * rng.standard_normal(8), 7) for k in range(700)]
+    schema = "vec_id long, embedding array<double>, label long, n_links int, id string"
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(spark.createDataFrame([(i, [float(c) for c in v], l, 5, "x") for i, v, l in rows], schema)).collect()]
+    few = [r for r in got if r[0] is None or r[0] < 100]
+    assert sorted(few, key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 0, None, True), (4, 0, 4, True), (5, 0, 5, True)], key=str)
+    x = np.stack([v / np.linalg.norm(v) for i, v, _ in rows if i and i >= 100])
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 100_000 and {r[0]: r[1] for r in got if r[0] and r[0] >= 100} == {100 + k: n for k, n in enumerate(want)}
+    assert embedding.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores_match_brute_force(spark, corpus, order):
     docs = {i: (t or "").encode().lower().split() for i, t in corpus}
@@ -142,6 +203,20 @@ def test_lm_scores_match_brute_force(spark, corpus, order):
     assert got[0].score is None
 
 
+def test_lm_counts_packing_and_odd_rows(spark, corpus):
+    rng = np.random.default_rng(4)
+    for x in ([], [0], [0, 0, 255], [256, 1], [2**63, 5, 2**64 - 1], rng.integers(0, 2**40, 999).tolist()):
+        assert lm_score.unpacked(lm_score.packed(np.array(x, np.uint64))).tolist() == x
+    words = [w for _, t in corpus for w in [(t or "").encode().lower().split()]]
+    want = collections.Counter(len(g) for g in {tuple(w[j : j + k]) for w in words for k in (1, 2, 3) for j in range(len(w) - k + 1)})
+    rows = lm_score.ngram_counts(frame(spark, corpus)).collect()
+    assert collections.Counter(r.k for r in rows) == want and sum(r.n for r in rows if r.k == 1) == sum(map(len, words))
+    odd = frame(spark, [(1, "a b", 1), (1, "a b", 1), (None, "a b c", 2), (2, None, 3), (3, "  ", 3)], "doc_id long, text string, n_words int")
+    got = sorted(((r.doc_id, r.n_words, r.score is None) for r in lm_score.lm_scores(odd).collect()), key=str)
+    assert got == sorted([(1, 2, False), (1, 2, False), (None, 3, False), (2, 0, True), (3, 0, True)], key=str)
+    assert lm_score.lm_scores(frame(spark, [])).count() == 0
+
+
 def test_lm_query_uses_trigrams(spark, corpus, tmp_path):
     frame(spark, corpus).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -182,6 +257,91 @@ def test_html_extraction(spark):
     assert got == {1: f"Head & more {flat} x boldly so", 2: "Short", 3: flat, 4: "", 5: "", 6: "unclosed", 7: "a < b < c"}
 
 
+class Naive(html.parser.HTMLParser):
+    """Containers and texts of a well-formed page, as (steps, text, text in links) for each block."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open_, self.out, self.parts, self.linked, self.links = [], [], [], 0, 0
+        self.feed(page)
+        self.end_block()
+
+    def end_block(self):
+        t = " ".join("".join(self.parts).split())
+        if t:
+            steps = [x for x in self.open_ if x[0] not in ("a", "b", "i")]
+            first = next((k for k, x in enumerate(steps) if x[0] == "article"), None)
+            last = first if first is not None else max((k for k, x in enumerate(steps) if x[0] in ("body", "div", "section", "article")), default=None)
+            if not any(x[0] in ("nav", "footer") or x[0] != "article" and "sidebar" in x[1] for x in steps):
+                self.out.append((tuple(steps[: last + 1]) if last is not None else (), t, self.linked))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b", "i"):
+            self.end_block()
+        self.links += tag == "a"
+        self.open_.append((tag, "".join("." + re.sub(r"\d", "", c) for c in sorted((dict(attrs).get("class") or "").split()))))
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b", "i"):
+            self.end_block()
+        self.links -= tag == "a"
+        self.open_.pop()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+        self.linked += len(data.strip()) if self.links else 0
+
+
+def naive_extract(pages):
+    votes, read = collections.defaultdict(collections.Counter), {}
+    for i, host, page in pages:
+        read[i] = Naive(page).out
+        own = collections.Counter()
+        plain = any(len(t) > l for _, t, l in read[i])
+        for steps, t, l in read[i]:
+            own[steps] += len(t) - l if plain else len(t)
+        for steps, n in own.items():
+            share = n / sum(own.values())
+            for k in range(len(steps), 0, -1):
+                if steps[k - 1][0] in ("body", "div", "section", "article"):
+                    votes[host][steps[:k]] += share
+                    votes[i][steps[:k]] += share
+                    share *= 0.6
+    top = lambda v: max(v, key=v.get) if v else None
+    under = lambda i, path: " ".join(t for s, t, _ in read[i] if s[: len(path)] == path) if path else ""
+    return {i: under(i, top(votes[host])) or under(i, top(votes[i])) for i, host, _ in pages}
+
+
+def test_html_extraction_equals_a_naive_one_on_well_formed_pages(spark):
+    rng = random.Random(41)
+    words = lambda n: " ".join(rng.choice(VOCAB) for _ in range(n))
+
+    def tree(depth):
+        tag = rng.choice(["div", "div", "section", "ul", "p", "article"]) if depth else "p"
+        inner = "".join(tree(depth - 1) if tag != "p" and rng.random() < 0.8 else words(rng.randint(1, 9)) + f" <a>{words(rng.randint(1, 3))}</a> <b>{words(1)}</b>" for _ in range(rng.randint(1, 4)))
+        names = rng.choice(["", "", " class='x1 y'", " class='z'", " class='sidebar'"]) if tag != "p" else ""
+        return f"<{tag}{names}>{inner}</{tag}>"
+
+    pages = []
+    for h in range(6):
+        shape = tree(3)
+        for k in range(8):
+            story = tree(3) if k == 0 else re.sub(r"\bx\d", f"x{k}", shape).replace("the ", words(rng.randint(1, 12)) + " ")
+            pages.append((10 * h + k, f"h{h}", f"<html><body><nav><a>menu</a></nav>{story}<footer>end</footer></body></html>"))
+    want = naive_extract(pages)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, f"http://{h}/p{i}", p) for i, h, p in pages], "page_id long, url string, html string")).collect()}
+    assert got == want and sum(map(bool, want.values())) > 40
+
+
+def test_html_odd_pages(spark):
+    pages = [(1, "http://l.org/1", "<html><body><nav>no</nav><article><a href=x>All linked text here</a> <a>and more</a></article></body></html>"), (1, "http://l.org/1", "<article><p>Own</p></article>"), (2, "http://deep.org", "<div>" * 40_000 + "core &amp; more" + "</b>" * 40_000), (3, "http://deep.org/2", "<b>" * 20_000 + "<li>x" * 20_000)]
+    clash = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, path string")
+    got = sorted((r.page_id, r.text[:30], r.n_chars) for r in html_extract.extract(clash).collect())
+    assert got == [(1, "All linked text here and more", 29), (1, "Own", 3), (2, "core & more", 11), (3, "x x x x x x x x x x x x x x x ", 39_999)]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_quality_base_columns(spark, corpus):
     extra = [(2000, "a b c " * 40), (2001, "x # $ %\nline\nline\n\nline two\nline"), (2002, "p q r\np q r x")]
     rows = [(i, t, "en") for i, t in corpus + extra]
@@ -222,7 +382,54 @@ def test_quality_judges_entropy_in_sparse_doublings(spark):
         got = {r.doc_id: r for r in quality.quality(frame(spark, rows + more + [junk], "doc_id long, text string, lang string")).collect()}
         assert not got[2000].base_failed and not got[2000].kept and got[2000].shortfall > 4
         assert sum(got[i].kept for i, *_ in rows + more) >= len(rows + more) - 3
-    assert not [r for r in quality.quality(frame(spark, rows[:50] + [junk], "doc_id long, text string, lang string")).collect() if r.shortfall]
+    few = {r.doc_id: r for r in quality.quality(frame(spark, rows[:50] + [junk], "doc_id long, text string, lang string")).collect()}
+    assert few[2000].shortfall > 2 > max(few[i].shortfall for i, *_ in rows[:50]) and all(few[i].kept for i, *_ in rows[:50])
+
+
+def test_quality_bands_equal_a_second_implementation(spark):
+    """Bands of two languages, a script and the small groups, each doubling of which is large enough for its own quartiles or the group's only one."""
+    import pandas as pd
+
+    rng = random.Random(61)
+    letters = {"en": "etaoinshrdlu", "xx": "qzkvwjpyxg", None: "αβγδεζηθικλμν", "s1": "etaoin", "s2": "rdlucm"}
+    made = lambda l, n: " ".join("".join(rng.choice(letters[l]) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    junk = {l: [made(l, 1) for _ in range(25)] for l in letters}
+    rows = [(i, made(l, 150 + rng.randint(0, 9)) if rng.random() < 0.95 else " ".join(rng.choice(junk[l]) for _ in range(170)), l) for i, l in enumerate(["en"] * 160 + ["xx"] * 140 + [None] * 130 + ["s1"] * 20 + ["s2"] * 15)]
+    rows += [(900, made("en", 20), "en"), (901, None, "en"), (902, "", None), (5, rows[5][1], "en")]
+    schema = "doc_id long, text string, lang string, n_words int, k_doc_id int, band string"
+    got = pd.DataFrame([r.asDict() for r in quality.quality(spark.createDataFrame([(*r, 1, 2, "x") for r in rows], schema)).collect()])
+    x = pd.DataFrame({"t": [t or "" for _, t, _ in rows], "lang": [l for *_, l in rows], "doc_id": [i for i, *_ in rows]})
+    x = pd.concat([x, pd.DataFrame(dict(zip([n for n, _ in quality.COLUMNS], quality.measure(x.t.tolist()))))], axis=1)
+    x["failed"] = (x.n_words < 50) | (2 * x.n_repeat_words > x.n_words)
+    x["group"] = [l or s for l, s in zip(x.lang, x.script)]
+    sizes = x[~x.failed].group.value_counts()
+    x["band"] = [g if sizes.get(g, 0) >= 100 else "*" for g in x.group]
+    x["doubling"] = np.floor(np.log2(x.n_tokens.clip(1))).astype(int)
+    assert set(x.band) == {"en", "xx", "Greek", "*"}
+    low = lambda v, q: v.sort_values().iloc[max(0, math.ceil(q * len(v)) - 1)]
+
+    def outside(col, least, by, above=False):
+        out = pd.Series(0.0, x.index)
+        for _, own in x.groupby(by):
+            v = own[~own.failed][col]
+            if len(v):
+                a, b = low(v, 0.25), low(v, 0.75)
+                out[own.index] = ((own[col] - b if above else a - own[col]) / (max(b - a, least) * (1 + 20 / len(v)))).clip(lower=0)
+        return out
+
+    for z, c, n in (("z1", "chars_per_token", "n_tokens"), ("z2", "chars_per_token_2", "n_tokens_2"), ("zb", "byte_share", "n_tokens")):
+        x[z] = (x[c] - x.band.map({g: low(own[~own.failed][c], 0.5) for g, own in x.groupby("band")})) * np.sqrt(x[n])
+    x["shortfall"] = (outside("z1", 0.5, "band") + outside("z2", 0.5, "band")) / 2 + outside("token_entropy", 0.02, ["band", "doubling"]) + outside("token_entropy_2", 0.02, ["band", "doubling"])
+    x["excess"] = outside("zb", 0.05, "band", above=True)
+    cells = x[~x.failed].groupby(["band", "doubling"]).size()
+    full = {k for k, n in cells.items() if n >= 100}
+    x["sure"] = [k in full or f for k, f in zip(zip(x.band, x.doubling), x.failed)]
+    assert x.sure.sum() > 380
+    both = x[x.sure].sort_values(["doc_id", "n_words"]).merge(got.drop_duplicates("doc_id"), on="doc_id", suffixes=("", "_got"))
+    sure = both[~both.failed]
+    assert np.allclose(sure.shortfall, sure.shortfall_got, atol=1e-6) and np.allclose(sure.excess, sure.byte_excess, atol=1e-6)
+    assert (both.kept == (~both.failed & (both.shortfall <= 3.75) & (both.excess <= 4.0))).all() and 5 < (~both.kept).sum() < 60 and len(got) == len(rows)
+    assert quality.quality(frame(spark, [], "doc_id long, text string, lang string")).count() == 0
 
 
 def test_transducer_equals_library_and_round_trips(spark, corpus):
@@ -240,10 +447,38 @@ def test_transducer_equals_library_and_round_trips(spark, corpus):
     rows = wfst.encode(frame(spark, corpus)).collect()
     texts = dict(corpus)
     assert all(r.ids == sp.encode(texts[r.doc_id] or "") and r.round_trip for r in rows)
+    clash = frame(spark, [(1, "the the", 5, 6), (1, "the the", 5, 6), (None, "x", 7, 8)], "doc_id long, text string, ids int, n_tokens int")
+    assert sorted(((r.doc_id, r.ids) for r in wfst.encode(clash).collect()), key=str) == [(1, sp.encode("the the"))] * 2 + [(None, sp.encode("x"))]
+    assert wfst.encode(frame(spark, [])).count() == 0
     back = wfst.decode(wfst.encode(frame(spark, corpus))).collect()
     assert all(r.text == (texts[r.doc_id] or "") for r in back)
 
 
+def test_shortest_path_is_the_least_sum_of_weights():
+    """Against dynamic programming over all segmentations, with made weights, so that paths of weight above 0 win too."""
+    t = wfst.Transducer()
+    rng = random.Random(9)
+    t.weight = lambda arc: t.weights.setdefault(arc, rng.randint(0, 1))
+    for _ in range(60):
+        x = "▁" + "".join(rng.choice("aeiounrstzq") for _ in range(rng.randint(1, 9)))
+        best = {(0, wfst.OTHER): 0}
+        for end in range(1, len(x) + 1):
+            for start in range(end):
+                piece = t.id.get(x[start:end]) if x[start:end] in t.rank else None
+                if piece is None:
+                    continue
+                for (at, left), cost in list(best.items()):
+                    if at == start:
+                        w = t.weight(left * wfst.OTHER + piece) if left != wfst.OTHER else 0
+                        best[end, piece] = min(best.get((end, piece), 99), cost + w)
+        distance, path = t._shortest(x)
+        assert distance == min(c for (at, _), c in best.items() if at == len(x))
+        assert "".join(t.text[p] for _, p in path) == x
+        assert distance == sum(t.weights[a * wfst.OTHER + b] for (_, a), (_, b) in zip(path, path[1:]))
+    t = wfst.transducer()
+    assert all(t._shortest(x)[0] == 0 for x in ("▁the", "▁Straße", "▁qzxqzx", "▁日a"))
+
+
 def brute_lines(rows, min_words, window):
     docs = {i: [b" ".join(x.split()) for x in t.encode().split(b"\n")] if t else [] for i, t in rows}
     prints = {i: line_dedup.fingerprints(*line_dedup.line_hashes(dict(rows)[i]), min_words, window) for i in docs}
@@ -323,6 +558,17 @@ def test_line_dedup_deletes_every_repeated_run(spark):
     assert {x for _, t in rows for x in t.split("\n")} == {x for r in got.values() for x in r.text.split("\n")} - {""}
 
 
+def test_line_dedup_of_repeated_and_null_ids_and_clashing_names(spark):
+    rng = random.Random(31)
+    a, b, c = ("\n".join(text(rng, 30) for _ in range(4)) for _ in range(3))
+    rows = [(1, a, 9, "x"), (2, a, 9, "x"), (2, b, 9, "x"), (None, a, 9, "x"), (None, a, 9, "x"), (3, c, 9, "x"), (3, c, 9, "x"), (4, "x\n" + c, None, None), (5, "", 1, "y"), (6, None, 1, "y")]
+    docs = frame(spark, rows, "doc_id long, text string, _n_lines int, runs string")
+    got = [(r.doc_id, r.text, r._n_removed) for r in line_dedup.dedup_lines(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, a, 0), (2, "", 4), (2, b, 0), (None, a, 0), (None, a, 0), (3, c, 0), (3, c, 0), (4, "x", 4), (5, "", 0), (6, None, 0)], key=str)
+    kept = line_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([r if r[0] != 4 else (4, "x", None, None) for r in rows if r != rows[1]], key=str)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 30, 200])), rng.choice(["b", "a", "c", None, "d"])) for i in range(400)] + [(9999, None, "a"), (9998, "w " * 5000, "a")]
@@ -352,6 +598,63 @@ def test_flow_prefers_fresh_words():
     assert [sum(f.values()) for f in flow] == [20, 5]
 
 
+def cheapest(patterns, quotas, repeats):
+    """(words, cost) of a maximum flow of least cost: word by word along cheapest paths, found by Bellman-Ford."""
+    n, end = len(patterns), len(patterns) + len(quotas) + 1
+    arcs = []
+    for p, (members, size) in enumerate(patterns):
+        arcs += [[0, 1 + p, size, k * (k + 1) // 2] for k in range(repeats)] + [[1 + p, 1 + n + s, size * repeats, 0] for s in members]
+    arcs += [[1 + n + s, end, q, 0] for s, q in enumerate(quotas)]
+    arcs = [x for a in arcs for x in (a, [a[1], a[0], 0, -a[3]])]
+    words = cost = 0
+    while True:
+        far, via = {0: 0}, {}
+        for _ in range(end + 1):
+            for i, (a, b, room, c) in enumerate(arcs):
+                if room and a in far and far[a] + c < far.get(b, 1 << 40):
+                    far[b], via[b] = far[a] + c, i
+        if end not in far:
+            return words, cost
+        b = end
+        while b:
+            arcs[via[b]][2] -= 1
+            arcs[via[b] ^ 1][2] += 1
+            b = arcs[via[b]][0]
+        words, cost = words + 1, cost + far[end]
+
+
+def test_flow_is_a_cheapest_maximum_flow():
+    rng = random.Random(14)
+    for _ in range(60):
+        m, repeats = rng.randint(1, 5), rng.randint(1, 3)
+        names = {tuple(sorted(rng.sample(range(m), rng.randint(1, m)))) for _ in range(rng.randint(1, 6))}
+        patterns = [(x, rng.randint(0, 7)) for x in sorted(names)]
+        quotas = [rng.randint(0, 12) for _ in range(m)]
+        flow = mixing.min_cost_flow(patterns, quotas, repeats)
+        through = [sum(f.values()) for f in flow]
+        assert all(t <= size * repeats for t, (_, size) in zip(through, patterns))
+        assert all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quotas)) and all(set(f) <= set(x) for f, (x, _) in zip(flow, patterns))
+        price = lambda t, size: sum(k * (k + 1) // 2 * min(size, max(0, t - k * size)) for k in range(repeats))
+        assert (sum(through), sum(price(t, size) for t, (_, size) in zip(through, patterns))) == cheapest(patterns, quotas, repeats)
+
+
+def test_mixing_of_overlapping_sources_repeated_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    rows = [(i, "w " * rng.randint(0, 90), sorted(rng.sample("abcd", rng.randint(1, 3))), 5) for i in range(300)] + [(7, "w " * 40, ["a"], 5), (7, "w " * 40, ["a"], 5), (None, "w w", ["b"], 5), (400, "w", [None], 5), (401, "w", [], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, members array<string>, taken int")
+    got = mixing.mix_sources(docs, members=F.col("members"), max_repeats=3, budget=2.0).collect()
+    names = ["a", "b", "c", "d", None]
+    patterns, n_docs = collections.Counter(), len(rows)
+    for _, t, m, _ in rows:
+        patterns[tuple(names.index(x) for x in m)] += len(t.split())
+    sizes = [sum(n for p, n in patterns.items() if s in p) for s in range(5)]
+    goals = mixing.targets(sizes, [3, 1, 2, 3, 1], 2.0 * sum(patterns.values()), 3)
+    words, _ = cheapest([(p, n) for p, n in patterns.items()], [round(g) for g in goals], 3)
+    assert len(got) == n_docs and sum(r.taken for r in got) == words and all(0 <= r.taken <= 3 * r.size for r in got)
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     letters = {"en": "etaoinshr", "xx": "qzkvwjpy", "gr": "αβγδε"}
