@@ -76,6 +76,33 @@ def hull_iou(a: Box, b: Box) -> Column:
     return F.coalesce(F.try_divide(overlap_area(a, b), area(hull(a, b))), F.lit(0.0))
 
 
+def iou_variants(a: Box, b: Box, eps: float = 1e-7) -> tuple[Column, Column, Column]:
+    """Generalised, distance and complete IoU; eps keeps empty boxes from dividing by 0."""
+    h = hull(a, b)
+    wa, ha, wb, hb = width(a), height(a) + eps, width(b), height(b) + eps
+    i = overlap_area(a, b)
+    union = wa * ha + wb * hb - i + eps
+    own = i / union
+    around = width(h) * height(h) + eps
+    apart = (F.pow(b.x0 + b.x1 - a.x0 - a.x1, 2) + F.pow(b.y0 + b.y1 - a.y0 - a.y1, 2)) / 4
+    off = apart / (F.pow(width(h), 2) + F.pow(height(h), 2) + eps)
+    v = 4 / F.pow(F.pi(), 2) * F.pow(F.atan(wb / hb) - F.atan(wa / ha), 2)
+    return own - (around - union) / around, own - off, own - (off + v * v / (v - own + 1 + eps))
+
+
+def resampled(points: Column, n: int) -> Column:
+    """n values along a list of values, by linear interpolation at equal steps."""
+    last = F.size(points) - 1
+
+    def at(k):
+        x = k * last / (n - 1)
+        lo = F.least(F.floor(x).cast("int"), F.greatest(last - 1, F.lit(0)))
+        a, b = F.get(points, lo), F.coalesce(F.get(points, lo + 1), F.get(points, lo))
+        return a + (b - a) * (x - lo)
+
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+
+
 def interval_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Signed overlap of two intervals over their hull's length; a gap counts as negative."""
     return (F.least(a1, b1) - F.greatest(a0, b0)) / (F.greatest(a1, b1) - F.least(a0, b0) + F.lit(1e-9))

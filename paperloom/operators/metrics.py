@@ -193,3 +193,32 @@ def tree_distance(a: tuple, b: tuple, rename) -> float:
                     else:
                         f[p, q] = min(f[p - 1, q] + 1, f[p, q - 1] + 1, f[lowa[x] - oi, lowb[y] - oj] + dist[x, y])
     return float(dist[len(la) - 1, len(lb) - 1])
+
+
+# Weights of precision, recall, mAP at 0.5 and mean mAP in a detector's fitness.
+FITNESS = (0.0, 0.0, 0.1, 0.9)
+
+
+def fitness(*values: Column, weights: tuple[float, ...] = FITNESS) -> Column:
+    """Weighted sum of a model's figures."""
+    return sum((v * w for v, w in zip(values[1:], weights[1:])), values[0] * weights[0])
+
+
+def confidence(rows: DataFrame, keys: list[str], value: str, kept: Column) -> DataFrame:
+    """(keys, mean, geometric): mean confidence of the kept characters, 0 without one, and the geometric mean of all."""
+    mean = F.coalesce(F.avg(F.when(kept, F.col(value))), F.lit(0.0))
+    return rows.groupBy(*keys).agg(mean.alias("mean"), F.exp(F.avg(F.log(F.col(value) + 1e-8))).alias("geometric"))
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows with total, n and mean of the values so far."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("total", F.sum(value).over(w)).withColumn("n", F.count(value).over(w))
+    return out.withColumn("mean", F.try_divide("total", "n"))
+
+
+def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
+    """Rows with the lower median and the mean of the last `size` values."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
+    last = F.array_sort(F.collect_list(value).over(w))  # size values at most
+    return rows.withColumn("_last", last).withColumn("median", F.get("_last", F.floor((F.size("_last") - 1) / 2).cast("int"))).withColumn("mean", F.avg(value).over(w)).drop("_last")
