@@ -18,10 +18,26 @@ def pairs(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return a.join(b, on if condition is None else on & condition, how)
 
 
-def iou_pairs(boxes: DataFrame, keys: list[str], least: float, id_col: str = "box_id") -> DataFrame:
-    """Pairs of boxes of an image with their IoU, from `least` on; the smaller id first."""
+def tiled(boxes: DataFrame, side: float) -> DataFrame:
+    """Boxes once for each square tile (tx, ty) of a page that they reach into."""
+    at = lambda c: F.floor(F.col(c) / side)
+    return boxes.withColumn("tx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("ty", F.explode(F.sequence(at("y0"), at("y1"))))
+
+
+def iou_pairs(boxes: DataFrame, keys: list[str], least: float, id_col: str = "box_id", tile: float | None = None) -> DataFrame:
+    """Pairs of boxes of an image with their IoU, from `least` on; the smaller id first.
+
+    With a tile side, boxes meet within tiles instead of whole images, each pair in the tile of
+    its intersection's upper left corner only; for pages of very many boxes.
+    """
     a, b = G.box("l"), G.box("r")
-    joined = pairs(boxes, boxes, keys, condition=(F.col(f"l.{id_col}") < F.col(f"r.{id_col}")) & G.touches(a, b))
+    on = (F.col(f"l.{id_col}") < F.col(f"r.{id_col}")) & G.touches(a, b)
+    if tile:
+        i = G.intersection(a, b)
+        on = on & (F.floor(i.x0 / tile) == F.col("l.tx")) & (F.floor(i.y0 / tile) == F.col("l.ty"))
+        joined = pairs(tiled(boxes, tile), tiled(boxes, tile), [*keys, "tx", "ty"], condition=on)
+    else:
+        joined = pairs(boxes, boxes, keys, condition=on)
     out = joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{id_col}").alias("a"), F.col(f"r.{id_col}").alias("b"), F.round(G.iou(a, b), 6).alias("iou"))
     return out.where(F.col("iou") >= least)
 
@@ -103,8 +119,8 @@ def components(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int
     session's checkpoint folder, so that lineage stays short.
     """
     spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/paperloom")
+    if not spark.conf.get("spark.checkpoint.dir", None):  # single machines and tests: the warehouse is shared as well
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/paperloom-lineage")
     both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select(*keys, "id", F.col("id").alias("label")).distinct()
     for _ in range(rounds):

@@ -33,14 +33,31 @@ def detection(truth: DataFrame, found: DataFrame, keys: list[str], least: float)
     return both.select("label", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("hmean"))
 
 
+#: Ranges of scores that a label's detections are dealt to.
+SCORE_RANGES = 128
+
+
 def average_precision(ranked: DataFrame, totals: DataFrame, label: str = "label") -> DataFrame:
-    """AP from rows (label, score, id, hit) and (label, n): area under the falling envelope of precision."""
-    order = Window.partitionBy(label).orderBy(F.desc("score"), "id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    rows = ranked.join(totals, label).withColumn("tp", F.sum(F.col("hit").cast("int")).over(so_far)).withColumn("k", F.row_number().over(order))
-    rows = rows.withColumn("envelope", F.max(F.col("tp") / F.col("k")).over(after))
-    return rows.groupBy(label).agg(F.round(F.sum(F.when(F.col("hit"), F.col("envelope") / F.col("n")).otherwise(0.0)), 6).alias("ap"))
+    """AP from rows (label, score, id, hit) and (label, n): area under the falling envelope of precision.
+
+    A label's rows are dealt to ranges of scores between its quantiles; sums before and maxima behind
+    a range come from a table of ranges, so no task holds a whole label. Equal scores share a range.
+    """
+    shares = [k / SCORE_RANGES for k in range(1, SCORE_RANGES)]
+    cuts = ranked.groupBy(label).agg(F.percentile_approx("score", shares, 10_000).alias("_cuts"))
+    rows = ranked.join(cuts, label).withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")
+    before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(label).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    sums = rows.groupBy(label, "_range").agg(F.sum(F.col("hit").cast("int")).alias("_tp"), F.count(F.lit(1)).alias("_k"))
+    sums = sums.select(label, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_tp", "_k")])
+    order = Window.partitionBy(label, "_range").orderBy(F.desc("score"), "id")
+    tp = F.col("_tp") + F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(sums, [label, "_range"]).withColumn("precision", tp / (F.col("_k") + F.row_number().over(order)))
+    tops = rows.groupBy(label, "_range").agg(F.max("precision").alias("_top")).select(label, "_range", F.max("_top").over(behind).alias("_behind"))
+    own = F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("_own", own).join(tops, [label, "_range"]).join(totals, label)
+    envelope = F.greatest("_own", "_behind")
+    return rows.groupBy(label).agg(F.round(F.sum(F.when(F.col("hit"), envelope / F.col("n")).otherwise(0.0)), 6).alias("ap"))
 
 
 def confusion(pairs: DataFrame, truth: str, pred: str) -> DataFrame:

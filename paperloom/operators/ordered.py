@@ -87,9 +87,8 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Each key's most frequent value (ties: the smaller) with its count and the key's rows."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("rows"), F.max(F.struct("n")).alias("_m"))
-    best = counts.join(total, keys).where(F.col("n") == F.col("_m.n")).groupBy(*keys, "n", "rows").agg(F.min(value).alias(value))
-    return best.select(*keys, value, "n", "rows")
+    best = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("back"), F.col(value).alias("v"))).alias("_m"), F.sum("n").alias("rows"))
+    return best.select(*keys, F.col("_m.v").alias(value), (-F.col("_m.back")).alias("n"), "rows")
 
 
 def flattened_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

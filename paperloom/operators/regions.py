@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from . import boxes as B
+from .groups import by_group
 
 # Grey levels of edges that are shading and not lines.
 SHADING = [0.651, 0.749, 0.827, 0.753, 0.843, 0.847, 0.857, 0.851, 0.745, 0.898, 0.949, 1]
@@ -143,47 +141,6 @@ def merged_neighbours(boxes: DataFrame, keys: list[str], kind: str = "kind", id_
     return items.select(*keys, F.inline(folded))
 
 
-def by_group(rows: DataFrame, keys: list[str], order: list[str], values: list[str], fold: Callable, schema: str) -> DataFrame:
-    """fold(values' arrays) of each group, sorted by `order`; it returns one array for each column of the schema.
-
-    Groups are runs within sorted partitions, so thousands of small ones share a batch; the open
-    group of a batch is carried to the next one. A group is one page's or image's rows.
-    """
-    types = dict(rows.dtypes)
-    made = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def folded(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
-            arrays = [table.column(v).combine_chunks().to_numpy(zero_copy_only=False) for v in values]
-            found = [fold(*[x[a:b] for x in arrays]) for a, b in zip(cuts[:-1], cuts[1:])]
-            sizes = [len(f[0]) for f in found]
-            at = pa.array(np.repeat(cuts[:-1], sizes))
-            columns = [table.column(k).take(at).combine_chunks() for k in keys]
-            columns += [pa.array(np.concatenate([f[i] for f in found])) for i in range(len(made))]
-            return pa.RecordBatch.from_arrays(columns, names=[*keys, *made])
-
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if not held.num_rows:
-                continue
-            new = np.zeros(held.num_rows, bool)
-            new[0] = True
-            for k in keys:
-                column = held.column(k).combine_chunks()
-                new[1:] |= np.asarray(pc.fill_null(pc.not_equal(column[1:], column[:-1]), True))
-            cuts = np.flatnonzero(new).tolist()
-            if len(cuts) > 1:
-                yield folded(held, cuts)
-                held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield folded(held, [0, held.num_rows])
-
-    slim = rows.select(*keys, *dict.fromkeys([*order, *values])).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return slim.mapInArrow(run, ", ".join([f"{k} {types[k]}" for k in keys] + [schema]))
-
-
 def _anchored(ids: np.ndarray, *sides: np.ndarray) -> list[np.ndarray]:
     """Lines of one page, grown from their topmost free box to the right and then to the left."""
     b = np.stack(sides, axis=1).astype(float)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .groups import by_group
+
 
 def crossings(vertical: DataFrame, horizontal: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
     """Vertices (keys, x, y) where a vertical edge (x, y0, y1) meets a horizontal one (y, x0, x1)."""
@@ -16,14 +19,30 @@ def crossings(vertical: DataFrame, horizontal: DataFrame, keys: list[str], toler
     return v.join(h, on).select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col("v.x").alias("x"), F.col("h.y").alias("y"), F.col("v.edge").alias("v_edge"), F.col("h.edge").alias("h_edge")).distinct()
 
 
+def _smallest_cells(x: np.ndarray, y: np.ndarray, v: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """x0, y0, x1, y1 of the smallest cell at each vertex of one table; vertices come by y, then x."""
+    corners = set(zip(x.tolist(), y.tolist(), v.tolist(), h.tolist()))
+    below: dict = {}
+    right: dict = {}
+    for a, b, c, d in corners:
+        below.setdefault((a, c), set()).add((b, d))
+        right.setdefault((b, d), set()).add((a, c))
+    down, across = ({k: sorted(n) for k, n in t.items()} for t in (below, right))
+    best: dict = {}
+    for a, b, c, d in corners:
+        cell = next(((y1, x1) for y1, low in down[a, c] if y1 > b for x1, far in across[b, d] if x1 > a and (x1, y1, far, low) in corners), None)
+        if cell is not None and cell < best.get((a, b), (np.inf, np.inf)):
+            best[a, b] = cell
+    found = np.array([(a, b, x1, y1) for (a, b), (y1, x1) in best.items()], float).reshape(-1, 4)
+    return list(found.T)
+
+
 def lattice_cells(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest cell below and to the right of each vertex, all four sides on shared edges."""
-    below = points.select(*keys, "x", "v_edge", F.col("y").alias("y1"), F.col("h_edge").alias("low"))
-    right = points.select(*keys, "y", "h_edge", F.col("x").alias("x1"), F.col("v_edge").alias("far"))
-    corner = points.select(*keys, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("v_edge").alias("far"), F.col("h_edge").alias("low"))
-    found = points.join(below, [*keys, "x", "v_edge"]).where("y1 > y").join(right, [*keys, "y", "h_edge"]).where("x1 > x").join(corner, [*keys, "x1", "y1", "far", "low"])
-    best = found.groupBy(*keys, "x", "y").agg(F.min(F.struct("y1", "x1")).alias("m"))
-    return best.select(*keys, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("m.x1").alias("x1"), F.col("m.y1").alias("y1"))
+    """Smallest cell below and to the right of each vertex, all four sides on shared edges: the nearest lower vertex first, then the nearest right one.
+
+    One fold over each table's vertices, so no pairs of vertices become rows.
+    """
+    return by_group(points, keys, ["y", "x"], ["x", "y", "v_edge", "h_edge"], _smallest_cells, "x0 double, y0 double, x1 double, y1 double")
 
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +104,8 @@ def to_html(cells: DataFrame, keys: list[str]) -> DataFrame:
 def to_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
     """A Markdown table whose first row is the head."""
     rows = text_rows(cells, keys, " | ").withColumn("_row", F.concat(F.lit("| "), "line", F.lit(" |")))
-    lines = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_row"))), lambda x: x["_row"]).alias("_rows"), F.max(F.size(F.split("line", r" \| "))).alias("_n"))
+    lines = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_row"))), lambda x: x["_row"]).alias("_rows"))
+    lines = lines.join(cells.groupBy(*keys).agg(F.max("c1").cast("int").alias("_n")), keys)
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("_n")))
     return lines.select(*keys, F.concat_ws("\n", F.slice("_rows", 1, 1), F.array(rule), F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))).alias("markdown"))
 

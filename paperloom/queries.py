@@ -75,7 +75,16 @@ def doc_sentences_stats(spark, sf):
     return s.select("doc_id", F.size("p").cast("long").alias("n_sentences"), F.array_max(n).cast("long").alias("longest"), F.aggregate(n, F.lit(0).cast("long"), lambda a, v: a + v).alias("n_chars"))
 
 
-@query()
+ZH_PIECES = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([。!！？?])', '\1' || chr(1), 'g'), chr(1) || '([”’）)])', '\1', 'g'), '(\.{6,})', '\1' || chr(1), 'g'), chr(1) || '+', chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+def _n_sentences(pieces: str) -> str:
+    """SQL of the number of sentences from that of the pieces between end marks: long ones split after softer marks, then cut."""
+    soft = rf"flatten(list_transform({pieces}, lambda s: CASE WHEN length(s) > 510 THEN string_split(regexp_replace(s, '([:：;；])', '\1' || chr(1), 'g'), chr(1)) ELSE [s] END))"
+    return f"coalesce(list_sum(list_transform({soft}, lambda s: (length(s) + 509) // 510)), 0)::BIGINT"
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_n_sentences(ZH_PIECES)} END AS n_zh, CASE WHEN text IS NOT NULL THEN {_n_sentences(PIECES)} END AS n_latin FROM documents")
 def sentence_splits(spark, sf):
     """Sentences of every document under both profiles."""
     both = [F.size(T.sentences(F.col("text"), p)).cast("long").alias(f"n_{p}") for p in ("zh", "latin")]
@@ -270,19 +279,13 @@ def rank_accuracy(spark, sf):
     return M.order_agreement(_boxes(spark, sf), ["image_id"], "x0", "y0", "box_id")
 
 
-@query(r"SELECT lang, round(avg((replace(regexp_replace(a, '[^ -~]', '', 'g'), ' ', '') = replace(b, ' ', ''))::INT), 6) AS accuracy, round(avg(1 - coalesce(levenshtein(replace(a, ' ', ''), replace(b, ' ', '')) / nullif(greatest(length(replace(a, ' ', '')), length(replace(b, ' ', ''))), 0), 0)), 6) AS similarity, count(*) AS n FROM (SELECT lang, regexp_replace(text[1:80], '[^ -~]', '', 'g') AS a, replace(regexp_replace(text[1:80], '[^ -~]', '', 'g'), 'th', 't') AS b FROM documents) GROUP BY lang")
-def ocr_accuracy(spark, sf):
-    """As ocr_accuracy_whole, of the first 80 characters only, as its SQL has it."""
-    return M.text_accuracy(_garbled(spark, sf, F.substring("text", 1, 80)), ["lang"])
-
-
 def _garbled(spark, sf, text):
     a = F.regexp_replace(text, "[^ -~]", "")
     return _docs(spark, sf).select("lang", a.alias("pred"), F.replace(a, F.lit("th"), F.lit("t")).alias("target"))
 
 
 @query()
-def ocr_accuracy_whole(spark, sf):
+def ocr_accuracy(spark, sf):
     """Edit similarity of each whole text's ASCII characters and a garbled form; a fixture of recogniser output."""
     return M.text_accuracy(_garbled(spark, sf, F.col("text")), ["lang"], alike=T.whole_similarity)
 
@@ -337,12 +340,12 @@ def table_html(spark, sf):
     return TB.to_html(_cells(spark, sf), ["table_id"])
 
 
-@query()
+@query(f"WITH {CELLS}, u AS (SELECT table_id, r0 AS r, unnest(generate_series(c0, c1 - 1)) AS c, text FROM cells), l AS (SELECT table_id, r, '| ' || string_agg(text, ' | ' ORDER BY c) || ' |' AS row FROM u GROUP BY ALL), n AS (SELECT table_id, max(c1) AS n FROM cells GROUP BY ALL) SELECT table_id, arg_min(row, r) || chr(10) || '|' || repeat(' --- |', any_value(n)::BIGINT) || coalesce(chr(10) || string_agg(row, chr(10) ORDER BY r) FILTER (r > 0), '') AS markdown FROM l JOIN n USING (table_id) GROUP BY table_id")
 def table_markdown(spark, sf):
     return TB.to_markdown(_cells(spark, sf), ["table_id"])
 
 
-@query()
+@query(f"WITH {CELLS}, s AS (SELECT table_id, max(r1) AS size FROM cells GROUP BY ALL) SELECT table_id, r0, c0, r1, c1, text FROM cells UNION ALL SELECT table_id, (r0 - 1 + size)::INTEGER, c0, (r1 - 1 + size)::INTEGER, c1, text FROM cells JOIN s USING (table_id) WHERE r0 >= 1")
 def cross_page_union(spark, sf):
     """Tables under one another, the lower one with a copy of the upper one's first row."""
     cells = _cells(spark, sf)
@@ -353,7 +356,7 @@ def cross_page_union(spark, sf):
 def cosine_topn(spark, sf):
     """The five nearest vectors of every hundredth one, queries dealt to all blocks of vectors."""
     e = R.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    blocks = 16
+    blocks = max(16, -(-e.count() // 20_000))  # rows of a block
     rows = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -389,20 +392,13 @@ def script_predicates(spark, sf):
     return _docs(spark, sf).select("doc_id", T.has_chinese(t).alias("chinese"), T.has_arabic(t).alias("arabic"), T.open_brackets(t).cast("long").alias("balance"))
 
 
-@query("SELECT doc_id, list_reduce(list_prepend('', list_transform(generate_series(1, length(s)), lambda i: CASE WHEN s[i] = 'e' OR (i > 1 AND s[i] = s[i - 1]) THEN '' ELSE s[i] END)), lambda a, b: a || b) AS label FROM (SELECT doc_id, text[1:64] AS s FROM documents WHERE length(text) > 0)")
+@query("SELECT doc_id, array_to_string(list_filter(l, lambda c, i: c <> 'e' AND (i = 1 OR c <> l[i - 1])), '') AS label FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE length(text) > 0)")
 def ctc_collapse(spark, sf):
-    """As ctc_collapse_whole, of the first 64 symbols only, as its SQL has it."""
-    s = F.filter(F.split(F.substring("text", 1, 64), ""), lambda c: c != "")
-    return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", F.array_join(T.collapsed(s, "e"), "").alias("label"))
-
-
-@query()
-def ctc_collapse_whole(spark, sf):
     """Label decoding of a symbol sequence with 'e' as the blank, on whole texts as a fixture."""
     return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", T.collapsed_text(F.col("text"), "e").alias("label"))
 
 
-@query()
+@query("SELECT p_partkey, p_size, CASE WHEN p_size >= 20 THEN substring('零一二三四五六七八九', (p_size // 10 + 1)::INTEGER, 1) || '十' WHEN p_size >= 10 THEN '十' ELSE '' END || CASE WHEN p_size % 10 > 0 OR p_size = 0 THEN substring('零一二三四五六七八九', (p_size % 10 + 1)::INTEGER, 1) ELSE '' END AS written, p_size AS value FROM part")
 def chinese_numerals(spark, sf):
     """Written forms of the parts' sizes and the values read back."""
     digit = F.array(*[F.lit(d) for d in T.CHINESE_DIGITS])

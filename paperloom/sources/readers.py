@@ -64,15 +64,18 @@ def delimited(spark: SparkSession, path: str, schema: str, separator: str = "\t"
 
 
 def word_layout(docs: DataFrame, char_width: int = 10, line_height: int = 12, lines_a_page: int = 50) -> DataFrame:
-    """Monospaced boxes of the words of texts: a page has 50 lines, a word stands where its characters do."""
+    """Monospaced boxes of the words of texts: a page has 50 lines, a word stands where its characters do.
+
+    Words are dealt out by page once, so that what follows by page needs no shuffle of its own.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    pieces = F.split("line", " ")
-    words = lines.select("doc_id", "line_no", F.posexplode(pieces).alias("word_no", "text"))
-    w = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    pages = lines.withColumn("page_no", F.floor(F.col("line_no") / lines_a_page).cast("int")).repartition("doc_id", "page_no")
+    words = pages.select("doc_id", "page_no", "line_no", F.posexplode(F.split("line", " ")).alias("word_no", "text"))
+    w = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
     top = F.pmod("line_no", F.lit(lines_a_page)) * line_height
     placed = words.withColumn("x0", start * char_width).where("text <> ''")
-    return placed.select("doc_id", F.floor(F.col("line_no") / lines_a_page).cast("int").alias("page_no"), "line_no", "word_no", "text", "x0", (F.col("x0") + F.length("text") * char_width).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+    return placed.select("doc_id", "page_no", "line_no", "word_no", "text", "x0", (F.col("x0") + F.length("text") * char_width).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
 
 
 def order_boxes(lineitem: DataFrame) -> DataFrame:

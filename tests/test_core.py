@@ -230,14 +230,14 @@ def test_whole_queries_read_texts_to_their_end(spark, tmp_path):
         if t:
             kept = "".join(c for k, c in enumerate(t) if k == 0 or c != t[k - 1])
             want[i] = kept.replace("e", "")
-    assert {r.doc_id: r.label for r in Q.ctc_collapse_whole(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.label for r in Q.ctc_collapse(spark, str(tmp_path)).collect()} == want
     sums = {}
     for _, t, lang in rows:
         a = "".join(c for c in t or "" if " " <= c <= "~")
         p, g = a.replace(" ", ""), a.replace("th", "t").replace(" ", "")
         n, same, like = sums.get(lang, (0, 0, 0.0))
         sums[lang] = n + 1, same + (p == g), like + 1 - brute_distance(p, g) / max(1, len(p), len(g))
-    got = {r.lang: r for r in Q.ocr_accuracy_whole(spark, str(tmp_path)).collect()}
+    got = {r.lang: r for r in Q.ocr_accuracy(spark, str(tmp_path)).collect()}
     assert {k: r.n for k, r in got.items()} == {k: n for k, (n, _, _) in sums.items()}
     assert all(abs(got[k].accuracy - same / n) < 2e-6 and abs(got[k].similarity - like / n) < 2e-6 for k, (n, same, like) in sums.items())
 
