@@ -43,7 +43,8 @@ MAX_FREQUENT = 200_000
 CHUNK = 4_000_000
 #: Text bytes whose n-grams a bucket holds; one task holds a bucket of them in memory.
 BUCKET_BYTES = 6_000_000
-_LOW = U64((1 << 48) - 1)
+#: Bits that tell the n-grams of a bucket apart.
+BITS = 48
 
 
 def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
@@ -62,10 +63,16 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def _split(h: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bucket of each hash, from its upper bits; the lower 48 bits tell hashes of a bucket apart."""
+    """Bucket of each hash: equal ranges of hashes, told by the upper bits."""
     return ((h >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
 
 
+def _within(h: np.ndarray, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Places of hashes in the ranges of their buckets, in BITS bits, in the order of the hashes."""
+    first = ((bucket.astype(U64) << U64(32)) + U64(n_buckets - 1)) // U64(n_buckets)
+    return (h - (first << U64(32))) >> U64(max(0, ((1 << 64) // n_buckets + (1 << 32)).bit_length() - BITS))
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers as zstd-compressed byte planes, their number first."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
@@ -154,7 +161,7 @@ def _exploded(order: int, n_buckets: int, shared):
             keys, counts = chunk.keys[chunk.rare], chunk.counts[chunk.rare].astype(np.uint32)
             ends = np.searchsorted(_split(keys, n_buckets), np.arange(n_buckets + 1))
             rows = [k for k in range(n_buckets) if ends[k + 1] > ends[k]]
-            low = keys & _LOW
+            low = _within(keys, _split(keys, n_buckets), n_buckets)
             steps = np.diff(low, prepend=U64(0))
             steps[ends[rows]] = low[ends[rows]]  # each row starts anew
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.int32()), pa.array([packed(steps[ends[k] : ends[k + 1]]) for k in rows], pa.binary()), pa.array([packed(counts[ends[k] : ends[k + 1]]) for k in rows], pa.binary())], names=["chunk", "bucket", "keys", "counts"])
