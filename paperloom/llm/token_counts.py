@@ -4,8 +4,11 @@ The content digest is SHA-256 of the text's UTF-8 bytes (counts depend on every
 normalisation is only null to empty); the tokenizer digest is SHA-256 of its vocabulary file, so a
 new version never meets old counts. Digests without a stored count are encoded once for each distinct
 text, and the counts are appended to the cache, a Parquet table. Copies within a task are merged
-before the shuffle. Appending twice is harmless. Null texts count as empty and have no tokens.
-Rows that repeat an id each get a row. Other columns are ignored.
+before the shuffle. Appending twice is harmless: of several counts of a digest the largest is
+taken, and they are equal. Counts come back by a join of two written tables, whose skewed parts adaptive
+execution splits, as one text may be a third of all rows. Null texts count as empty and have no tokens.
+Rows that repeat an id each get a row. Other columns are ignored, whatever their names. An empty
+table gives an empty result and leaves the cache as it is.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, cut, fresh_path, small_batches
+from .common import column, cut, fresh_path, released, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
-CACHE = "content string, tokenizer string, n_tokens long"
+CACHE = "content binary, tokenizer string, n_tokens long"
 
 _loaded: dict = {}
 
@@ -57,6 +60,7 @@ def _counts(name: str):
         for batch in batches:
             n = [len(encode([t])[0]) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("content")), pa.array(n, pa.int64())], names=["content", "n_tokens"])
+        released()
 
     return run
 
@@ -66,7 +70,7 @@ def cached(spark: SparkSession, path: str, digest: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], "content string, n_tokens long")
+        return spark.createDataFrame([], "content binary, n_tokens long")
     rows = spark.read.schema(CACHE).parquet(path).where(F.col("tokenizer") == digest)
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -77,12 +81,14 @@ def token_counts(docs: DataFrame, cache_path: str, vocabulary: str = VOCABULARY,
     small_batches(spark)
     digest = tokenizer_digest(vocabulary)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("content"))
-    misses = keyed.select("content", "text").join(cached(spark, cache_path, digest).select("content"), "content", "left_anti")
-    fresh = misses.groupBy("content").agg(F.first("text").alias("text")).mapInArrow(_counts(vocabulary), "content string, n_tokens long")
+    content = F.unhex(F.sha2(text.cast("binary"), 256))
+    keyed = docs.select(text.alias("text"), content.alias("content"))
+    misses = keyed.join(cached(spark, cache_path, digest).select("content"), "content", "left_anti")
+    fresh = misses.groupBy("content").agg(F.first("text").alias("text")).mapInArrow(_counts(vocabulary), "content binary, n_tokens long")
     fresh.select("content", F.lit(digest).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    slim = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("content"))
-    return slim.join(cached(spark, cache_path, digest), "content").select(id_col, "n_bytes", "n_tokens")
+    slim = cut(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content")), "token-rows")
+    stored = cut(cached(spark, cache_path, digest).join(slim.select("content").distinct(), "content", "left_semi"), "token-counts")
+    return slim.join(stored, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
