@@ -15,21 +15,21 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 #: Text bytes that numpy code handles at once.
 CHUNK_BYTES = 2_000_000
-#: Folder for lineage cuts where the session names none (tests, single machines).
-LOCAL_SHARED = "/tmp/checkpoints/paperloom"
-
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = LOCAL_SHARED
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """This application's folder below the one that driver and executors share: spark.checkpoint.dir or, where that is unset (tests, single machines), the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all lineage cuts of this application; tables that were read from them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

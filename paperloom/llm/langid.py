@@ -9,7 +9,8 @@ geometric mean probabilities, raised to the power SHARPNESS, so it does not depe
 
 Null texts and texts without a letter are 'und' with score 0. Without labelled rows every text is
 'und'. Rows whose label is null are not learned from. Ties go to the first label by code point. Rows
-that repeat an id each get a row; other columns are ignored.
+that repeat an id each get a row, a null id is never held out; other columns are ignored, whatever
+their names. An empty table gives an empty result. More than MAX_LABELS labels are an error.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2
-    model = fit(docs.where(F.coalesce(~held_out, F.lit(True))))
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit(docs.where(~held_out))
     found = predict(docs.select("id", "text"), model)
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@
 import collections
 import html
 import html.parser
+import itertools
 import math
 import random
 import re
@@ -207,6 +208,12 @@ def test_lm_counts_packing_and_odd_rows(spark, corpus):
     rng = np.random.default_rng(4)
     for x in ([], [0], [0, 0, 255], [256, 1], [2**63, 5, 2**64 - 1], rng.integers(0, 2**40, 999).tolist()):
         assert lm_score.unpacked(lm_score.packed(np.array(x, np.uint64))).tolist() == x
+    for n in (1, 4, 7, 144, 100_003):
+        h = np.sort(np.concatenate([rng.integers(0, 2**64, 5000, np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+        bucket = lm_score._split(h, n)
+        place = lm_score._within(h, bucket, n)
+        assert bucket.max() < n and (place < np.uint64(2**48)).all() and all((np.diff(place[bucket == k].astype(np.int64)) >= 0).all() for k in np.unique(bucket)[:50])
+        assert len(set(zip(bucket.tolist(), place.tolist()))) == len(h)
     words = [w for _, t in corpus for w in [(t or "").encode().lower().split()]]
     want = collections.Counter(len(g) for g in {tuple(w[j : j + k]) for w in words for k in (1, 2, 3) for j in range(len(w) - k + 1)})
     rows = lm_score.ngram_counts(frame(spark, corpus)).collect()
@@ -670,6 +677,67 @@ def test_language_id(spark):
     assert zlib.crc32(b"7") == spark.sql("select crc32(cast('7' as binary))").first()[0] and html
 
 
+def test_language_query_equals_a_second_naive_bayes(spark, tmp_path):
+    rng = random.Random(16)
+    letters = {"en": "etaoin", "de": "etaoüß", "xx": "qzkvwj"}
+    made = lambda l: " ".join("".join(rng.choice(letters[l]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(2, 25)))
+    rows = [(i, made(l), l) for i in range(240) for l in [rng.choice(list(letters))]]
+    rows += [(7, rows[7][1], "en"), (7, "qzk vwj", None), (None, "eta oin", "en"), (500, None, "en"), (501, "12 !", "xx"), (502, "", None), (503, made("en") * 400, None)]
+    frame(spark, [(*r, 0.5, True) for r in rows], "doc_id long, text string, lang string, score double, held_out boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in langid.op10_language_id(spark, str(tmp_path)).collect()), key=str)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    bag = lambda t: collections.Counter(int(f) for f in langid.features([t])[0])
+    counts = collections.defaultdict(collections.Counter)
+    for i, t, l in rows:
+        if t is not None and l and not held(i):
+            counts[l] += bag(t)
+    sums = {l: sum(c.values()) + 0.5 * 2**16 for l, c in counts.items()}
+    want = []
+    for i, t, _ in rows:
+        name, score = "und", 0.0
+        if t and any(c.isalpha() for c in t):
+            f = bag(t)
+            mean = {l: sum(n * math.log((counts[l][x] + 0.5) / sums[l]) for x, n in f.items()) / sum(f.values()) for l in sorted(counts)}
+            name = max(mean, key=mean.get)
+            score = 1 / sum(math.exp(20 * (m - mean[name])) for m in mean.values())
+        want.append((i, held(i), name, round(score, 4)))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want, key=str)] and all(abs(g[3] - w[3]) < 2e-3 for g, w in zip(got, sorted(want, key=str)))
+    frame(spark, [], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert langid.op10_language_id(spark, f"{tmp_path}/empty").count() == 0
+    tie = langid.predict(frame(spark, [(1, "ab")], "id long, text string"), (["a", "b"], np.zeros((1 << langid.BITS, 2), np.float32))).first()
+    assert (tie.lang_pred, tie.score) == ("a", 0.5)
+
+
+def test_token_counts_of_an_empty_table_and_clashing_names(spark):
+    path = fresh_path(spark, "test-cache")
+    assert token_counts.token_counts(frame(spark, []), path).count() == 0
+    rows = frame(spark, [(1, "a b", 7, "x"), (1, "a b", 7, "x"), (2, None, 7, "x")], "doc_id long, text string, n_tokens int, content string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(rows, path).collect())
+    assert got[0] == got[1] and got[0][:2] == (1, 3) and got[2] == (2, 0, 0)
+
+
+def test_pipeline_stages_keep_odd_rows_and_drop_planted_ones(spark):
+    import corpus_pipeline
+
+    base = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id", "left_semi").where("length(text) between 800 and 4000").orderBy("doc_id").limit(60).collect()]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in base]
+    one = rows[0]
+    junk = " ".join(f"{w}{s}" for w, s in zip(one[1].split() * 3, itertools.cycle(["###", "$$$", "%%%", "&&&"])))
+    rows += [(9001, *one[1:]), (None, *rows[1][1:]), (9002, None, "en", None, 0), (9003, "", None, "web", 0), (9004, "short", "en", "web", 5), (9005, junk, one[2], one[3], len(junk)), one]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.01").cache()
+        seen[name] = [r.doc_id for r in docs.collect()]
+    good = {r[0] for r in rows[:60]}
+    assert not {9002, 9003, 9004, 9005} & set(seen["quality_rules"]) and len(good - set(seen["quality_rules"])) <= 2 and None in seen["quality_rules"]
+    assert 9001 not in seen["line_dedup"] or 9001 not in seen["near_dedup"]
+    assert seen["near_dedup"].count(one[0]) == 1 and seen["near_dedup"].count(None) == 1
+    assert set(seen["source_mix"]) <= set(seen["near_dedup"]) and len(set(seen["source_mix"])) > 40
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.01")
+    assert out.where("not round_trip or n_tokens = 0").isEmpty() and out.count() == docs.count()
+
+
 def test_pipeline_runs_and_reduces(spark):
     import corpus_pipeline
 
