@@ -218,3 +218,36 @@ def known_prefixes(words: DataFrame, known: DataFrame, word: str = "word") -> Da
     matches = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_known"))), lambda x: x["_known"])
     few = F.when((F.size("m") > 1) & (F.length(F.col("m")[0]) == 1), F.slice("m", F.lit(2), F.size("m") - 1)).otherwise(F.col("m"))
     return found.groupBy(word).agg(matches.alias("m")).select(word, few.alias("matches"))
+
+
+def decoded(codes: Column, symbols: Column, stop: int | None = None, ignored: tuple[int, ...] = (), without_repeats: bool = False) -> Column:
+    """Symbols of a list of codes up to the stop code, without ignored ones; attention-like decoders keep repeats, others drop them."""
+    end = F.array_position(codes, stop) if stop is not None else F.lit(0)
+    own = F.when(end > 0, F.slice(codes, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(codes)
+    if without_repeats:
+        own = F.filter(own, lambda c, i: (i == 0) | (c != F.get(own, i - 1)))
+    kept = F.filter(own, lambda c: ~c.isin(*ignored)) if ignored else own
+    return F.transform(kept, lambda c: F.get(symbols, c))
+
+
+def contents_headings(text: Column) -> Column:
+    """Headings of a table of contents: lines without spaces up to the leader, which is the text's most frequent character and must stand twice; a line without it goes on in the next one.
+
+    Short lines without a leader (page numbers) and the title line are left out. Null gives null.
+    """
+    chars = F.filter(F.split(text, ""), lambda c: (c != "") & (c != "\n"))
+    counted = F.transform(F.array_distinct(chars), lambda c: F.struct(F.size(F.filter(chars, lambda d: d == c)).alias("n"), c.alias("c")))
+    leader = F.aggregate(counted, F.struct(F.lit(0).alias("n"), F.lit("").alias("c")), lambda best, x: F.when(x["n"] > best["n"], x).otherwise(best))["c"]
+    lines = F.transform(F.split(text, "\n"), lambda x: F.replace(x, F.lit(" "), F.lit("")))
+    state = F.struct(F.lit("").alias("held"), F.slice(F.array(F.lit("")), 1, 0).alias("out"))
+
+    def step(s: Column, line: Column) -> Column:
+        own = F.concat(s["held"], line)
+        at = F.position(leader, own)
+        skipped = (line == "目录") | ((F.position(leader, line) == 0) & (F.length(line) < 8) & (s["held"] == ""))
+        waits = (at == 0) & (s["held"] == "")
+        fits = (at > 1) & (F.substr(own, at + 1, F.lit(1)) == leader)
+        done = F.when(fits, F.concat(s["out"], F.array(F.left(own, at - 1)))).otherwise(s["out"])
+        return F.when(skipped, s).when(waits, F.struct(own.alias("held"), s["out"].alias("out"))).otherwise(F.struct(F.lit("").alias("held"), done.alias("out")))
+
+    return F.aggregate(lines, state, step, lambda s: s["out"])

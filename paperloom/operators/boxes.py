@@ -189,3 +189,18 @@ def greedy_matches(truth: DataFrame, found: DataFrame, keys: list[str], least: f
         return F.when(F.exists(taken, lambda t: (t["truth"] == p["truth"]) | (t["found"] == p["found"])), taken).otherwise(F.array_append(taken, p))
 
     return items.select(*keys, F.inline(F.aggregate("items", F.slice("items", 1, 0), step)))
+
+
+def aligned_texts(lines: DataFrame, words: DataFrame, keys: list[str], least: float = 0.5, id_col: str = "box_id", text: str = "text") -> DataFrame:
+    """(keys, id, text): for each line box the texts of the words of which it holds `least`, from left to right by blanks; lines without one have the empty text."""
+    a, b = G.box("l"), G.box("r")
+    held = pairs(words, lines, keys, condition=G.touches(a, b)).where(F.round(G.share_of(b, a), 6) >= least)
+    joined = held.groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"r.{id_col}").alias(id_col)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("l.x0"), F.col(f"l.{text}").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    return lines.select(*keys, id_col).join(joined, [*keys, id_col], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def sorted_out(boxes: DataFrame, least: float, columns: tuple = (12, 13), category: str = "category", score: str = "score") -> tuple[DataFrame, DataFrame]:
+    """(elements, columns): detections from a score on, in whole coordinates, those of column categories apart."""
+    kept = boxes.where(F.col(score) >= least).withColumns({c: F.round(c).cast("long") for c in ("x0", "y0", "x1", "y1")})
+    apart = F.coalesce(F.col(category).isin(*columns), F.lit(False))
+    return kept.where(~apart), kept.where(apart)

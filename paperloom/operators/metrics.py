@@ -239,3 +239,27 @@ def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, siz
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
     last = F.array_sort(F.collect_list(value).over(w))  # size values at most
     return rows.withColumn("_last", last).withColumn("median", F.get("_last", F.floor((F.size("_last") - 1) / 2).cast("int"))).withColumn("mean", F.avg(value).over(w)).drop("_last")
+
+
+def by_model(rows: DataFrame, model: str, figures: dict[str, Column]) -> DataFrame:
+    """(model, figures): a map of named figures for each of several models that were scored side by side."""
+    entries = [x for name, figure in figures.items() for x in (F.lit(name), figure)]
+    return rows.groupBy(model).agg(F.create_map(*entries).alias("figures"))
+
+
+def class_hits(pred: DataFrame, truth: DataFrame, keys: list[str], least: float = 0.7, label: str = "label", id_col: str = "box_id") -> DataFrame:
+    """(label, n_pred, n_truth, precision, recall, f): boxes whose best IoU with one of their own label and image reaches `least`."""
+    alike = [*keys, label]
+
+    def hits(a: DataFrame, b: DataFrame) -> DataFrame:
+        x, y = G.box("l"), G.box("r")
+        on = G.touches(x, y)
+        for k in alike:
+            on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+        best = a.alias("l").join(b.alias("r"), on).groupBy(*[F.col(f"l.{k}").alias(k) for k in alike], F.col(f"l.{id_col}").alias(id_col)).agg(F.max(F.round(G.iou(x, y), 6)).alias("_best"))
+        return a.select(*alike, id_col).join(best, [*alike, id_col], "left").groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((F.col("_best") >= least).cast("double")), F.lit(0.0)).alias("_share"), F.count_if(F.col("_best") >= least).alias("_hits"))
+
+    p, t = (hits(a, b).select(label, F.col("n").alias(f"n_{s}"), F.try_divide("_hits", "n").alias(s)) for a, b, s in ((pred, truth, "precision"), (truth, pred, "recall")))
+    both = p.join(t, label, "full").fillna(0)
+    f = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return both.select(label, F.col("n_precision").alias("n_pred"), F.col("n_recall").alias("n_truth"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f, 6).alias("f"))

@@ -118,3 +118,33 @@ def stacked(upper: DataFrame, lower: DataFrame, keys: list[str]) -> DataFrame:
     shift = size.join(h1, keys, "left").join(h2, keys, "left").select(*keys, "size", F.when(F.col("head") == F.col("head2"), F.col("depth2")).otherwise(0).alias("cut"))
     moved = lower.join(shift, keys).where(F.col("r0") >= F.col("cut")).select(*keys, (F.col("r0") - F.col("cut") + F.col("size")).alias("r0"), "c0", (F.col("r1") - F.col("cut") + F.col("size")).alias("r1"), "c1", "text")
     return upper.select(*keys, "r0", "c0", "r1", "c1", "text").unionByName(moved)
+
+
+def to_csv(cells: DataFrame, keys: list[str], separator: str = ",") -> DataFrame:
+    """(keys, csv): rows of unit cells; texts with the separator, a quote or a line break are quoted."""
+    quote = F.col("text").contains(separator) | F.col("text").rlike('["\\n\\r]')
+    cell = F.when(quote, F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce("text", F.lit("")))
+    rows = text_rows(cells.withColumn("text", cell), keys, separator)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"])
+    return rows.groupBy(*keys).agg(F.array_join(lines, "\n").alias("csv"))
+
+
+def to_xml(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, xml): a cell element with its spans for each cell, by row and column."""
+    text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = F.format_string('<cell r0="%d" c0="%d" r1="%d" c1="%d">%s</cell>', "r0", "c0", "r1", "c1", text)
+    inner = F.transform(F.array_sort(F.collect_list(F.struct("r0", "c0", cell.alias("x")))), lambda c: c["x"])
+    return cells.groupBy(*keys).agg(F.concat(F.lit("<table>"), F.array_join(inner, ""), F.lit("</table>")).alias("xml"))
+
+
+def crossing_cells(cells: DataFrame, keys: list[str], row_head: str, column_head: str, cell: str = "text") -> DataFrame:
+    """(keys, row_head, column_head, cell): cells in the rows of one head and the columns of another, right of and below them, that no full-width cell parts from the column's head."""
+    row, column = cells.alias("r"), cells.alias("c")
+    same = lambda a, b: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]
+    on = lambda conditions: [x for c in conditions for x in (c if isinstance(c, list) else [c])]
+    inside = [F.col("m.r0") >= F.col("r.r0"), F.col("m.r1") <= F.col("r.r1"), F.col("m.c0") >= F.col("c.c0"), F.col("m.c1") <= F.col("c.c1"), F.col("m.c0") >= F.col("r.c1"), F.col("m.r0") >= F.col("c.r1")]
+    heads = row.where(F.col(f"r.{cell}") == row_head).join(column.where(F.col(f"c.{cell}") == column_head), on([same("r", "c")]))
+    found = heads.join(cells.alias("m"), on([same("r", "m"), inside]))
+    parts = full_width(cells, keys).alias("w")
+    free = found.join(parts, on([same("r", "w"), F.col("w.r0") >= F.col("c.r1"), F.col("w.r1") <= F.col("m.r0")]), "left_anti")
+    return free.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"r.{cell}").alias("row_head"), F.col(f"c.{cell}").alias("column_head"), F.col(f"m.{cell}").alias("cell"))

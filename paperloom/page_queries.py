@@ -7,10 +7,13 @@ from pyspark.sql.window import Window
 
 from .functions import geometry as G
 from .functions import latex as X
+from .functions import text as T
 from .operators import boxes as B
+from .operators import matching as A
 from .operators import metrics as M
 from .operators import regions as P
-from .queries import BOXES, LAYOUT, _boxes, _docs, query
+from .operators import tables as TB
+from .queries import BOXES, CELLS, LAYOUT, OVERLAP, _boxes, _cells, _docs, query
 from .sources import readers as R
 
 SIZED = f"{LAYOUT}, sized AS (SELECT *, (8 + length(text) % 5)::DOUBLE AS size FROM layout)"
@@ -235,3 +238,101 @@ def smart_joined_turns(spark, sf):
 def cleaned_headings(spark, sf):
     remark = F.when(F.col("p_partkey") % 2 == 0, "  单位：万元 √/ 万美元").otherwise("")
     return R.table(spark, sf, "part").select("p_partkey", X.cleaned_heading(F.concat("p_name", remark)).alias("heading"))
+
+
+@query(f"WITH {CELLS}, u AS (SELECT table_id, r0 AS r, unnest(generate_series(c0, c1 - 1)) AS c, CASE WHEN r0 = 0 THEN '\"' || text || ',\"\"' || '\"' ELSE text END AS text FROM cells), l AS (SELECT table_id, r, string_agg(text, ',' ORDER BY c) AS line FROM u GROUP BY ALL) SELECT table_id, string_agg(line, chr(10) ORDER BY r) AS csv FROM l GROUP BY table_id")
+def table_csv(spark, sf):
+    marked = F.when(F.col("r0") == 0, F.concat("text", F.lit(',"'))).otherwise(F.col("text"))
+    return TB.to_csv(_cells(spark, sf).withColumn("text", marked), ["table_id"])
+
+
+@query(f"""WITH {CELLS} SELECT table_id, '<table>' || string_agg('<cell r0="' || r0 || '" c0="' || c0 || '" r1="' || r1 || '" c1="' || c1 || '">' || text || '&lt;</cell>', '' ORDER BY r0, c0) || '</table>' AS xml FROM cells GROUP BY table_id""")
+def table_xml(spark, sf):
+    return TB.to_xml(_cells(spark, sf).withColumn("text", F.concat("text", F.lit("<"))), ["table_id"])
+
+
+@query("WITH c AS (SELECT l_orderkey, list(l_suppkey % 6 ORDER BY l_linenumber, l_partkey, l_suppkey) AS c FROM lineitem GROUP BY ALL), s AS (SELECT l_orderkey, CASE WHEN list_position(c, 5) > 0 THEN c[1:list_position(c, 5) - 1] ELSE c END AS c FROM c) SELECT l_orderkey, coalesce(array_to_string(list_transform(list_filter(c, lambda x: x <> 0), lambda x: substring('abcdef', (x + 1)::INTEGER, 1)), ''), '') AS label FROM s")
+def decoded_tokens(spark, sf):
+    """Codes up to the stop code 5, without the padding 0."""
+    codes = R.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: (x["l_suppkey"] % 6).cast("int")).alias("c"))
+    symbols = F.array(*[F.lit(x) for x in "abcdef"])
+    return codes.select("l_orderkey", F.array_join(T.decoded(F.col("c"), symbols, stop=5, ignored=(0,)), "").alias("label"))
+
+
+CLASS_IOU = f"round({OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVERLAP}), 6)"
+
+
+def _hits(side: str, other: str) -> str:
+    return f"(SELECT label, count(*) AS n, count(*) FILTER (best >= 0.3) / count(*) AS share FROM (SELECT a.label, a.image_id, a.box_id, max({CLASS_IOU}) AS best FROM (SELECT * FROM boxes WHERE side = '{side}') a LEFT JOIN (SELECT * FROM boxes WHERE side = '{other}') b ON a.image_id = b.image_id AND a.label = b.label GROUP BY ALL) GROUP BY label)"
+
+
+@query(f"WITH {BOXES}, p AS {_hits('O', 'F')}, t AS {_hits('F', 'O')} SELECT label, coalesce(p.n, 0) AS n_pred, coalesce(t.n, 0) AS n_truth, round(coalesce(p.share, 0), 6) AS precision, round(coalesce(t.share, 0), 6) AS recall, round(coalesce(2 * p.share * t.share / nullif(p.share + t.share, 0), 0), 6) AS f FROM p FULL JOIN t USING (label)")
+def class_hits(spark, sf):
+    b = _boxes(spark, sf)
+    return M.class_hits(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"], 0.3)
+
+
+@query(f"WITH {BOXES}, h AS (SELECT a.image_id, b.box_id, string_agg('w' || a.box_id, ' ' ORDER BY a.x0, 'w' || a.box_id) AS text FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.side = 'O' AND b.side = 'F' AND round({OVERLAP} / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) >= 0.5 GROUP BY ALL) SELECT b.image_id, b.box_id, coalesce(text, '') AS text FROM boxes b LEFT JOIN h USING (image_id, box_id) WHERE b.side = 'F'")
+def aligned_texts(spark, sf):
+    b = _boxes(spark, sf).withColumn("text", F.concat(F.lit("w"), "box_id"))
+    return B.aligned_texts(b.where("side = 'F'"), b.where("side = 'O'"), ["image_id"])
+
+
+@query(f"WITH {BOXES} SELECT image_id, box_id, round(x0 / 3)::BIGINT AS x0, round(y1 / 3)::BIGINT AS y1 FROM boxes WHERE score >= 20000 AND box_id % 14 NOT IN (12, 13)")
+def layout_elements(spark, sf):
+    thirds = _boxes(spark, sf).withColumns({c: F.col(c) / 3 for c in ("x0", "y0", "x1", "y1")}).withColumn("category", F.col("box_id") % 14)
+    return B.sorted_out(thirds, 20000.0)[0].select("image_id", "box_id", "x0", "y1")
+
+
+@query("SELECT l_returnflag AS model, unnest(['least', 'mean']) AS name, unnest([min(l_discount), round(avg(l_discount), 6)]) AS value FROM lineitem GROUP BY l_returnflag")
+def figures_by_model(spark, sf):
+    made = M.by_model(R.table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "model"), "model", {"least": F.min("l_discount"), "mean": F.round(F.avg("l_discount"), 6)})
+    return made.select("model", F.explode("figures").alias("name", "value"))
+
+
+@query()
+def detection_matches(spark, sf):
+    return A.detection_matches(_boxes(spark, sf), ["image_id"], F.col("side") == "F")
+
+
+@query()
+def polygons_without_overlap(spark, sf):
+    """Boxes as slanted quadrangles."""
+    b = _boxes(spark, sf)
+    slant = F.col("box_id") % 5
+    corners = F.array("x0", F.col("y0") + slant, F.col("x1"), "y0", "x1", F.col("y1"), F.col("x0"), F.col("y1") + slant)
+    return A.polygon_nms(b.select("image_id", "box_id", "score", corners.alias("points")), ["image_id"], 0.2)
+
+
+@query()
+def merged_stacks(spark, sf):
+    return A.merged_stacks(_boxes(spark, sf), ["image_id"], depth=4.0)
+
+
+@query()
+def roomier_boxes(spark, sf):
+    return A.roomier(_boxes(spark, sf), ["image_id"], 6.0, 120.0, 80.0, F.col("label") != "R")
+
+
+@query()
+def wider_texts(spark, sf):
+    return A.wider(_boxes(spark, sf), ["image_id"], 120.0, F.col("side") == "O")
+
+
+@query()
+def box_stacks(spark, sf):
+    return A.stacks(_boxes(spark, sf), ["image_id"])
+
+
+@query()
+def collated_lines(spark, sf):
+    words = _sized(spark, sf)
+    number = F.col("line_no") * 100_000 + F.col("word_no")
+    return A.collated_lines(words.withColumn("char_no", number), ["doc_id", "page_no", "line_no"], space=5.0)
+
+
+@query()
+def table_scores(spark, sf):
+    """HTML tables compared with themselves with one text changed."""
+    pages = TB.to_html(_cells(spark, sf), ["table_id"])
+    return A.table_scores(pages.withColumn("pred", F.regexp_replace("html", "p1", "q")), "pred", "html").select("table_id", "similarity")

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import text as T
 
@@ -71,3 +72,24 @@ def merged_settings(base: dict, over: dict) -> dict:
     for k, v in over.items():
         out[k] = merged_settings(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def first_answer(*answers: Column) -> Column:
+    """The first answer that is there: a model's, then those of the rules behind it."""
+    return F.coalesce(*answers)
+
+
+def attempted(df: DataFrame, column: str, f: Callable, out: str = "string") -> DataFrame:
+    """df with `value`, f of the column in batches, and `error`: what f raised for a row, as text, instead of a failed job."""
+
+    @F.pandas_udf(f"value {out}, error string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            try:
+                rows.append((f(v), None))
+            except Exception as e:  # noqa: BLE001  any error of the caller's function is a value here
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["value", "error"], dtype=object)
+
+    return df.withColumn("_made", run(column)).select("*", "_made.value", "_made.error").drop("_made")
