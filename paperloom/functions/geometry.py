@@ -160,6 +160,20 @@ def rotated(x: Column, y: Column, cx, cy, degrees) -> tuple[Column, Column]:
     return cx + (x - cx) * F.cos(r) - (y - cy) * F.sin(r), cy + (x - cx) * F.sin(r) + (y - cy) * F.cos(r)
 
 
+def rotated_box(b: Box, cx, cy, degrees) -> Box:
+    """The box around the four turned corners."""
+    corners = [rotated(x, y, cx, cy, degrees) for x in (b.x0, b.x1) for y in (b.y0, b.y1)]
+    xs, ys = zip(*corners)
+    return Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+
+def ordered_corners(points: Column) -> Column:
+    """Four points (structs x, y) from the upper left one clockwise: by least and largest sums and differences of their coordinates; ties go to the first."""
+    at = lambda key: F.array_min(F.transform(points, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+    chosen = [at(k) for k in (lambda p: p["x"] + p["y"], lambda p: p["y"] - p["x"], lambda p: -p["x"] - p["y"], lambda p: p["x"] - p["y"])]
+    return F.array(*[F.struct(c["x"].alias("x"), c["y"].alias("y")) for c in chosen])
+
+
 def polygon_box(points: Column) -> Box:
     """Bounding box of an array of structs x, y."""
     return Box(F.array_min(points["x"]), F.array_min(points["y"]), F.array_max(points["x"]), F.array_max(points["y"]))

@@ -40,6 +40,19 @@ def scope(elements: DataFrame, include: list, exclude: list | None = None, key:
     return out.where(~F.col(key).isin(exclude)) if exclude else out
 
 
+def in_scope(elements: DataFrame, include: DataFrame, exclude: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id", "idx")) -> DataFrame:
+    """Elements whose keys stand in one table of keys and not in another; null keys match nothing. Tables of any size."""
+    on = list(keys)
+    out = elements.join(include.select(*on).distinct(), on, "left_semi")
+    return out if exclude is None else out.join(exclude.select(*on).distinct(), on, "left_anti")
+
+
+def text_of(elements: DataFrame, granularity: str, keys: DataFrame) -> DataFrame:
+    """(doc_id, key, text) of the asked (doc_id, key) at a granularity; the empty text where there is none."""
+    found = keys.select("doc_id", "key").distinct().join(view(elements, granularity), ["doc_id", "key"], "left")
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def with_ids(texts: DataFrame, known: DataFrame) -> DataFrame:
     """Texts of documents with their known gid; unknown ones are numbered after the largest known."""
     most = known.groupBy("doc_id").agg(F.max("gid").alias("_most"))

@@ -263,3 +263,14 @@ def class_hits(pred: DataFrame, truth: DataFrame, keys: list[str], least: float
     both = p.join(t, label, "full").fillna(0)
     f = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return both.select(label, F.col("n_precision").alias("n_pred"), F.col("n_recall").alias("n_truth"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f, 6).alias("f"))
+
+
+def best_reference(lines: DataFrame, references: DataFrame, keys: list[str], line: str = "line", text: str = "text") -> DataFrame:
+    """(keys, line, similarity): the largest edit similarity of each line with a reference of its key; 0 without one. Keys bound the pairs to a page."""
+    a, b = lines.select(*keys, line, F.col(text).alias("_a")), references.select(*keys, F.col(text).alias("_b"))
+    return a.join(b, keys, "left").groupBy(*keys, line).agg(F.round(F.coalesce(F.max(F.when(F.col("_b").isNotNull(), similarity(F.col("_a"), F.col("_b")))), F.lit(0.0)), 6).alias("similarity"))
+
+
+def with_truth(predictions: DataFrame, truth: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, truth, pred) of every truth; the empty text where nothing was predicted."""
+    return truth.select(key, F.col(text).alias("truth")).join(predictions.select(key, F.col(text).alias("pred")), key, "left").withColumn("pred", F.coalesce("pred", F.lit("")))

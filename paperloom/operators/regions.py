@@ -54,6 +54,88 @@ def headers(parts: DataFrame, keys: list[str], page_height: float, line: str = "
     return own.where(fits).select(*keys, text.alias("header"))
 
 
+# The characters of a page number.
+PAGE_NUMBER = "0-9一二三四五六七八九十页IVXLXCDM第共 -/，"
+
+
+def page_numbers(parts: DataFrame, keys: list[str], page_height: float, tolerance: float = 0.1, line: str = "line_no", order: str = "word_no") -> DataFrame:
+    """(keys, number): text of a page's last line if it reaches the bottom, has 9 characters without blanks at most, only those of numbers, and a last part at most 2 larger than the second smallest size and 0.7 smaller than the largest."""
+    last = parts.groupBy(*keys).agg(F.max(line).alias(line), F.max("size").alias("_largest"))
+    own = parts.join(last, [*keys, line]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "size", "bottom", "text"))).alias("_r"), F.first("_largest").alias("_largest"))
+    own = own.join(page_sizes(parts, keys, line, order).select(*keys, "second_size"), keys)
+    end, text = F.element_at("_r", -1), F.trim(F.array_join(F.col("_r.text"), " "))
+    low = end["bottom"] > (1 - tolerance) * page_height - 5
+    plain = (text != "") & (F.length(F.replace(text, F.lit(" "), F.lit(""))) <= 9) & ~text.rlike(f"[^{PAGE_NUMBER}]")
+    return own.where(low & plain & (end["size"] <= F.col("second_size") + 2) & (end["size"] < F.col("_largest") - 0.7)).select(*keys, text.alias("number"))
+
+
+def column_of(elements: DataFrame, columns: DataFrame, keys: list[str], id_col: str = "box_id", column: str = "column_no") -> DataFrame:
+    """elements with the number of the column of largest overlap across (ties: the larger number); 0 without one."""
+    a, b = G.box("l"), G.box("r")
+    share = F.round(G.side_overlap(a.x0, a.x1, b.x0, b.x1), 6)
+    best = B.pairs(elements, columns, keys, condition=(a.x0 < b.x1) & (b.x0 < a.x1)).groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{id_col}").alias(id_col)).agg(F.max(F.struct(share.alias("s"), F.col(f"r.{column}").alias("c")))["c"].alias(column))
+    return elements.join(best, [*keys, id_col], "left").withColumn(column, F.coalesce(column, F.lit(0)))
+
+
+def numbered_columns(columns: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
+    """columns with column_no: sub columns from 0 on, from left to right; -1 for full columns, -2 for others."""
+    sub = F.col(kind) == "sub column"
+    number = F.row_number().over(Window.partitionBy(*keys, sub).orderBy("x0", "y0", "box_id")) - 1
+    return columns.withColumn("column_no", F.when(sub, number).when(F.col(kind) == "full column", -1).otherwise(-2))
+
+
+def words_of_codes(chars: DataFrame, keys: list[str], order: str = "i", gap: int = 4) -> DataFrame:
+    """(keys, word, state, text, first, last): decoded characters in words; CJK and other characters make words of their own, and so does a step of more than `gap` decoding columns."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    cjk = F.col("char").between("\u4e00", "\u9fff")
+    state = F.when(cjk, "cn").otherwise("en&num")
+    rows = chars.withColumn("_state", state).withColumn("_step", F.col("col") - F.lag("col").over(w))
+    new = F.when((F.col("_state") != F.lag("_state").over(w)) | (F.col("_step") > gap), 1).otherwise(0)
+    rows = rows.withColumn("_new", new).withColumn("word", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "char"))), lambda x: x["char"]), "")
+    return rows.groupBy(*keys, "word").agg(F.min("_state").alias("state"), text.alias("text"), F.min("col").alias("first"), F.max("col").alias("last"))
+
+
+# Punctuation that a formula and the text behind it both end up with.
+DOUBLED = ((",", ",，"), (".", ".。"), ("?", "?？"))
+
+
+def mended_formulas(parts: DataFrame, keys: list[str], order: str = "place") -> DataFrame:
+    """(keys, place, kind, text, x0, y0, x1, y1): lines of text and formulas without doubled punctuation and with numbers as tags.
+
+    An embedded formula loses its last sign if the text behind begins with the same; a number in
+    brackets behind an isolated formula, beside it by more than 0.9 of the height, becomes its tag.
+    Parts without text go.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    after, last = F.lead("text").over(w), F.right("text", F.lit(1))
+    text_next, before = F.lead("kind").over(w) == "text", F.lag("kind").over(w)
+    alike = F.lit(False)
+    for sign, same in DOUBLED:
+        alike = alike | ((last == sign) & F.lit(same).contains(F.left(after, F.lit(1))) & (after != ""))
+    rest = F.left("text", F.length("text") - 1)
+    doubled = (F.col("kind") == "embedding") & text_next & alike & ~rest.endswith("\\") & ~rest.endswith("\\end")
+    beside = lambda step: G.side_overlap(F.col("y0"), F.col("y1"), step("y0").over(w), step("y1").over(w)) > 0.9
+    number = r"^[（(]\d+(\.\d+)*[）)]$"
+    tagged = (F.col("kind") == "isolated") & text_next & after.rlike(number) & beside(F.lead)
+    gone = (F.col("kind") == "text") & (before == "isolated") & F.col("text").rlike(number) & beside(F.lag)
+    tag = F.concat("text", F.lit(" \\tag{"), F.substr(after, F.lit(2), F.length(after) - 2), F.lit("}"))
+    text = F.when(doubled, rest).when(tagged, tag).when(gone, "").otherwise(F.col("text"))
+    made = parts.select(*keys, order, "kind", text.alias("_text"), "x0", "y0", F.when(tagged, F.greatest("x1", F.lead("x1").over(w))).otherwise(F.col("x1")).alias("x1"), "y1")
+    return made.where(F.trim("_text") != "").withColumnRenamed("_text", "text")
+
+
+def merged_borders(lines: DataFrame, keys: list[str], near: float, id_col: str = "box_id") -> DataFrame:
+    """(keys, line, at, lo, hi, n): borders (at, lo, hi) joined that are within `near` of each other and whose stretches overlap or nearly do, also through others, at their mean."""
+    a, b = lines.alias("l"), lines.alias("r")
+    on = (F.abs(F.col("l.at") - F.col("r.at")) <= near) & (F.col(f"l.{id_col}") < F.col(f"r.{id_col}")) & (G.interval_iou(F.col("l.lo"), F.col("l.hi"), F.col("r.lo"), F.col("r.hi")) > -0.1)
+    for k in keys:
+        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    edges = a.join(b, on).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{id_col}").alias("a"), F.col(f"r.{id_col}").alias("b"))
+    found = B.components(edges, lines.select(*keys, F.col(id_col).alias("id")), keys).withColumnRenamed("id", id_col)
+    return lines.join(found, [*keys, id_col]).groupBy(*keys, F.col("component").alias("line")).agg(F.avg("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
 def bands(tables: DataFrame, keys: list[str], page_top: float, page_bottom: float) -> DataFrame:
     """(keys, band, lo, hi): the stretches of pages between tables, from whole coordinates; pages without tables have none."""
     lo, hi = F.floor("y0").cast("long"), F.floor("y1").cast("long")

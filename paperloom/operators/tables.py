@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -148,3 +148,10 @@ def crossing_cells(cells: DataFrame, keys: list[str], row_head: str, column_head
     parts = full_width(cells, keys).alias("w")
     free = found.join(parts, on([same("r", "w"), F.col("w.r0") >= F.col("c.r1"), F.col("w.r1") <= F.col("m.r0")]), "left_anti")
     return free.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"r.{cell}").alias("row_head"), F.col(f"c.{cell}").alias("column_head"), F.col(f"m.{cell}").alias("cell"))
+
+
+def joins_across(above: Column, below: Column, over: Column, under: Column, share: float = 0.3) -> Column:
+    """Whether the last cell of a table's column and the first one of its continuation are one: if either is blank, or if both together are nearer to the cell over (else under) them than the one next to it is, and by less than a share of their length."""
+    both = F.concat(above, below)
+    nearer = lambda cell, own: (F.levenshtein(both, cell) < share * F.length(both)) & (F.levenshtein(both, cell) < F.levenshtein(own, cell))
+    return (above == "") | (below == "") | F.when(over.isNotNull(), nearer(over, above)).otherwise(F.coalesce(nearer(under, below), F.lit(False)))

@@ -9,6 +9,7 @@ from .functions import geometry as G
 from .functions import latex as X
 from .functions import text as T
 from .operators import boxes as B
+from .operators import hypertxt as H
 from .operators import matching as A
 from .operators import metrics as M
 from .operators import regions as P
@@ -336,3 +337,71 @@ def table_scores(spark, sf):
     """HTML tables compared with themselves with one text changed."""
     pages = TB.to_html(_cells(spark, sf), ["table_id"])
     return A.table_scores(pages.withColumn("pred", F.regexp_replace("html", "p1", "q")), "pred", "html").select("table_id", "similarity")
+
+
+@query(f"WITH {SIZES}, tail AS (SELECT doc_id, page_no, arg_max(size, word_no) AS s, arg_max(bottom, word_no) AS bottom, trim(string_agg(text, ' ' ORDER BY word_no)) AS number FROM sized WHERE (doc_id, page_no, line_no) IN (SELECT doc_id, page_no, max(line_no) FROM sized GROUP BY ALL) GROUP BY ALL), big AS (SELECT doc_id, page_no, max(size) AS largest FROM sized GROUP BY ALL) SELECT doc_id, page_no, number FROM tail JOIN sizes USING (doc_id, page_no) JOIN big USING (doc_id, page_no) WHERE bottom > 0.9 * 100 - 5 AND number <> '' AND length(replace(number, ' ', '')) <= 9 AND NOT regexp_matches(number, '[^{P.PAGE_NUMBER}]') AND s <= second_size + 2 AND s < largest - 0.7".replace("FROM layout)", "FROM (SELECT * REPLACE (CASE WHEN (line_no + 1) % 50 = 0 OR line_no % 3 = 0 THEN regexp_replace(text, '[^0-9 ]', '1', 'g') ELSE text END AS text) FROM layout))"))
+def page_number_candidates(spark, sf):
+    """Pages of 100 units; every third line made of digits."""
+    marked = F.when(((F.col("line_no") + 1) % 50 == 0) | (F.col("line_no") % 3 == 0), F.regexp_replace("text", "[^0-9 ]", "1")).otherwise(F.col("text"))
+    return P.page_numbers(_sized(spark, sf).withColumn("text", marked), ["doc_id", "page_no"], 100.0)
+
+
+COLUMNS = "cols AS (SELECT image_id, x0, x1, CASE WHEN box_id % 3 = 0 THEN 'full column' WHEN box_id % 3 = 1 THEN 'sub column' ELSE 'other' END AS kind, y0, box_id FROM boxes WHERE side = 'F'), numbered AS (SELECT *, CASE kind WHEN 'sub column' THEN row_number() OVER (PARTITION BY image_id, kind = 'sub column' ORDER BY x0, y0, box_id) - 1 WHEN 'full column' THEN -1 ELSE -2 END::INTEGER AS column_no FROM cols)"
+
+
+@query(f"WITH {BOXES}, {COLUMNS}, m AS (SELECT a.image_id, a.box_id, max((round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) / greatest(1, least(a.x1 - a.x0, b.x1 - b.x0)), 6), column_no))[2] AS c FROM boxes a JOIN numbered b ON a.image_id = b.image_id AND a.x0 < b.x1 AND b.x0 < a.x1 WHERE a.side = 'O' GROUP BY ALL) SELECT b.image_id, b.box_id, coalesce(c, 0)::INTEGER AS column_no FROM boxes b LEFT JOIN m USING (image_id, box_id) WHERE b.side = 'O'")
+def element_columns(spark, sf):
+    b = _boxes(spark, sf)
+    kind = F.when(F.col("box_id") % 3 == 0, "full column").when(F.col("box_id") % 3 == 1, "sub column").otherwise("other")
+    columns = P.numbered_columns(b.where("side = 'F'").withColumn("kind", kind), ["image_id"])
+    return P.column_of(b.where("side = 'O'"), columns, ["image_id"]).select("image_id", "box_id", "column_no")
+
+
+CHARS = "chars AS (SELECT p_partkey, i, substring(t, i::INTEGER, 1) AS char, i * 3 + CASE WHEN i % 4 = 0 THEN 0 ELSE -(i % 4) END * 1 + CASE WHEN i > 9 THEN 5 ELSE 0 END AS col FROM (SELECT p_partkey, t, unnest(generate_series(1, length(t))) AS i FROM (SELECT p_partkey, '中文' || p_name || '字' AS t FROM part)))"
+
+
+@query(f"WITH {CHARS}, b AS (SELECT *, char BETWEEN '一' AND '鿿' AS cn, col - lag(col) OVER w AS step, lag(char BETWEEN '一' AND '鿿') OVER w AS pcn FROM chars WINDOW w AS (PARTITION BY p_partkey ORDER BY i)), g AS (SELECT *, sum(CASE WHEN cn <> pcn OR step > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS word FROM b) SELECT p_partkey, word::BIGINT AS word, CASE WHEN bool_or(cn) THEN 'cn' ELSE 'en&num' END AS state, string_agg(char, '' ORDER BY i) AS text, min(col) AS first, max(col) AS last FROM g GROUP BY ALL HAVING true")
+def decoded_words(spark, sf):
+    text = F.concat(F.lit("中文"), "p_name", F.lit("字"))
+    chars = R.table(spark, sf, "part").select("p_partkey", F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("i", "char")).withColumn("i", F.col("i") + 1)
+    place = F.col("i") * 3 - F.col("i") % 4 + F.when(F.col("i") > 9, 5).otherwise(0)
+    return P.words_of_codes(chars.withColumn("col", place), ["p_partkey"])
+
+
+@query("WITH c AS (SELECT p_partkey, p_name AS above, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS below, CASE WHEN p_partkey % 2 = 0 THEN p_name || p_brand END AS over_, p_type AS under_ FROM part) SELECT p_partkey, above = '' OR below = '' OR CASE WHEN over_ IS NOT NULL THEN levenshtein(above || below, over_) < 0.3 * length(above || below) AND levenshtein(above || below, over_) < levenshtein(above, over_) ELSE levenshtein(above || below, under_) < 0.3 * length(above || below) AND levenshtein(above || below, under_) < levenshtein(below, under_) END AS joined FROM c")
+def joined_cells(spark, sf):
+    cell = R.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("above"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand")).alias("below"), F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", "p_brand")).alias("over"), F.col("p_type").alias("under"))
+    return cell.select("p_partkey", TB.joins_across(*map(F.col, ("above", "below", "over", "under"))).alias("joined"))
+
+
+@query("SELECT p_partkey AS page, p_size AS line, round(coalesce(max(CASE WHEN n.n_name IS NOT NULL THEN 1 - levenshtein(p_name, n_name) / greatest(length(p_name), length(n_name)) END), 0), 6) AS similarity FROM part LEFT JOIN nation n ON p_size % 25 = n_regionkey GROUP BY ALL")
+def best_references(spark, sf):
+    lines = R.table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.col("p_size").alias("line"), F.col("p_name").alias("text"), (F.col("p_size") % 25).alias("k"))
+    names = R.table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("text"))
+    return M.best_reference(lines, names, ["k"], "page").join(lines.select("page", "line"), "page").select("page", "line", "similarity")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS truth, coalesce(l.flag, '') AS pred FROM orders LEFT JOIN (SELECT l_orderkey, min(l_returnflag) AS flag FROM lineitem WHERE l_quantity > 30 GROUP BY ALL) l ON o_orderkey = l_orderkey")
+def truth_with_predictions(spark, sf):
+    pred = R.table(spark, sf, "lineitem").where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_returnflag").alias("text"))
+    return M.with_truth(pred, R.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("text")), "o_orderkey")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE turn % 2 = 0 AND (conv_id, turn) NOT IN (SELECT conv_id, max(turn) FROM conversations GROUP BY conv_id)")
+def scoped_turns(spark, sf):
+    turns = R.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return H.in_scope(turns, turns.where("turn % 2 = 0"), turns.groupBy("conv_id").agg(F.max("turn").alias("turn")), ("conv_id", "turn"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(least(l_tax * 0.5 - l_discount * sqrt(3) / 2, l_tax * 0.5), 6) AS x0, round(l_tax * sqrt(3) / 2, 6) AS y0 FROM lineitem WHERE l_tax > 0")
+def turned_boxes(spark, sf):
+    """Boxes from (tax, 0) to (tax, discount), turned by 60 degrees about the origin."""
+    rows = R.table(spark, sf, "lineitem").where("l_tax > 0")
+    b = G.rotated_box(G.Box(F.col("l_tax"), F.lit(0.0), F.col("l_tax"), F.col("l_discount")), 0.0, 0.0, F.lit(60.0))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(b.x0, 6).alias("x0"), F.round(b.y0, 6).alias("y0"))
+
+
+@query()
+def merged_borders(spark, sf):
+    lines = _boxes(spark, sf).select("image_id", "box_id", F.col("y0").alias("at"), F.col("x0").alias("lo"), F.col("x1").alias("hi"))
+    return P.merged_borders(lines, ["image_id"], 3.0)

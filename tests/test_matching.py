@@ -117,3 +117,26 @@ def test_tiles_give_the_same_pairs(spark):
 @pytest.mark.parametrize("name", ["detection_matches", "polygons_without_overlap", "merged_stacks", "roomier_boxes", "wider_texts", "box_stacks", "collated_lines", "table_scores"])
 def test_queries_without_sql_run(spark, name):
     assert getattr(Q, name)(spark, SF).count() > 50
+
+
+def test_mended_formulas_and_merged_borders(spark):
+    from paperloom.operators import regions as P
+
+    rows = [(1, 0, "text", "a"), (1, 1, "embedding", "x,"), (1, 2, "text", "， b"), (1, 3, "embedding", "y\\."), (1, 4, "text", ". c"), (2, 0, "isolated", "z"), (2, 1, "text", "(1.2)"), (3, 0, "isolated", "z"), (3, 1, "text", "(1) no"), (3, 2, "text", " ")]
+    df = spark.createDataFrame([(line, place, kind, text, 10.0 * place, 0.0, 10.0 * place + 9, 10.0) for line, place, kind, text in rows], "line int, place int, kind string, text string, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.line, r.place): (r.text, r.x1) for r in P.mended_formulas(df, ["line"]).collect()}
+    assert got == {(1, 0): ("a", 9), (1, 1): ("x", 19), (1, 2): ("， b", 29), (1, 3): ("y\\.", 39), (1, 4): (". c", 49), (2, 0): ("z \\tag{1.2}", 19), (3, 0): ("z", 9), (3, 1): ("(1) no", 19)}
+    lines = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0), (1, 2, 2.0, 9.0, 20.0), (1, 3, 4.0, 19.0, 30.0), (1, 4, 2.0, 60.0, 70.0), (2, 1, 0.0, 0.0, 1.0)], "image_id int, box_id int, at double, lo double, hi double")
+    merged = sorted((r.image_id, r.line, r.at, r.lo, r.hi, r.n) for r in P.merged_borders(lines, ["image_id"], 2.0).collect())
+    assert merged == [(1, 1, 2.0, 0.0, 30.0, 3), (1, 4, 2.0, 60.0, 70.0, 1), (2, 1, 0.0, 0.0, 1.0, 1)]
+
+
+def test_corners_and_views(spark):
+    from paperloom.functions import geometry as G
+    from paperloom.operators import hypertxt as H
+
+    df = spark.createDataFrame([([(10.0, 9.0), (0.0, 1.0), (9.0, 0.0), (1.0, 10.0)],)], "p array<struct<x: double, y: double>>")
+    assert [tuple(p) for p in df.select(G.ordered_corners(F.col("p"))).first()[0]] == [(0, 1), (9, 0), (10, 9), (1, 10)]
+    elements = spark.createDataFrame([(1, 0, "title", "T", 0), (1, 1, "text", "a.", 1), (1, 2, "text", "b.", 1)], "doc_id int, idx int, type string, text string, pid int")
+    keys = spark.createDataFrame([(1, 1), (1, 7)], "doc_id int, key int")
+    assert sorted((r.key, r.text) for r in H.text_of(elements, "paragraph", keys).collect()) == [(1, "a.b."), (7, "")]
