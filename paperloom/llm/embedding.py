@@ -204,7 +204,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     dealt = found.join(sizes, "leaf").select("leaf", "id", F.inline(pairs)).join(classes.select("id", "v", "copies").join(of_vector, "id"), "id")
     near = cut(dealt.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "id long, root long, near long"), "forest-links")
     comp = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")), "forest-components")
-    least = classes.select("id", "least").join(comp, "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    comp = cut(comp, "forest-components")
+    least = cut(classes.select("id", "least").join(comp, "id").groupBy("component").agg(F.min("least").alias("component_id")), "forest-least")
     counted = near.groupBy("id").agg(F.sum("near").alias("others"))
     linked = comp.join(least, "component").select("id", "component_id").join(counted, "id", "left")
     by_class = classes.join(linked, "id", "left").select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))

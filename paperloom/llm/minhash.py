@@ -252,7 +252,8 @@ def _rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     if not more.isEmpty():
         comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "minhash-components")
     comp = comp.withColumnRenamed("id", "v")
-    least = classes.select("v", "id").join(comp, "v").groupBy("component").agg(F.min("id").alias("least"))
+    # Written first: a join of two tables can be split where one component holds many classes.
+    least = cut(classes.select("v", "id").join(comp, "v").groupBy("component").agg(F.min("id").alias("least")), "minhash-least")
     of_class = cut(classes.select("v", "id", "digest").join(comp.join(least, "component").select("v", "least"), "v", "left").select("digest", F.coalesce("least", "id").alias("component_id")), "minhash-classes")
     rows = sig.select("id", "same", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).dropDuplicates(["id", "same"])
     out = rows.where("digest is not null").join(of_class, "digest").select("id", "same", "n_shingles", "component_id")
