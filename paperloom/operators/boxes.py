@@ -75,19 +75,22 @@ def uncontained(boxes: DataFrame, keys: list[str], share: float, id_col: str = "
     return pairs(boxes, boxes, keys, "left_anti", larger & (F.round(G.share_of(b, a), 6) >= share))
 
 
-def nms(boxes: DataFrame, keys: list[str], least: float, most: int | None = None, label: str | None = "label", id_col: str = "box_id", score: str = "score") -> DataFrame:
-    """Greedy suppression: by falling score (ties: smaller id), a box goes if a kept one of its label overlaps it by `least`.
+def nms(boxes: DataFrame, keys: list[str], least: float, most: int | None = None, label: str | None = "label", id_col: str = "box_id", score: str = "score", measure: str = "iou", keep_higher: bool = True) -> DataFrame:
+    """Greedy suppression: by falling score (ties: smaller id; rising without keep_higher), a box goes if a kept one of its label overlaps it by `least`.
+
+    The measure is the IoU or the share of the kept box ('kept') or of the later one ('own') that overlaps.
 
     Runs as a fold over each image's sorted boxes within the engine; images bound the arrays.
     """
     fields = [id_col, score, "x0", "y0", "x1", "y1"] + ([label] if label else [])
-    row = F.struct((-F.col(score)).alias("_order"), *[F.col(c) for c in fields])
+    row = F.struct((-F.col(score) if keep_higher else F.col(score)).alias("_order"), *[F.col(c) for c in fields])
     items = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("items"))
+    measures = {"iou": G.iou, "kept": lambda a, b: G.share_of(b, a), "own": G.share_of}
     empty = F.slice("items", 1, 0)
 
     def hit(kept, new):
         a, b = G.Box(kept["x0"], kept["y0"], kept["x1"], kept["y1"]), G.Box(new["x0"], new["y0"], new["x1"], new["y1"])
-        near = F.round(G.iou(a, b), 6) >= least
+        near = F.round(measures[measure](a, b), 6) >= least
         return near & (kept[label] == new[label]) if label else near
 
     folded = F.aggregate("items", empty, lambda kept, new: F.when(F.exists(kept, lambda k: hit(k, new)), kept).otherwise(F.array_append(kept, new)))

@@ -326,6 +326,77 @@ def implied_rows(words: DataFrame, keys: list[str], least_words: int, tolerance:
     return tops.unionByName(extent.select(*keys, F.col("_b").alias("y"), "x0", "x1"))
 
 
+def implied_columns(words: DataFrame, keys: list[str], least_words: int, tolerance: float = 1.0) -> DataFrame:
+    """(keys, x, y0, y1): vertical edges left of clusters of `least_words` words with the same left, right or middle place, and one right of all.
+
+    Clusters count from the largest on (left places first); one whose box touches that of an earlier one goes.
+    """
+
+    def fold(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> list[np.ndarray]:
+        clusters = []
+        for at in (x0, x1, (x0 + x1) / 2):
+            order = np.argsort(at, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(at[order]) > tolerance) + 1)
+            clusters += [p for p in parts if len(p) >= least_words]
+        kept: list[tuple] = []
+        for p in sorted(clusters, key=len, reverse=True):
+            b = (x0[p].min(), y0[p].min(), x1[p].max(), y1[p].max())
+            sides = [(min(b[2], c[2]) - max(b[0], c[0]), min(b[3], c[3]) - max(b[1], c[1])) for c in kept]
+            if not any(w >= 0 and h >= 0 and w + h > 0 for w, h in sides):
+                kept.append(b)
+        if not kept:
+            return [np.zeros(0)] * 3
+        x = np.array([*sorted(b[0] for b in kept), max(b[2] for b in kept)], float)
+        return [x, np.full(len(x), min(b[1] for b in kept), float), np.full(len(x), max(b[3] for b in kept), float)]
+
+    return by_group(words, keys, ["top", "x0", "x1"], ["x0", "x1", "top", "bottom"], fold, "x double, y0 double, y1 double")
+
+
+STRATEGIES = ("lines", "lines_strict", "text", "explicit")
+
+
+def table_edges(edges: DataFrame, words: DataFrame, keys: list[str], vertical: str = "lines", horizontal: str = "lines", explicit: DataFrame | None = None, least_words: tuple[int, int] = (3, 1)) -> DataFrame:
+    """(keys, orientation, x0, x1, top, bottom): edges of tables by a strategy for each orientation, and the explicit ones in any case.
+
+    lines: all edges; lines_strict: those of drawn lines only (kind 'line'); text: those that words imply
+    (least_words upright and level); explicit: none beside the explicit ones. Equal edges come once.
+    """
+    columns = [*keys, "orientation", "x0", "x1", "top", "bottom"]
+    parts = [] if explicit is None else [explicit.select(*columns)]
+    for orientation, strategy in (("v", vertical), ("h", horizontal)):
+        if strategy not in STRATEGIES:
+            raise ValueError(f"a strategy is one of {STRATEGIES}")
+        if strategy.startswith("lines"):
+            own = edges.where(F.col("orientation") == orientation)
+            parts.append((own.where("kind = 'line'") if strategy == "lines_strict" else own).select(*columns))
+        elif strategy == "text" and orientation == "h":
+            parts.append(implied_rows(words, keys, least_words[1]).select(*keys, F.lit("h").alias("orientation"), "x0", "x1", F.col("y").alias("top"), F.col("y").alias("bottom")))
+        elif strategy == "text":
+            parts.append(implied_columns(words, keys, least_words[0]).select(*keys, F.lit("v").alias("orientation"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y0").alias("top"), F.col("y1").alias("bottom")))
+    if not parts:
+        return edges.select(*columns).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*keys, "orientation", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")]).distinct()
+
+
+def assigned_columns(elements: DataFrame, columns: DataFrame, keys: list[str], least: float = 0.1, id_col: str = "box_id") -> DataFrame:
+    """elements with the id of the column that holds the largest share of their area (ties: the smaller id) if that is above `least`, else null."""
+    a, b = G.box("l"), G.box("r")
+    held = F.round(G.share_of(b, a), 6)
+    best = B.pairs(elements, columns, keys, condition=G.touches(a, b)).where(held > least).groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{id_col}").alias(id_col)).agg((-F.max(F.struct(held.alias("h"), (-F.col(f"r.{id_col}")).alias("i")))["i"]).alias("column_id"))
+    return elements.join(best, [*keys, id_col], "left")
+
+
+def span_texts(spans: DataFrame, keys: list[str], without_superscripts: bool = True) -> DataFrame:
+    """(keys, text): spans in the order of block, line and place, joined by blanks; raised whole numbers are left out. Groups without another span are not returned."""
+    kept = spans.where(~(F.coalesce(F.col("raised"), F.lit(False)) & F.col("text").rlike(r"^\s*[+-]?\d+\s*$"))) if without_superscripts else spans
+    order = lambda *c: F.array_sort(F.collect_list(F.struct(*c, "text")))
+    lines = kept.groupBy(*keys, "block", "line").agg(F.trim(F.array_join(F.transform(order("place"), lambda x: x["text"]), " ")).alias("text"))
+    return lines.groupBy(*keys).agg(F.trim(F.array_join(F.transform(order("block", "line"), lambda x: x["text"]), " ")).alias("text"))
+
+
 def dominant_angle(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, angle): upper median of the first sides' angles of boxes three times as long as high, else of the others. Corners are x0..x2, y0..y2."""
     side = lambda i, j: F.sqrt(F.pow(F.col(f"x{j}") - F.col(f"x{i}"), 2) + F.pow(F.col(f"y{j}") - F.col(f"y{i}"), 2))

@@ -405,3 +405,34 @@ def turned_boxes(spark, sf):
 def merged_borders(spark, sf):
     lines = _boxes(spark, sf).select("image_id", "box_id", F.col("y0").alias("at"), F.col("x0").alias("lo"), F.col("x1").alias("hi"))
     return P.merged_borders(lines, ["image_id"], 3.0)
+
+
+@query(f"WITH {BOXES}, e AS (SELECT image_id, box_id % 2 = 0 AS v, box_id % 3 = 0 AS line, x0, CASE WHEN box_id % 2 = 0 THEN x0 ELSE x1 - 5 END AS x1, y0 AS top, CASE WHEN box_id % 2 = 0 THEN y1 - 5 ELSE y0 END AS bottom FROM boxes), w AS (SELECT image_id, x0, x1, y0 AS top, y1 AS bottom FROM boxes), g AS (SELECT *, sum(CASE WHEN top - p <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY top RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM (SELECT *, lag(top) OVER (PARTITION BY image_id ORDER BY top) AS p FROM w)), r AS (SELECT image_id, g, min(top) AS y, max(bottom) AS b, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY ALL HAVING count(*) >= 2), x AS (SELECT image_id, min(x0) AS x0, max(x1) AS x1, max(b) AS b FROM r GROUP BY ALL) SELECT DISTINCT image_id, 'v' AS orientation, x0, x1, top, bottom FROM e WHERE v AND line UNION SELECT image_id, 'h', x.x0, x.x1, y, y FROM r JOIN x USING (image_id) UNION SELECT image_id, 'h', x0, x1, b, b FROM x UNION SELECT image_id, 'h', 0, 100, 0, 0 FROM boxes")
+def table_edge_strategies(spark, sf):
+    b = _boxes(spark, sf)
+    border = b.select("image_id").distinct().select("image_id", F.lit("h").alias("orientation"), F.lit(0).alias("x0"), F.lit(100).alias("x1"), F.lit(0).alias("top"), F.lit(0).alias("bottom"))
+    words = b.select("image_id", "x0", "x1", F.col("y0").alias("top"), F.col("y1").alias("bottom"))
+    return P.table_edges(_edges(spark, sf), words, ["image_id"], "lines_strict", "text", border, (3, 2))
+
+
+@query(f"WITH {BOXES}, m AS (SELECT a.image_id, a.box_id, -max(({HELD}, -b.box_id))[2] AS c FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.side = 'O' AND b.side = 'F' AND {HELD} > 0.1 GROUP BY ALL) SELECT b.image_id, b.box_id, c AS column_id FROM boxes b LEFT JOIN m USING (image_id, box_id) WHERE b.side = 'O'")
+def assigned_columns(spark, sf):
+    b = _boxes(spark, sf)
+    return P.assigned_columns(b.where("side = 'O'"), b.where("side = 'F'"), ["image_id"]).select("image_id", "box_id", "column_id")
+
+
+@query("WITH s AS (SELECT l_suppkey, l_orderkey AS line, l_linenumber AS place, l_partkey AS p, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey::VARCHAR ELSE l_returnflag END AS text, l_linenumber % 2 = 1 AS raised FROM lineitem), k AS (SELECT * FROM s WHERE NOT (raised AND regexp_matches(text, '^[0-9]+$'))), l AS (SELECT l_suppkey, line, trim(string_agg(text, ' ' ORDER BY place, text)) AS text FROM k GROUP BY ALL) SELECT l_suppkey, trim(string_agg(text, ' ' ORDER BY line)) AS text FROM l GROUP BY ALL")
+def span_texts(spark, sf):
+    text = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_partkey").cast("string")).otherwise(F.col("l_returnflag"))
+    spans = R.table(spark, sf, "lineitem").select("l_suppkey", F.lit(0).alias("block"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("place"), text.alias("text"), (F.col("l_linenumber") % 2 == 1).alias("raised"))
+    return P.span_texts(spans, ["l_suppkey"])
+
+
+@query()
+def word_implied_columns(spark, sf):
+    return P.implied_columns(R.word_layout(_docs(spark, sf)), ["doc_id", "page_no"], 4)
+
+
+@query()
+def nms_by_own_share(spark, sf):
+    return B.nms(_boxes(spark, sf), ["image_id"], 0.05, label=None, measure="own", keep_higher=False).select("image_id", "box_id", "score")

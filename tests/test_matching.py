@@ -140,3 +140,25 @@ def test_corners_and_views(spark):
     elements = spark.createDataFrame([(1, 0, "title", "T", 0), (1, 1, "text", "a.", 1), (1, 2, "text", "b.", 1)], "doc_id int, idx int, type string, text string, pid int")
     keys = spark.createDataFrame([(1, 1), (1, 7)], "doc_id int, key int")
     assert sorted((r.key, r.text) for r in H.text_of(elements, "paragraph", keys).collect()) == [(1, "a.b."), (7, "")]
+
+
+def test_implied_columns_and_strategies(spark):
+    from paperloom.operators import regions as P
+
+    words = spark.createDataFrame([(1, 0.0, 9.0, 0.0, 9.0), (1, 0.5, 7.0, 10.0, 19.0), (1, 1.0, 12.0, 20.0, 29.0), (1, 30.0, 40.0, 0.0, 9.0), (1, 31.0, 45.0, 10.0, 19.0), (1, 60.0, 70.0, 0.0, 9.0)], "p int, x0 double, x1 double, top double, bottom double")
+    assert sorted((r.x, r.y0, r.y1) for r in P.implied_columns(words, ["p"], 2).collect()) == [(0, 0, 29), (30, 0, 29), (45, 0, 29)]
+    assert P.implied_columns(words, ["p"], 9).count() == 0
+    edges = spark.createDataFrame([(1, "line", "v", 5.0, 5.0, 0.0, 9.0), (1, "rect", "v", 6.0, 6.0, 0.0, 9.0), (1, "rect", "h", 0.0, 9.0, 3.0, 3.0)], "p int, kind string, orientation string, x0 double, x1 double, top double, bottom double")
+    count = lambda v, h, x=None: P.table_edges(edges, words, ["p"], v, h, x, (2, 2)).groupBy("orientation").count().orderBy("orientation").collect()
+    assert [tuple(r) for r in count("lines", "lines")] == [("h", 1), ("v", 2)] and [tuple(r) for r in count("lines_strict", "text")] == [("h", 3), ("v", 1)]
+    assert [tuple(r) for r in count("text", "explicit")] == [("v", 3)] and [tuple(r) for r in count("explicit", "explicit", edges)] == [("h", 1), ("v", 2)]
+    assert P.table_edges(edges, words, ["p"], "explicit", "explicit").count() == 0
+    with pytest.raises(ValueError):
+        P.table_edges(edges, words, ["p"], "other")
+
+
+def test_nms_measures(spark):
+    df = boxes(spark, [(0, 0, 10, 10), (0, 0, 10, 40), (50, 0, 60, 10)]).withColumn("score", 1.0 - F.col("box_id") / 10)
+    kept = lambda **k: sorted(r.box_id for r in B.nms(df, ["image_id"], 0.5, label=None, **k).collect())
+    assert kept() == [0, 1, 2] and kept(measure="kept") == [0, 2] and kept(measure="own") == [0, 1, 2]
+    assert kept(measure="own", keep_higher=False) == [1, 2] and kept(measure="kept", keep_higher=False) == [0, 1, 2]
