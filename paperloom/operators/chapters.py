@@ -16,7 +16,7 @@ from .ordered import as_of
 class Rule(NamedTuple):
     name: str
     pattern: str
-    numeral: str  # chinese, digits, upper, lower
+    numeral: str  # chinese, digits, upper, lower, none
 
 
 #: Heading rules in order; the first match counts. The pattern's group is the number.
@@ -29,11 +29,19 @@ RULES = (
     Rule("chapter", r"^Chapter\s+(\d+)", "digits"),
     Rule("third", r"^\d+\.\d+\.(\d+)(?!\.?\d)", "digits"),
     Rule("second", r"^\d+\.(\d+)(?!\.?\d)", "digits"),
-    Rule("list", r"^(\d+)\s*[、.]", "digits"),
+    Rule("list", r"^(\d+)\s*[、.．]", "digits"),
     Rule("paren", r"^[（(](\d+)[）)]", "digits"),
     Rule("half_paren", r"^(\d+)[）)]", "digits"),
     Rule("letter", r"^([A-Z])\s*[、.]", "upper"),
     Rule("small_letter", r"^([a-z])\s*[、.)）]", "lower"),
+    Rule("portion", r"^第\s*([零一二三四五六七八九十百千]+)\s*部分", "chinese"),
+    Rule("half_paren_cn", r"^([零一二三四五六七八九十百千]+)[）)]", "chinese"),
+    Rule("space_cn", r"^([零一二三四五六七八九十百千]+)\s+\S", "chinese"),
+    Rule("attachment", r"^附件([一二三四五六七八九十]{1,3})", "chinese"),
+    # Headings without a number.
+    Rule("contents", r"^(目录)", "none"),
+    Rule("notice", r"^((?:特别|重要|重大)(?:风险|内容|事项)提示|声明|释义)", "none"),
+    Rule("customized", r"^(调查人员声明|实地调查|外围信息采集及其他方式|营销背景)", "none"),
 )
 LONGEST_TITLE = 40
 DEEPEST = 6
@@ -50,7 +58,7 @@ def number_of(text: Column, rule: Column, rules=RULES) -> Column:
     out = F.lit(None).cast("int")
     for i, r in enumerate(rules):
         group = F.regexp_extract(text, r.pattern, 1)
-        value = chinese_number(group) if r.numeral == "chinese" else F.try_to_number(group, F.lit("999999999")).cast("int") if r.numeral == "digits" else F.ascii(group)
+        value = chinese_number(group) if r.numeral == "chinese" else F.try_to_number(group, F.lit("999999999")).cast("int") if r.numeral == "digits" else F.lit(None).cast("int") if r.numeral == "none" else F.ascii(group)
         out = F.when(rule == i, value).otherwise(out)
     return out
 

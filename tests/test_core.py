@@ -73,7 +73,7 @@ def test_nms_is_a_fixpoint_and_agrees_with_a_loop(spark):
     assert boxes.nms(once, ["image_id"], 0.2).count() == len(kept)
 
 
-def test_reading_order_golden(spark):
+def test_reading_order_of_clear_lines(spark):
     lines = [[11, 12, 13, 14], [21, 22, 23], [31], [41, 42]]
     rows = [(1, b, 20.0 * k, 30.0 * i + k % 2, 20.0 * k + 15, 30.0 * i + 20 + k % 2) for i, line in enumerate(lines) for k, b in enumerate(line)]
     random.Random(1).shuffle(rows)
@@ -82,6 +82,12 @@ def test_reading_order_golden(spark):
     assert [r.b for r in got] == lines
 
 
+def test_heading_rules(spark):
+    want = {"第三部分 总则": ("portion", 3), "目录": ("contents", None), "重大风险提示": ("notice", None), "附件二": ("attachment", 2), "3．范围": ("list", 3), "三）范围": ("half_paren_cn", 3), "十二 范围": ("space_cn", 12), "营销背景说明": ("customized", None), "第二章 x": ("part", 2), "一、x": ("list_cn", 1), "一起": (None, None), "": (None, None), None: (None, None)}
+    got = chapters.titled(spark.createDataFrame([(t,) for t in want], "text string")).collect()
+    assert {r.text: (r.rule_name, r.num) for r in got} == want
+
+
 def test_geometry_of_degenerate_boxes(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 2.0, 2.0, 2.0, 0.0, 4.0, 2.0)], "ax0 double, ay0 double, ax1 double, ay1 double, bx0 double, by0 double, bx1 double, by1 double")
     a, b = (G.box(names=tuple(f"{p}{n}" for n in ("x0", "y0", "x1", "y1"))) for p in "ab")
