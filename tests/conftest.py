@@ -1,3 +1,6 @@
+import shutil
+import tempfile
+
 import pytest
 
 from paperloom.session import session
@@ -5,7 +8,9 @@ from paperloom.session import session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+    folder = tempfile.mkdtemp(prefix="paperloom-tests-")  # one machine, so a local folder is shared
+    s = session("tests", "local[4]", spark__checkpoint__dir=folder, spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(folder, ignore_errors=True)
