@@ -254,3 +254,22 @@ def test_components_fail_rather_than_stop_early(spark):
     with pytest.raises(RuntimeError):
         boxes.components(edges, nodes, ["image_id"], rounds=2).collect()
     assert {r.component for r in boxes.components(edges, nodes, ["image_id"]).collect()} == {0}
+
+
+def test_box_components_in_one_shuffle(spark, tmp_path):
+    """Chains over Arrow batches, boxes that share an id, a box without an image."""
+    rng = random.Random(3)
+    rows = [(k % 9 if k % 9 < 8 else None, rng.randint(1, 90), rng.randint(0, 60), k % 3, float(rng.randint(1, 50)), 1.0, "A", "O") for k in range(300)]
+    rows += [(20, 5, 1007, 1, 9.0, 1.0, "A", "O"), (20, 6, 7, 1, 9.0, 1.0, "A", "O"), (None, 5, 7, 1, 9.0, 1.0, "A", "O"), (None, 5, 7, 1, 9.0, 1.0, "A", "O")]
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    pd.DataFrame(rows, columns=names).astype({"l_orderkey": "Int64"}).to_parquet(tmp_path / "lineitem.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = Q.box_components(spark, str(tmp_path))
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert normal(got.toPandas()) == normal(con.execute(Q.ORACLES["box_components"]).df())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
