@@ -33,31 +33,38 @@ def detection(truth: DataFrame, found: DataFrame, keys: list[str], least: float)
     return both.select("label", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("hmean"))
 
 
-#: Ranges of scores that a label's detections are dealt to.
-SCORE_RANGES = 128
+#: Ranges of scores that a label's detections are dealt to (2^7, for seven halvings), from so many of them on.
+SCORE_RANGES, RANGED_ROWS = 128, 100_000
 
 
 def average_precision(ranked: DataFrame, totals: DataFrame, label: str = "label") -> DataFrame:
     """AP from rows (label, score, id, hit) and (label, n): area under the falling envelope of precision.
 
-    A label's rows are dealt to ranges of scores between its quantiles; sums before and maxima behind
+    A large label's rows are dealt to ranges of scores between its quantiles; sums before and maxima behind
     a range come from a table of ranges, so no task holds a whole label. Equal scores share a range.
+    Rows run from the lowest score up, so that the envelope is a running maximum in the order of the sums.
     """
     shares = [k / SCORE_RANGES for k in range(1, SCORE_RANGES)]
-    cuts = ranked.groupBy(label).agg(F.percentile_approx("score", shares, 10_000).alias("_cuts"))
-    rows = ranked.join(cuts, label).withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")
-    before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = ranked.groupBy(label).agg(F.percentile_approx("score", shares, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+    cuts = cuts.where(F.col("_n") >= RANGED_ROWS).drop("_n")  # at most a row for each RANGED_ROWS, so small enough to broadcast
+    halves = F.array(*[F.lit(SCORE_RANGES >> k) for k in range(1, SCORE_RANGES.bit_length())])
+    up_to = F.aggregate(halves, F.lit(0), lambda at, s: at + F.when(F.get("_cuts", at + s - 1) <= F.col("score"), s).otherwise(0))
+    rows = ranked.join(F.broadcast(cuts), label, "left").withColumn("_range", F.lit(SCORE_RANGES - 1) - up_to)
+    rows = rows.select(label, F.coalesce("_range", F.lit(0)).alias("_range"), "score", "id", F.coalesce(F.col("hit").cast("int"), F.lit(0)).alias("hit"))
+    rows = rows.repartition(label, "_range")  # one shuffle for all that follows
+    through = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(label, "_range").agg(F.sum("hit").alias("_tp"), F.count(F.lit(1)).alias("_k"))
+    sums = sums.select(label, "_range", *[F.sum(c).over(through).alias(c) for c in ("_tp", "_k")])
+    upward = Window.partitionBy(label, "_range").orderBy(F.asc_nulls_first("score"), F.desc("id"))
+    so_far = upward.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_lower", F.sum("hit").over(so_far) - F.col("hit")).withColumn("_place", F.row_number().over(upward))
+    rows = rows.join(sums, [label, "_range"]).withColumn("precision", (F.col("_tp") - F.col("_lower")) / (F.col("_k") - F.col("_place") + 1))
+    rows = rows.withColumn("_own", F.max("precision").over(so_far))
     behind = Window.partitionBy(label).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    sums = rows.groupBy(label, "_range").agg(F.sum(F.col("hit").cast("int")).alias("_tp"), F.count(F.lit(1)).alias("_k"))
-    sums = sums.select(label, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_tp", "_k")])
-    order = Window.partitionBy(label, "_range").orderBy(F.desc("score"), "id")
-    tp = F.col("_tp") + F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.join(sums, [label, "_range"]).withColumn("precision", tp / (F.col("_k") + F.row_number().over(order)))
     tops = rows.groupBy(label, "_range").agg(F.max("precision").alias("_top")).select(label, "_range", F.max("_top").over(behind).alias("_behind"))
-    own = F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("_own", own).join(tops, [label, "_range"]).join(totals, label)
     envelope = F.greatest("_own", "_behind")
-    return rows.groupBy(label).agg(F.round(F.sum(F.when(F.col("hit"), envelope / F.col("n")).otherwise(0.0)), 6).alias("ap"))
+    parts = rows.join(tops, [label, "_range"]).groupBy(label, "_range").agg(F.sum(F.when(F.col("hit") == 1, envelope).otherwise(0.0)).alias("_part"))
+    return parts.groupBy(label).agg(F.sum("_part").alias("_part")).join(totals, label).select(label, F.round(F.col("_part") / F.col("n"), 6).alias("ap"))
 
 
 def confusion(pairs: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -273,3 +273,17 @@ def test_box_components_in_one_shuffle(spark, tmp_path):
         assert normal(got.toPandas()) == normal(con.execute(Q.ORACLES["box_components"]).df())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
+def test_average_precision_of_ranges(spark, tmp_path, monkeypatch):
+    """Many ranges, equal and null scores, repeated rows; no frame that looks ahead from every row."""
+    monkeypatch.setattr(metrics, "RANGED_ROWS", 50, raising=False)
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 40), rng.randint(1, 200), rng.randint(0, 60), k % 3, 2.0, rng.choice([None, *(float(x) for x in range(1, 150))]), "AN"[k % 20 == 0], "O") for k in range(900)]
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    pd.DataFrame(rows + rows[:30], columns=names).to_parquet(tmp_path / "lineitem.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = Q.ap_per_class(spark, str(tmp_path))
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert normal(got.toPandas()) == normal(con.execute(Q.ORACLES["ap_per_class"]).df())
