@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -308,7 +309,15 @@ class _Tables(HTMLParser):
             self.texts.append(data)
 
 
+#: Tables as to_html writes them; others are read by the parser.
+_CELL = r'<td(?: rowspan="([0-9]+)")?(?: colspan="([0-9]+)")?>([^<&]*)</td>'
+_PLAIN = re.compile(rf"<table>(?:<tr>(?:{_CELL})*</tr>)*</table>")
+_CELLS, _ROWS = re.compile(_CELL), re.compile("<tr>(.*?)</tr>", re.S)
+
+
 def table_tree(page: str | None) -> tuple:
+    if page and _PLAIN.fullmatch(page):
+        return "table", [("tr", [(("td", int(r or 1), int(c or 1), t), []) for r, c, t in _CELLS.findall(row)]) for row in _ROWS.findall(page)]
     reader = _Tables()
     reader.feed(page or "")
 
@@ -319,21 +328,72 @@ def table_tree(page: str | None) -> tuple:
     return plain(reader.root)
 
 
+def _aligned_cost(x: tuple, y: tuple, rename) -> float | None:
+    """Cost of renaming every node of x to the one in its place in y; None if their shapes differ."""
+    if len(x[1]) != len(y[1]):
+        return None
+    total = 0.0
+    for a, b in zip(x[1], y[1]):
+        cost = _aligned_cost(a, b, rename)
+        if cost is None:
+            return None
+        total += cost
+    return total + rename(x[0], y[0])
+
+
 def table_similarity(a: str | None, b: str | None, structure_only: bool = False) -> float:
-    """1 - tree edit distance of two HTML tables over the larger number of nodes; cells of equal spans cost the share of their text that differs."""
+    """1 - tree edit distance of two HTML tables over the larger number of nodes; cells of equal spans cost the share of their text that differs.
+
+    In trees of one shape any edit besides renaming in place deletes and inserts a node at least, at a
+    cost of 2, so a cheaper renaming is the distance; only other trees are searched.
+    """
     from .metrics import _similar
 
+    if a == b:
+        return 1.0
     x, y = table_tree(a), table_tree(b)
     size = lambda t: 1 + sum(map(size, t[1]))
     if not x[1] or not y[1]:
         return float(not x[1] and not y[1])
+    costs: dict = {}
 
     def rename(p, q) -> float:
-        if isinstance(p, str) or isinstance(q, str):
-            return float(p != q)
-        return 1.0 if p[:3] != q[:3] else 0.0 if structure_only else 1 - _similar(p[3], q[3])
-
-    return 1 - tree_distance(x, y, rename) / max(size(x), size(y))
+        if p == q:
+            return 0.0
+        if isinstance(p, str) or isinstance(q, str) or p[:3] != q[:3]:
+            return 1.0
+        if structure_only:
+            return 0.0
+        pair = p[3], q[3]
+        if pair not in costs:
+            costs[pair] = 1 - (_similar(*pair) if max(map(len, pair)) > 40 else 1 - _short_distance(*pair) / max(map(len, pair)))
+        return costs[pair]
+
+    cost = _aligned_cost(x, y, rename)
+    if cost is None or cost > 2:
+        cost = tree_distance(x, y, rename)
+    return 1 - cost / max(size(x), size(y))
+
+
+def _short_distance(a: str, b: str) -> int:
+    """Edit distance of short texts, without their common start and end."""
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    i, j = len(a), len(b)
+    while i > lo and j > lo and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    a, b = a[lo:i], b[lo:j]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) == 1 or len(b) == 1:
+        return max(len(a), len(b)) - (a in b or b in a)
+    row = list(range(len(b) + 1))
+    for k, c in enumerate(a, 1):
+        back, row[0] = row[0], k
+        for m, d in enumerate(b, 1):
+            back, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, back + (c != d))
+    return row[-1]
 
 
 def table_scores(pairs: DataFrame, pred: str, truth: str, structure_only: bool = False) -> DataFrame:

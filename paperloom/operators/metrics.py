@@ -201,22 +201,24 @@ def tree_distance(a: tuple, b: tuple, rename) -> float:
 
     la, lowa, ra = flat(a)
     lb, lowb, rb = flat(b)
-    dist = np.zeros((len(la), len(lb)))
+    dist = [[0.0] * len(lb) for _ in la]
     for i in ra:
         for j in rb:
             oi, oj = lowa[i], lowb[j]
-            f = np.zeros((i - oi + 2, j - oj + 2))
-            f[1:, 0] = np.arange(1, i - oi + 2)
-            f[0, 1:] = np.arange(1, j - oj + 2)
+            f = [[float(q) for q in range(j - oj + 2)]]
             for x in range(oi, i + 1):
+                above, row = f[-1], [float(x - oi + 1)]
+                prior, first, own = f[lowa[x] - oi], lowa[x] == oi, dist[x]
                 for y in range(oj, j + 1):
-                    p, q = x - oi + 1, y - oj + 1
-                    if lowa[x] == oi and lowb[y] == oj:
-                        f[p, q] = min(f[p - 1, q] + 1, f[p, q - 1] + 1, f[p - 1, q - 1] + rename(la[x], lb[y]))
-                        dist[x, y] = f[p, q]
+                    q = y - oj + 1
+                    least = min(above[q], row[-1]) + 1
+                    if first and lowb[y] == oj:
+                        own[y] = least = min(least, above[q - 1] + rename(la[x], lb[y]))
                     else:
-                        f[p, q] = min(f[p - 1, q] + 1, f[p, q - 1] + 1, f[lowa[x] - oi, lowb[y] - oj] + dist[x, y])
-    return float(dist[len(la) - 1, len(lb) - 1])
+                        least = min(least, prior[lowb[y] - oj] + own[y])
+                    row.append(least)
+                f.append(row)
+    return float(dist[-1][-1])
 
 
 # Weights of precision, recall, mAP at 0.5 and mean mAP in a detector's fitness.

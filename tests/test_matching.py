@@ -162,3 +162,41 @@ def test_nms_measures(spark):
     kept = lambda **k: sorted(r.box_id for r in B.nms(df, ["image_id"], 0.5, label=None, **k).collect())
     assert kept() == [0, 1, 2] and kept(measure="kept") == [0, 2] and kept(measure="own") == [0, 1, 2]
     assert kept(measure="own", keep_higher=False) == [1, 2] and kept(measure="kept", keep_higher=False) == [0, 1, 2]
+
+
+def test_table_similarity_without_search(monkeypatch):
+    """Random tables against the whole search and the parser; like shapes of small changes and long texts need no search."""
+    import random
+
+    from paperloom.operators import metrics
+
+    def whole(a, b, structure_only):
+        def read(page):
+            reader = A._Tables()
+            reader.feed(page or "")
+            plain = lambda n: (n[0] if isinstance(n[0], str) else (*n[0][:3], "".join(n[0][3])), [plain(c) for c in n[1]])
+            return plain(reader.root)
+
+        x, y = read(a), read(b)
+        size = lambda t: 1 + sum(map(size, t[1]))
+        if not x[1] or not y[1]:
+            return float(not x[1] and not y[1])
+        cost = lambda p, q: float(p != q) if isinstance(p, str) or isinstance(q, str) else 1.0 if p[:3] != q[:3] else 0.0 if structure_only else 1 - metrics._similar(p[3], q[3])
+        return 1 - metrics.tree_distance(x, y, cost) / max(size(x), size(y))
+
+    rng = random.Random(2)
+
+    def table():
+        span = lambda: rng.choice(["", "", ' colspan="2"', ' rowspan="2"', ' rowspan="2" colspan="3"', ' colspan="0"', ' class="x"'])
+        text = lambda: rng.choice(["", "p12", "p13", "q1 2", "a&amp;b", "<b>p1</b>", "多行\n字", "p" * 50])
+        return "<table>" + "".join("<tr>" + "".join(f"<td{span()}>{text()}</td>" for _ in range(rng.randint(0, 4))) + "</tr>" for _ in range(rng.randint(0, 3))) + "</table>"
+
+    for _ in range(400):
+        a = table()
+        b = rng.choice([table(), a, a.replace("p1", "q"), a.replace("p", "ab")])
+        for flag in (False, True):
+            assert round(A.table_similarity(a, b, flag), 6) == round(whole(a, b, flag), 6), (a, b)
+    shifted = "<table><tr>" + "".join(f"<td>{c * 3}</td>" for c in "abcde") + "</tr></table>", "<table><tr>" + "".join(f"<td>{c * 3}</td>" for c in "bcdef") + "</tr></table>"
+    assert A.table_similarity(*shifted) == pytest.approx(1 - 2 / 7)
+    monkeypatch.setattr(A, "tree_distance", None)
+    assert A.table_similarity("<table><tr><td>p12</td><td>x</td></tr></table>", "<table><tr><td>q2</td><td>x</td></tr></table>") == pytest.approx(1 - 2 / 3 / 4)
