@@ -43,6 +43,17 @@ RULES = (
     Rule("notice", r"^((?:特别|重要|重大)(?:风险|内容|事项)提示|声明|释义)", "none"),
     Rule("customized", r"^(调查人员声明|实地调查|外围信息采集及其他方式|营销背景)", "none"),
 )
+#: Headings of digits and Latin letters as SQL has them: blanks are those of RE2, dotted numbers may go on.
+LATIN_RULES = (
+    Rule("chapter", r"^Chapter[\t\n\f\r ]+(\d+)", "digits"),
+    Rule("third", r"^\d+\.\d+\.(\d+)", "digits"),
+    Rule("second", r"^\d+\.(\d+)", "digits"),
+    Rule("list", r"^(\d+)[\t\n\f\r ]*[、.]", "digits"),
+    Rule("paren", r"^[（(](\d+)[）)]", "digits"),
+    Rule("half_paren", r"^(\d+)[）)]", "digits"),
+    Rule("letter", r"^([A-Z])[\t\n\f\r ]*[、.]", "upper"),
+    Rule("small_letter", r"^([a-z])[\t\n\f\r ]*[、.)）]", "lower"),
+)
 LONGEST_TITLE = 40
 DEEPEST = 6
 
@@ -63,11 +74,11 @@ def number_of(text: Column, rule: Column, rules=RULES) -> Column:
     return out
 
 
-def titled(elements: DataFrame, text_col: str = "text") -> DataFrame:
+def titled(elements: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """elements with rule, rule name and number; null where the text is no title."""
-    names = F.array(*[F.lit(r.name) for r in RULES])
-    out = elements.withColumn("rule", rule_of(F.col(text_col)))
-    return out.withColumn("rule_name", F.get(names, F.col("rule"))).withColumn("num", number_of(F.col(text_col), F.col("rule")))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    out = elements.withColumn("rule", rule_of(F.col(text_col), rules))
+    return out.withColumn("rule_name", F.get(names, F.col("rule"))).withColumn("num", number_of(F.col(text_col), F.col("rule"), rules))
 
 
 def as_of_chapter(elements: DataFrame, keys: list[str], idx: str, is_title: Column, name: str = "chapter_idx", root: int = -1) -> DataFrame:

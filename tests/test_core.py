@@ -287,3 +287,12 @@ def test_average_precision_of_ranges(spark, tmp_path, monkeypatch):
     got = Q.ap_per_class(spark, str(tmp_path))
     assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert normal(got.toPandas()) == normal(con.execute(Q.ORACLES["ap_per_class"]).df())
+
+
+def test_rule_hits_of_odd_headings_match_sql(spark, tmp_path):
+    """Dotted numbers of four parts, Chinese and full-width headings, blanks that only one engine knows."""
+    odd = ["10.0.0.1 x", "1.2.3.", "1.2.34567", "1.2.3.4.5", "192.168.1", "3.14.x", "3．范围", "第二章 x", "一、x", "目录", "附件二", "三）范围", "（三）x", "(4) y", "5) z", "6 、 z", "7\x0b. z", "A\x0b. z", "A . z", "b\f) z", "Chapter\x0b3", "Chapter  4", "Chapter4", "É. z", "٣. z", "1.", "1" * 39 + ".", "1" * 38 + ".", "", "9.\r", "x。y"]
+    pd.DataFrame({"doc_id": [1, 2, 3], "text": ["\n".join(f"{a}\n" * 4 + "-" for a in odd), "h\n" + "\n".join(odd), None]}).to_parquet(tmp_path / "documents.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert normal(Q.chapter_rule_hits(spark, str(tmp_path)).toPandas()) == normal(con.execute(Q.ORACLES["chapter_rule_hits"]).df())
