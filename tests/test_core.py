@@ -296,3 +296,8 @@ def test_rule_hits_of_odd_headings_match_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
     assert normal(Q.chapter_rule_hits(spark, str(tmp_path)).toPandas()) == normal(con.execute(Q.ORACLES["chapter_rule_hits"]).df())
+
+
+def test_equal_intervals_share_the_run_they_open(spark):
+    df = spark.createDataFrame([(1, 0.0, 25.0), (1, 59.0, 91.0), (1, 59.0, 91.0)], "image_id int, x0 double, x1 double").repartition(3)
+    assert sorted((r.x0, r.x1, r.n) for r in ordered.merged_intervals(df, ["image_id"], "x0", "x1", 3.0).collect()) == [(0.0, 25.0, 1), (59.0, 91.0, 2)]
