@@ -33,9 +33,10 @@ def snapped(df: DataFrame, keys: list[str], value: str, tolerance: float) -> Dat
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, tolerance: float = 0.0) -> DataFrame:
-    """Unions of intervals that overlap or lie at most `tolerance` apart."""
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    grouped = islands(df.withColumn("_reach", F.max(end).over(w)), keys, [start, end], F.col(start) > F.col("_reach") + tolerance, "run")
+    """Unions of intervals that overlap or lie at most `tolerance` apart; null bounds come last, as in SQL. Both windows use one sort, so the first of equal intervals is the same in both."""
+    order = [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    grouped = islands(df.withColumn("_reach", F.max(end).over(w)), keys, order, F.col(start) > F.col("_reach") + tolerance, "run")
     return grouped.groupBy(*keys, "run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
 
 

@@ -301,3 +301,15 @@ def test_rule_hits_of_odd_headings_match_sql(spark, tmp_path):
 def test_equal_intervals_share_the_run_they_open(spark):
     df = spark.createDataFrame([(1, 0.0, 25.0), (1, 59.0, 91.0), (1, 59.0, 91.0)], "image_id int, x0 double, x1 double").repartition(3)
     assert sorted((r.x0, r.x1, r.n) for r in ordered.merged_intervals(df, ["image_id"], "x0", "x1", 3.0).collect()) == [(0.0, 25.0, 1), (59.0, 91.0, 2)]
+
+
+def test_joined_edges_of_null_bounds_match_sql(spark, tmp_path):
+    """Null bounds come last; equal intervals as the SQL has them on one thread (on more, its two sorts may order them differently)."""
+    rng = random.Random(3)
+    rows = [(k, p, 1, i, q, 1.0, "A", "O") for i, (k, p, q) in enumerate([(1, 0, 1.0), (1, 20, None), (1, 20, 2.0), (1, None, 3.0), (2, 30, 1.0), (2, 0, 1.0), (2, 30, 1.0), (None, None, None), *((rng.randint(3, 60), rng.choice([None, *range(60)]), rng.choice([None, 1.0, 5.0, float("nan")])) for _ in range(400))])]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = normal(Q.edge_join(spark, str(tmp_path)).toPandas())
+    assert got == normal(con.execute(Q.ORACLES["edge_join"]).df())
+    assert ("1.000000", "3.000000", "1.000000", "20.000000", "27.000000") in got
